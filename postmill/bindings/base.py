@@ -95,8 +95,13 @@ TITLE = "trim(regexp_extract(html, '<title>(.*?)</title>', 1))"
 PAGE_FORM = "rtrim(regexp_replace(url, '#.*$', ''), '/')"
 LANG = "regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1)"
 ARTICLE = (
-    "trim(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'),"
-    " '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    "replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_extract(html,"
+    " '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')),"
+    " '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+)
+SHOWN_TITLE = (
+    f"replace(replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
+    " '&amp;', '&')"
 )
 PAGE_WORDS = """w AS (
   SELECT page_id, url, html,

@@ -19,6 +19,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def text(c: Column | str) -> Column:
     """Null is the empty string at the table boundary."""
     return F.coalesce(as_col(c).cast("string"), F.lit(""))

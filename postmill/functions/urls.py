@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postmill import fixed
 from postmill.functions.text import (
-    as_col, drop_trailing_slashes, matches_any, has_any, strip, text,
+    as_col, drop_trailing_slashes, has_any, let, matches_any, strip, text,
 )
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -172,16 +172,15 @@ def _merge(base: Column, href: Column) -> Column:
         )
 
     own_path = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
-    bound = F.array(
+    segments = let(
         F.struct(
             F.split(_part(base, 3), "/", -1).alias("base_parts"),
             F.split(own_path, "/", -1).alias("own"),
             own_path.startswith("/").alias("rooted"),
-        )
+        ),
+        merged,
     )
-    # transform over a one-element array binds each intermediate once
-    segments = F.transform(bound, merged)
-    walked = F.transform(segments, _walk_dots)[0]
+    walked = let(segments, _walk_dots)
     return F.concat(walked, F.substr(href, F.length(own_path) + 1))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from postmill import fixed
 from postmill.functions import urls
 from postmill.functions.dom import Outline, plain_text
-from postmill.functions.text import has_any, non_empty, squash, strip, text
+from postmill.functions.text import has_any, let, non_empty, squash, strip, text
 from postmill.operators.dedup import dedup_first
 from postmill.operators.links import alert_links, anchors, resolve_links
 from postmill.sources.files import message_headers
@@ -263,71 +263,82 @@ def parse_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
 POSTING_COLUMNS = ["job_url", "company", "role_title", "location", "job_description"]
 
 
+_POSTINGS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in POSTING_COLUMNS]))
+
+
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _text_at(v: Column, name: str) -> Column:
+    """A field that is text and not empty, else null."""
+    return let(
+        _get(v, f"$.{name}", "variant"),
+        lambda x: F.when(F.schema_of_variant(x) == "STRING", non_empty(_get(x, "$"))),
+    )
+
+
 def _texts(v: Column, names: list[str]) -> Column:
     """First non-empty text among field aliases."""
-    picks = [
-        F.when(F.schema_of_variant(_get(v, f"$.{n}", "variant")) == "STRING",
-               non_empty(_get(v, f"$.{n}")))
-        for n in names
-    ]
-    return F.coalesce(*picks, F.lit(""))
-
-
-def _with_lists(bodies: DataFrame) -> DataFrame:
-    """Adds `listed`: the posting list of a body, null where it has none."""
-    doc = F.col("doc")
-    inner = _get(doc, "$.data", "variant")
-    data = F.when(F.size(_get(inner, "$", "map<string,variant>")) > 0, inner).otherwise(doc)
-    first = _get(data, "$.jobPostings", "variant")
-    as_list = _get(first, "$", "array<variant>")
-    blank = (
-        first.isNull()
-        | F.is_variant_null(first)
-        | (F.size(as_list) == 0)
-        | (F.size(_get(first, "$", "map<string,variant>")) == 0)
-        | (F.schema_of_variant(first).isin("STRING", "BOOLEAN", "BIGINT")
-           & _get(first, "$").isin("", "false", "0"))
-    )
-    listed = F.when(F.size(as_list) > 0, as_list).when(
-        F.coalesce(blank, F.lit(False)), _get(data, "$.jobs", "array<variant>")
-    )
-    return bodies.withColumn("listed", listed)
+    return F.coalesce(*[_text_at(v, n) for n in names], F.lit(""))
 
 
-def listed_postings(bodies: DataFrame) -> DataFrame:
-    """Postings of bodies that hold a list: seq, page, pos and the posting columns."""
-    rows = _with_lists(bodies).filter("listed is not null").select(
-        "seq", "page", F.posexplode("listed").alias("pos", "o")
+def _filled_object(v: Column) -> Column:
+    return F.coalesce(F.size(_get(v, "$", "map<string,variant>")) > 0, F.lit(False))
+
+
+def _posting_list(doc: Column | str) -> Column:
+    """The posting list of a body, ARRAY<VARIANT>; null where it has none."""
+    doc = F.col(doc) if isinstance(doc, str) else doc
+    data = let(
+        _get(doc, "$.data", "variant"),
+        lambda v: F.when(_filled_object(v), v),
     )
-    o = F.col("o")
-    company = _get(o, "$.company", "variant")
-    kind = F.schema_of_variant(company)
-    return (
-        rows.filter(_get(o, "$", "map<string,variant>").isNotNull())
-        .select(
-            "seq", "page", "pos",
-            strip(_texts(o, fixed.LIST_URL_KEYS)).alias("job_url"),
-            F.when(kind.startswith("OBJECT"), strip(_texts(company, ["name"])))
-            .when(kind == "STRING", strip(_get(company, "$")))
-            .otherwise(F.lit("")).alias("company"),
-            strip(_texts(o, fixed.LIST_TITLE_KEYS)).alias("role_title"),
-            strip(_texts(o, fixed.LIST_LOCATION_KEYS)).alias("location"),
-            F.left(
-                _texts(o, fixed.LIST_DESCRIPTION_KEYS), F.lit(fixed.DESCRIPTION_CHARS)
-            ).alias("job_description"),
+
+    def parts(d: Column) -> Column:
+        first = _get(d, "$.jobPostings", "variant")
+        return F.struct(
+            first.alias("first"),
+            _get(first, "$", "array<variant>").alias("items"),
+            _get(d, "$.jobs", "array<variant>").alias("second"),
+        )
+
+    def pick(s: Column) -> Column:
+        # an empty or false first list gives way to the second
+        blank = (
+            s["first"].isNull()
+            | F.is_variant_null(s["first"])
+            | s["items"].isNotNull()
+            | F.to_json(s["first"]).isin("{}", '""', "0", "false")
         )
-        .filter((F.col("job_url") != "") & ~F.col("job_url").contains(fixed.AGGREGATOR_HOST))
-        .withColumn("company", F.coalesce("company", F.lit("")))
+        return F.when(F.size(s["items"]) > 0, s["items"]).when(blank, s["second"])
+
+    return let(let(F.coalesce(data, doc), parts), pick)
+
+
+def _listed(o: Column) -> Column:
+    """Posting fields of one object of a list."""
+    company = let(
+        _get(o, "$.company", "variant"),
+        lambda c: F.coalesce(
+            F.when(F.schema_of_variant(c) == "STRING", _get(c, "$")), _text_at(c, "name")
+        ),
+    )
+    return F.struct(
+        strip(_texts(o, fixed.LIST_URL_KEYS)).alias("job_url"),
+        text(strip(company)).alias("company"),
+        strip(_texts(o, fixed.LIST_TITLE_KEYS)).alias("role_title"),
+        strip(_texts(o, fixed.LIST_LOCATION_KEYS)).alias("location"),
+        F.left(
+            _texts(o, fixed.LIST_DESCRIPTION_KEYS), F.lit(fixed.DESCRIPTION_CHARS)
+        ).alias("job_description"),
     )
 
 
-def walk_postings(bodies: DataFrame) -> DataFrame:
-    """Every object, at any depth, that has an address under one of the aliases: parents
-    before children, document order. Works on the body text, which keeps field order."""
+def _walk(body: str | None) -> list[dict] | None:
+    """Objects of a body that have an address, parents before children, document order."""
+    if body is None:
+        return None
 
     def shown(value) -> str:
         if isinstance(value, dict):
@@ -345,42 +356,48 @@ def walk_postings(bodies: DataFrame) -> DataFrame:
         )
         return next(fits, "").strip()
 
-    def walk(body: str) -> Iterator[tuple]:
-        waiting = [json.loads(body)]
-        while waiting:
-            node = waiting.pop()
-            if isinstance(node, dict):
-                if address(node):
-                    about = first(node, fixed.WALK_DESCRIPTION_KEYS)
-                    yield (
-                        address(node),
-                        shown(first(node, fixed.WALK_COMPANY_KEYS)),
-                        shown(first(node, fixed.WALK_TITLE_KEYS)),
-                        shown(first(node, fixed.WALK_LOCATION_KEYS)),
-                        about[: fixed.DESCRIPTION_CHARS] if isinstance(about, str) else "",
-                    )
-                waiting.extend(reversed(node.values()))
-            elif isinstance(node, list):
-                waiting.extend(reversed(node))
-
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for seq, page, body in batch.itertuples(index=False, name=None):
-                rows = [(seq, page, pos, *p) for pos, p in enumerate(walk(body))]
-                yield pd.DataFrame(rows, columns=["seq", "page", "pos", *POSTING_COLUMNS])
-
-    unlisted = _with_lists(bodies).filter("listed is null").select("seq", "page", "body")
-    return unlisted.mapInPandas(
-        job,
-        _key_schema(bodies, ["seq", "page"])
-        + ", pos INT, " + ", ".join(f"{c} STRING" for c in POSTING_COLUMNS),
-    )
+    found, waiting = [], [json.loads(body)]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            if address(node):
+                about = first(node, fixed.WALK_DESCRIPTION_KEYS)
+                found.append({
+                    "job_url": address(node),
+                    "company": shown(first(node, fixed.WALK_COMPANY_KEYS)),
+                    "role_title": shown(first(node, fixed.WALK_TITLE_KEYS)),
+                    "location": shown(first(node, fixed.WALK_LOCATION_KEYS)),
+                    "job_description": about[: fixed.DESCRIPTION_CHARS]
+                    if isinstance(about, str) else "",
+                })
+            waiting.extend(reversed(node.values()))
+        elif isinstance(node, list):
+            waiting.extend(reversed(node))
+    return found
+
+
+@F.pandas_udf(_POSTINGS)
+def _walked(bodies: pd.Series) -> pd.Series:
+    return bodies.map(_walk)
 
 
 def api_postings(bodies: DataFrame) -> DataFrame:
-    """Postings of captured bodies (seq, page, url, body, doc); in a body, first url wins."""
-    found = listed_postings(bodies).unionByName(walk_postings(bodies))
-    return dedup_first(found, ["seq", "job_url"], ["pos"])
+    """Postings of captured bodies (seq, page, url, body, doc): seq, page, pos and the
+    posting columns; in a body, the first of a repeated url wins.
+
+    Bodies with a posting list are read with variant functions. Only the others go to
+    a Python worker, as text, because a variant does not keep field order."""
+    listed = _posting_list("doc")
+    is_object = lambda o: _get(o, "$", "map<string,variant>").isNotNull()
+    fields = F.transform(F.filter(listed, is_object), _listed).cast(_POSTINGS)
+    rest = _walked(F.when(listed.isNull(), F.col("body")))
+    rows = bodies.select("seq", "page", fields.alias("a"), rest.alias("b")).select(
+        "seq", "page", F.posexplode(F.coalesce("a", "b")).alias("pos", "p")
+    )
+    kept = rows.select("seq", "page", "pos", "p.*").filter(
+        (F.col("job_url") != "") & ~F.col("job_url").contains(fixed.AGGREGATOR_HOST)
+    )
+    return dedup_first(kept, ["seq", "job_url"], ["pos"])
 
 
 # --- rendered pages --------------------------------------------------------------------

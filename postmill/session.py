@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +30,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so a lost executor repeats nothing upstream."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_postmill_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="postmill-ship-"), "postmill")
+    shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive + ".zip")
+    context._postmill_shipped = True
