@@ -193,17 +193,17 @@ def listing_links(spark, sf):
     pages = load(spark, sf, "pages").withColumn(
         "html", F.regexp_replace("html", _MARKED, '<a href="/jobs/$1">See jobs ')
     )
-    lists = L.anchor_lists(pages, KEYS)
+    lists = L.resolve_lists(L.anchor_lists(pages, KEYS))
     return L.careers_link(L.open_roles_link(lists)).select(
         "page_id", "open_roles_url", "careers_url"
     )
 
 
 @query(f"""WITH {PAGE_WORDS}
-SELECT page_id, count(*) AS links, count(*) FILTER ({sql_rules("'/jobs/' || word", [r'/jobs?/.*(?:job|position|opening|\d+)'])})
+SELECT page_id, count(*) AS links, count(*) FILTER (NOT {sql_any(f"lower({SITE} || '/job/' || word)", fixed.EXCLUDED_LINK_PARTS)})
   AS postings FROM w GROUP BY page_id""")
 def page_link_report(spark, sf):
-    pages = load(spark, sf, "pages").withColumn("html", relink("/jobs/$1"))
+    pages = load(spark, sf, "pages").withColumn("html", relink("/job/$1"))
     return link_report(pages, KEYS).select("page_id", "links", "postings")
 
 

@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from postmill import fixed
+from postmill.bindings.base import NOW, load, query
+from postmill.bindings.lifecycle import FOLDED, attempt_log
+from postmill.bindings.prefs import _FEEDBACK, feedback
+from postmill.operators.prefs import canonical_entities
+from postmill.session import shared_dir
+from postmill.sources.store import VersionedTable
+from postmill.streaming import folds, sinks
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+
+class _Streamed:
+    """A session whose reads of `events` are streams, so that bindings serve both."""
+
+    def __init__(self, spark):
+        self.spark, self.read = spark, self
+
+    def parquet(self, path):
+        schema = self.spark.read.parquet(path).schema
+        folder, name = path.rsplit("/", 1)
+        source = self.spark.readStream.schema(schema).option("pathGlobFilter", name)
+        return source.parquet(folder)
+
+
+def _run(query):
+    query.awaitTermination()
+
+
+@query(f"WITH {FOLDED} SELECT url, fetch_attempts, fetch_status, fetch_error FROM s")
+def stream_attempt_states(spark, sf):
+    out = _folder(spark)
+    states = folds.attempt_states(attempt_log(_Streamed(spark), sf))
+    _run(sinks.append_into(states, f"{out}/t", f"{out}/c", "update"))
+    last = spark.read.parquet(f"{out}/t").groupBy("url").agg(
+        F.max_by(F.struct("fetch_attempts", "fetch_status", "fetch_error"), "b").alias("s")
+    )
+    return last.select("url", "s.*")
+
+
+@query(f"WITH {FOLDED} SELECT fetch_status, count(*) AS n FROM s GROUP BY fetch_status")
+def stream_status_counts(spark, sf):
+    out = _folder(spark)
+    states = folds.attempt_states(attempt_log(_Streamed(spark), sf))
+    _run(sinks.status_changes_into(states, f"{out}/t", f"{out}/c"))
+    return sinks.running_status_counts(spark, f"{out}/t")
+
+
+@query(f"""WITH {_FEEDBACK} SELECT DISTINCT entity AS value, first_action AS kind, first_seq AS seq
+FROM f WHERE entity <> ''""")
+def stream_preferences(spark, sf):
+    out = _folder(spark)
+    events = canonical_entities(feedback(_Streamed(spark), sf)).filter("entity <> ''")
+    _run(sinks.append_into(folds.preference_states(events), f"{out}/t", f"{out}/c"))
+    return spark.read.parquet(f"{out}/t").select("value", "kind", "seq")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf):
+    """The horizon is longer than the data, so every pair is seen exactly once."""
+    out = _folder(spark)
+    events = load(_Streamed(spark), sf, "events")
+    seen = folds.first_seen(events, ["user_id", "event_type"], "ts", "60 days")
+    _run(sinks.append_into(seen, f"{out}/t", f"{out}/c"))
+    return spark.read.parquet(f"{out}/t").select("user_id", "event_type")
+
+
+@query(f"""SELECT 'https://jobs.lever.co/u/' || user_id AS job_url, min(event_id) AS seq, 'gmail' AS source,
+  'pending' AS fetch_status, '{NOW}' AS last_seen_at FROM events GROUP BY user_id""")
+def stream_upserts(spark, sf):
+    out = _folder(spark)
+    arrivals = attempt_log(_Streamed(spark), sf).select("url", "seq")
+    schema = "seq BIGINT, " + ", ".join(f"{c} STRING" for c in fixed.MAIL_COLUMNS)
+    store = VersionedTable(spark, f"{out}/t")
+    _run(sinks.touch_into(arrivals, store, schema, fixed.SOURCE_MAIL, NOW, f"{out}/c"))
+    return store.read().select("job_url", "seq", "source", "fetch_status", "last_seen_at")

@@ -12,19 +12,22 @@ from postmill import fixed
 from postmill.functions import urls
 from postmill.functions.text import non_empty, strip, text
 from postmill.operators.links import (
-    anchor_lists, careers_anchor, open_roles_anchor, posting_list,
+    anchor_lists, careers_anchor, open_roles_anchor, posting_list, resolve_lists,
 )
 from postmill.session import settle
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
-    """url, render, links (canonical postings), open_href, careers_href. Html is read once here."""
-    return anchor_lists(pages, ["url", "render"]).select(
+    """url, render, links (canonical postings), open (the open-roles anchor), careers_url.
+
+    Html is read once here, and every link resolved once."""
+    lists = resolve_lists(anchor_lists(pages, ["url", "render"]))
+    return lists.select(
         "url",
         "render",
-        posting_list("url", "anchors").alias("links"),
-        open_roles_anchor("url", "anchors")["href"].alias("open_href"),
-        careers_anchor("url", "anchors")["href"].alias("careers_href"),
+        posting_list("anchors").alias("links"),
+        open_roles_anchor("anchors").alias("open"),
+        careers_anchor("anchors")["full"].alias("careers_url"),
     )
 
 
@@ -35,16 +38,12 @@ def _look_up(rows: DataFrame, digests: DataFrame, url: Column, render: str, name
     instead of meeting in the partition of the null key."""
     pages = digests.filter(F.col("render") == render).select(
         F.col("url").alias("__url"),
-        F.struct("links", "open_href", "careers_href").alias(name),
+        F.struct("links", "open", "careers_url").alias(name),
     )
     keyed = rows.withColumn("__key", F.coalesce(url, F.concat(F.lit("#"), F.col("seq"))))
     return keyed.join(pages, F.col("__key") == F.col("__url"), "left").drop("__key", "__url")
 
 
-def _resolved(base: Column, href: Column) -> Column:
-    return F.when(href.isNotNull(), urls.resolve(base, href))
-
-
 def _cascade(rows: DataFrame, digests: DataFrame, start: str, out: str) -> DataFrame:
     """Adds `out` STRUCT<reached, links, level> for the listing page named in column `start`.
 
@@ -54,18 +53,19 @@ def _cascade(rows: DataFrame, digests: DataFrame, start: str, out: str) -> DataF
     rows = _look_up(rows, digests, s, "static", "__p1")
     has1 = F.coalesce(F.size("__p1.links") > 0, F.lit(False))
     more = F.col("__p1").isNotNull() & ~has1
-    rows = rows.withColumn("__open", F.when(more, _resolved(s, F.col("__p1.open_href"))))
+    rows = rows.withColumn("__open", F.when(more, F.col("__p1.open.full")))
     rows = _look_up(rows, digests, F.col("__open"), "static", "__p2")
     has2 = F.coalesce(F.size("__p2.links") > 0, F.lit(False))
     more = more & ~has2
     rows = _look_up(rows, digests, F.when(more, s), "clicked", "__p3")
     has3 = F.coalesce(F.size("__p3.links") > 0, F.lit(False))
     more = more & ~has3
-    # the last page read names the page to render; without a name it is the listing page
-    named = F.when(F.col("__p2").isNotNull(), F.col("__p2.open_href")).otherwise(
-        F.col("__p1.open_href")
-    )
-    target = F.coalesce(_resolved(s, named), s)
+    # the last page read names the page to render; without a name it is the listing page.
+    # A name found on the open-roles page is still taken relative to the listing page.
+    named = F.when(
+        F.col("__p2").isNotNull(), urls.resolve(s, F.col("__p2.open.href"))
+    ).otherwise(F.col("__p1.open.full"))
+    target = F.coalesce(named, s)
     rows = _look_up(rows, digests, F.when(more, target), "rendered", "__p4")
     has4 = F.coalesce(F.size("__p4.links") > 0, F.lit(False))
     level = F.when(has1, 1).when(has2, 2).when(has3, 3).when(more & has4, 4)
@@ -103,10 +103,7 @@ def discover_companies(companies: DataFrame, pages: DataFrame) -> DataFrame:
     rows = _cascade(rows, digests, "__start", "a")
     failed = F.col("a.level").isNull()
     rows = _look_up(rows, digests, F.when(failed, F.col("__site")), "static", "__home")
-    careers = urls.ensure_protocol(_resolved(F.col("__site"), F.col("__home.careers_href")))
-    rows = rows.withColumn(
-        "__careers", F.when(F.col("__home.careers_href").isNotNull(), careers)
-    )
+    rows = rows.withColumn("__careers", F.col("__home.careers_url"))
     rows = _cascade(rows, digests, "__careers", "b")
     error = (
         F.when(~failed | F.col("b.level").isNotNull(), F.lit(None).cast("string"))

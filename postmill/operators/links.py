@@ -202,59 +202,59 @@ def alert_links(messages: DataFrame, keys: list[str], html: str = "html") -> Dat
 
 
 # --- choosing among the links of one page (array functions, no shuffle) ---------
+# These work on `anchors` as `resolve_lists` leaves it: each anchor has its `full` address.
+
+def resolve_lists(lists: DataFrame, base: str = "url") -> DataFrame:
+    """Adds `full` to every anchor of every page."""
+    return lists.withColumn(
+        "anchors",
+        F.transform(
+            "anchors",
+            lambda a: F.struct(
+                a["pos"].alias("pos"), a["href"].alias("href"), F.lower(a["text"]).alias("words"),
+                urls.resolve(F.col(base), a["href"]).alias("full"),
+            ),
+        ),
+    )
 
-def posting_list(base: Column | str, anchor_list: Column | str) -> Column:
+
+def posting_list(anchor_list: Column | str) -> Column:
     """Canonical posting links of a page, first mention first, once each."""
-    full = F.transform(
+    links = F.transform(
         F.filter(anchor_list, lambda a: is_followable(a["href"])),
-        lambda a: urls.page_form(urls.resolve(base, a["href"])),
+        lambda a: urls.page_form(a["full"]),
     )
-    return F.array_distinct(F.filter(full, urls.is_posting_link))
+    return F.array_distinct(F.filter(links, lambda u: urls.is_posting_link(u)))
 
 
-def open_roles_anchor(base: Column | str, anchor_list: Column | str) -> Column:
-    """The first http(s) anchor whose text speaks of open roles."""
-    return F.get(
-        F.filter(
-            anchor_list,
-            lambda a: is_followable(a["href"])
-            & has_any(F.lower(a["text"]), fixed.OPEN_ROLES_PHRASES)
-            & urls.is_web(urls.resolve(base, a["href"])),
-        ),
-        F.lit(0),
+def open_roles_anchor(anchor_list: Column | str) -> Column:
+    """The first http(s) anchor whose text speaks of open roles; null if none."""
+    fits = lambda a: (
+        is_followable(a["href"])
+        & has_any(a["words"], fixed.OPEN_ROLES_PHRASES)
+        & urls.is_web(a["full"])
     )
+    return F.get(F.filter(anchor_list, fits), F.lit(0))
 
 
-def careers_anchor(base: Column | str, anchor_list: Column | str) -> Column:
-    """The first http(s) anchor whose path or text points to careers."""
-
-    def fits(a: Column) -> Column:
-        full, words = urls.resolve(base, a["href"]), F.lower(a["text"])
-        return (
-            (a["href"] != "")
-            & ~a["href"].startswith("#")
-            & urls.is_web(full)
-            & (
-                matches_any(F.lower(urls.path(full)), fixed.CAREERS_PATH_PATTERNS)
-                | words.isin(fixed.CAREERS_EXACT_TEXTS)
-                | has_any(words, fixed.CAREERS_PHRASES)
-            )
+def careers_anchor(anchor_list: Column | str) -> Column:
+    """The first http(s) anchor whose path or text points to careers; null if none."""
+    fits = lambda a: (
+        (a["href"] != "")
+        & ~a["href"].startswith("#")
+        & urls.is_web(a["full"])
+        & (
+            matches_any(F.lower(urls.path(a["full"])), fixed.CAREERS_PATH_PATTERNS)
+            | a["words"].isin(fixed.CAREERS_EXACT_TEXTS)
+            | has_any(a["words"], fixed.CAREERS_PHRASES)
         )
-
+    )
     return F.get(F.filter(anchor_list, fits), F.lit(0))
 
 
-def open_roles_link(lists: DataFrame, base: str = "url") -> DataFrame:
-    """Adds `open_roles_url` (null if none) to pages with `anchors`."""
-    href = open_roles_anchor(base, "anchors")["href"]
-    return lists.withColumn("__h", href).withColumn(
-        "open_roles_url", F.when(F.col("__h").isNotNull(), urls.resolve(base, "__h"))
-    ).drop("__h")
+def open_roles_link(lists: DataFrame) -> DataFrame:
+    return lists.withColumn("open_roles_url", open_roles_anchor("anchors")["full"])
 
 
-def careers_link(lists: DataFrame, base: str = "url") -> DataFrame:
-    """Adds `careers_url` (null if none) to pages with `anchors`."""
-    href = careers_anchor(base, "anchors")["href"]
-    return lists.withColumn("__h", href).withColumn(
-        "careers_url", F.when(F.col("__h").isNotNull(), urls.resolve(base, "__h"))
-    ).drop("__h")
+def careers_link(lists: DataFrame) -> DataFrame:
+    return lists.withColumn("careers_url", careers_anchor("anchors")["full"])
