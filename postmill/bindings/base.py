@@ -94,15 +94,19 @@ HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 TITLE = "trim(regexp_extract(html, '<title>(.*?)</title>', 1))"
 PAGE_FORM = "rtrim(regexp_replace(url, '#.*$', ''), '/')"
 LANG = "regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1)"
-ARTICLE = (
-    "replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_extract(html,"
-    " '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')),"
-    " '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
-)
-SHOWN_TITLE = (
-    f"replace(replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
-    " '&amp;', '&')"
+
+
+def _decoded(text: str) -> str:
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{entity};?', '{char}', 'g')"
+    return text
+
+
+ARTICLE = _decoded(
+    "trim(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'),"
+    " '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
+SHOWN_TITLE = _decoded(TITLE)
 PAGE_WORDS = """w AS (
   SELECT page_id, url, html,
     unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS word,

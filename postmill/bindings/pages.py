@@ -16,17 +16,17 @@ _H1 = "trim(regexp_extract(html, '<h1>(.*?)</h1>', 1))"
 
 @query(f"""WITH f AS (SELECT page_id, {HOST} AS h, {TITLE} AS t, {LANG} AS lang FROM pages),
 t AS (SELECT page_id, unnest(['in', 'role', 'plain']) AS form,
-  unnest([h || ' hiring ' || t || ' in ' || lang || ' | LinkedIn', h || ' hiring ' || replace(t, ' in ', ' an ') ,
+  unnest([h || ' hiring ' || t || ' in ' || lang || ' | LinkedIn', h || ' hiring ' || replace(t, ' in', ' an') ,
           t || ' | LinkedIn']) AS title, h, t, lang FROM f)
 SELECT page_id, form, CASE WHEN form = 'plain' THEN '' ELSE h END AS company,
-  CASE form WHEN 'in' THEN t WHEN 'role' THEN replace(t, ' in ', ' an ') ELSE title END AS role_title,
+  CASE form WHEN 'in' THEN t WHEN 'role' THEN replace(t, ' in', ' an') ELSE title END AS role_title,
   CASE WHEN form = 'in' THEN lang ELSE '' END AS location FROM t""")
 def title_split(spark, sf):
     title = F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1))
     lead = F.concat(urls.host("url"), F.lit(" hiring "))
     forms = {
         "in": F.concat(lead, title, F.lit(" in "), lang_of(), F.lit(" | LinkedIn")),
-        "role": F.concat(lead, F.replace(title, F.lit(" in "), F.lit(" an "))),
+        "role": F.concat(lead, F.replace(title, F.lit(" in"), F.lit(" an"))),
         "plain": F.concat(title, F.lit(" | LinkedIn")),
     }
     rows = load(spark, sf, "pages").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postmill import fixed
 from postmill.functions.text import (
-    as_col, drop_trailing_slashes, has_any, let, matches_any, strip, text,
+    as_col, drop_trailing_slashes, has_any, matches_any, strip, text,
 )
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -130,73 +130,58 @@ def is_posting_link(
     )
 
 
-def _walk_dots(segments: Column) -> Column:
-    """Resolve `.` and `..` in an array of path segments."""
-    walked = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(
-            s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        )
-        .when(s == ".", done)
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    last = F.element_at(segments, -1)
-    joined = F.array_join(
-        F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked),
-        "/",
-    )
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-
-
-def _merge(base: Column, href: Column) -> Column:
-    """Relative path against a base path. Off the fast path: few links need it."""
-
-    def merged(s: Column) -> Column:
-        base_parts, own = s["base_parts"], s["own"]
-        folder = F.when(
-            F.element_at(base_parts, -1) == "", base_parts
-        ).otherwise(F.slice(base_parts, F.lit(1), F.size(base_parts) - 1))
-        return F.when(s["rooted"], own).otherwise(
-            F.concat(
-                F.slice(folder, 1, 1),
-                F.filter(
-                    F.concat(
-                        F.slice(folder, F.lit(2), F.greatest(F.size(folder) - 1, F.lit(0))),
-                        F.slice(own, F.lit(1), F.size(own) - 1),
-                    ),
-                    lambda x: x != "",
-                ),
-                F.slice(own, -1, 1),
-            )
-        )
-
-    own_path = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
-    segments = let(
-        F.struct(
-            F.split(_part(base, 3), "/", -1).alias("base_parts"),
-            F.split(own_path, "/", -1).alias("own"),
-            own_path.startswith("/").alias("rooted"),
-        ),
-        merged,
-    )
-    walked = let(segments, _walk_dots)
-    return F.concat(walked, F.substr(href, F.length(own_path) + 1))
-
-
-def resolve(base: Column | str, href: Column | str) -> Column:
-    """Absolute form of a link found on the page `base`."""
-    b = as_col(base)
-    h = F.regexp_replace(as_col(href), r"^[\x00-\x20]+|[\t\r\n]", "")
-    origin = F.concat(scheme(b), F.lit("://"), host(b))
-    return (
-        F.when(h == "", b)
-        .when(h.rlike("^https?://"), h)
-        .when(scheme(h) == scheme(b), F.concat(scheme(h), F.substr(h, F.length(scheme(h)) + 1)))
-        .when(h.rlike(_SCHEME), h)
-        .when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h))
-        .when(h.startswith("/") & ~h.contains("/."), F.concat(origin, h))
-        .when(h.startswith("#"), F.concat(origin, _part(b, 3), query(b), h))
-        .when(h.startswith("?"), F.concat(origin, _part(b, 3), h))
-        .otherwise(F.concat(origin, _merge(b, h)))
-    )
+# --- resolving ---------------------------------------------------------------------
+# Written as SQL text: it is long, and parsed in one step instead of node by node.
+
+def _sql_part(url: str, group: int) -> str:
+    return f"regexp_extract({url}, r'{_PARTS}', {group})"
+
+
+def _sql_merge(base: str, href: str) -> str:
+    """Relative path against a base path, `.` and `..` resolved, the href's tail kept.
+
+    `transform` over a one-element array binds a value, so that it is computed once."""
+    own = f"regexp_extract({href}, r'(?s)^([^?#]*)', 1)"
+    folder = "if(element_at(s.b, -1) = '', s.b, slice(s.b, 1, size(s.b) - 1))"
+    segments = f"""transform(
+      array(named_struct('b', split({_sql_part(base, 3)}, '/', -1), 'o', split({own}, '/', -1))),
+      s -> if(s.o[0] = '' and size(s.o) > 1, s.o, concat(
+        slice({folder}, 1, 1),
+        filter(concat(slice({folder}, 2, size({folder}) - 1), slice(s.o, 1, size(s.o) - 1)), x -> x <> ''),
+        slice(s.o, -1, 1))))"""
+    walked = """aggregate(p, cast(array() as array<string>), (done, x) -> case
+        when x = '..' then slice(done, 1, greatest(size(done) - 1, 0))
+        when x = '.' then done else concat(done, array(x)) end)"""
+    closed = f"""array_join(concat({walked},
+      if(element_at(p, -1) in ('.', '..'), array(''), cast(array() as array<string>))), '/')"""
+    joined = f"transform({segments}, p -> {closed})"
+    rooted = f"transform({joined}, j -> if(startswith(j, '/'), j, concat('/', j)))[0]"
+    return f"concat({rooted}, substr({href}, length({own}) + 1))"
+
+
+def resolve_sql(base: str, href: str) -> str:
+    """SQL text for the absolute form of link `href` found on page `base`."""
+    h = f"regexp_replace({href}, r'^[\x00-\x20]+|[\t\r\n]', '')"
+    scheme_ = f"lower({_sql_part(base, 1)})"
+    origin = f"concat({scheme_}, '://', {_sql_part(base, 2)})"
+    base_path = _sql_part(base, 3)
+    base_query = f"if({_sql_part(base, 4)} = '?', '', {_sql_part(base, 4)})"
+    # the common forms come first and need no binding
+    return f"""case when not {href} rlike r'[\x00-\x20]' and not startswith({href}, '//')
+      and startswith({href}, '/') and not contains({href}, '/.') then concat({origin}, {href})
+      else transform(array({h}), h -> case
+      when h = '' then {base}
+      when startswith(h, 'http://') or startswith(h, 'https://') then h
+      when lower({_sql_part('h', 1)}) = {scheme_}
+        then concat({scheme_}, substr(h, length({_sql_part('h', 1)}) + 1))
+      when h rlike r'{_SCHEME}' then h
+      when startswith(h, '//') then concat({scheme_}, ':', h)
+      when startswith(h, '/') and not contains(h, '/.') then concat({origin}, h)
+      when startswith(h, '#') then concat({origin}, {base_path}, {base_query}, h)
+      when startswith(h, '?') then concat({origin}, {base_path}, h)
+      else concat({origin}, {_sql_merge(base, 'h')}) end)[0] end"""
+
+
+def resolve(base: str, href: str) -> Column:
+    """Absolute form of the link in column `href`, found on the page in column `base`."""
+    return F.expr(resolve_sql(base, href))

@@ -63,7 +63,7 @@ def _cascade(rows: DataFrame, digests: DataFrame, start: str, out: str) -> DataF
     # the last page read names the page to render; without a name it is the listing page.
     # A name found on the open-roles page is still taken relative to the listing page.
     named = F.when(
-        F.col("__p2").isNotNull(), urls.resolve(s, F.col("__p2.open.href"))
+        F.col("__p2").isNotNull(), urls.resolve(start, "__p2.open.href")
     ).otherwise(F.col("__p1.open.full"))
     target = F.coalesce(named, s)
     rows = _look_up(rows, digests, F.when(more, target), "rendered", "__p4")

@@ -206,15 +206,11 @@ def alert_links(messages: DataFrame, keys: list[str], html: str = "html") -> Dat
 
 def resolve_lists(lists: DataFrame, base: str = "url") -> DataFrame:
     """Adds `full` to every anchor of every page."""
+    full = urls.resolve_sql(base, "a.href")
     return lists.withColumn(
         "anchors",
-        F.transform(
-            "anchors",
-            lambda a: F.struct(
-                a["pos"].alias("pos"), a["href"].alias("href"), F.lower(a["text"]).alias("words"),
-                urls.resolve(F.col(base), a["href"]).alias("full"),
-            ),
-        ),
+        F.expr(f"""transform(anchors, a -> named_struct(
+            'pos', a.pos, 'href', a.href, 'words', lower(a.text), 'full', {full}))"""),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so a lost executor repeats nothing upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write to a table of its own in the shared folder, and go on from there.
+
+    Cuts the lineage, so a lost executor repeats nothing upstream, and later steps
+    read only the columns they need and know the size of what they join. The tables
+    stay until the folder is cleaned."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
