@@ -56,8 +56,9 @@ def page_fields(spark, sf):
     return X.parse_pages(load(spark, sf, "pages"), ["page_id"])
 
 
-@query(f"""WITH p AS (SELECT page_id, {ARTICLE} AS about, {SHOWN_TITLE} AS t FROM pages)
-SELECT page_id, left(CASE WHEN length(about) < 100 THEN t ELSE about END, 6000) AS description FROM p""")
+@query(f"""WITH p AS (SELECT page_id, {ARTICLE} AS about, {SHOWN_TITLE} AS t,
+  contains(html, '</body>') AS ended FROM pages)
+SELECT page_id, left(CASE WHEN length(about) < 100 AND ended THEN t ELSE about END, 6000) AS description FROM p""")
 def page_descriptions(spark, sf):
     """A container marked as description stands in where the main text is short."""
     title = F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1))
