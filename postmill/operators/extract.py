@@ -51,11 +51,16 @@ def mail_html(messages: DataFrame) -> DataFrame:
         html_data(payload["parts"]),
         html_data(nested),
     )
-    decoded = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64")).cast("string")
-    html = F.when(F.is_valid_utf8(decoded), decoded).otherwise(
-        F.replace(F.make_valid_utf8(decoded), F.lit("�"), F.lit(""))
+    # filtered on the data, not on the decoded text, which would then be decoded twice
+    found = messages.withColumn("__data", data).filter("__data is not null")
+    decoded = F.try_to_binary(F.translate("__data", "-_", "+/"), F.lit("base64")).cast("string")
+    html = let(
+        decoded,
+        lambda d: F.when(F.is_valid_utf8(d), d).otherwise(
+            F.replace(F.make_valid_utf8(d), F.lit("\ufffd"), F.lit(""))
+        ),
     )
-    return messages.withColumn("html", html).filter(F.coalesce("html", F.lit("")) != "")
+    return found.withColumn("html", html).drop("__data")
 
 
 def mail_postings(messages: DataFrame, keys: list[str] = ["id"]) -> DataFrame:

@@ -170,7 +170,9 @@ def match_variants(df: DataFrame, col: str = "url") -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda hrefs: [_html.unescape(h) for h in hrefs])
+    return lists.map(
+        lambda hrefs: [_html.unescape(h) for h in hrefs], na_action="ignore"
+    )
 
 
 def canonical_alert_urls(df: DataFrame, col: str = "href") -> DataFrame:
@@ -194,7 +196,7 @@ def alert_links(messages: DataFrame, keys: list[str], html: str = "html") -> Dat
         F.filter(
             F.regexp_extract_all(html, F.lit(_ALERT_HREF), F.lit(1)), candidate
         ).alias("hrefs"),
-    ).filter(F.size("hrefs") > 0)
+    )
     found = F.array_distinct(
         F.transform(F.filter(_unescape("hrefs"), urls.is_alert_link), urls.alert_form)
     )

@@ -40,8 +40,9 @@ def discovery_report(links: DataFrame) -> DataFrame:
     """Per source: links found, and links no earlier source had. links: (source, url, seq)."""
     found = links.groupBy("source", "url").agg(F.min("seq").alias("seq"))
     fresh = dedup_first(found, ["url"], ["seq"])
+    # counting `seq` keeps it in both branches, so that they share one shuffle of the links
     return (
-        found.select("source", F.lit(1).alias("f"), F.lit(0).alias("n"))
+        found.select("source", F.col("seq").isNotNull().cast("int").alias("f"), F.lit(0).alias("n"))
         .unionByName(fresh.select("source", F.lit(0).alias("f"), F.lit(1).alias("n")))
         .groupBy("source")
         .agg(F.sum("f").alias("found"), F.sum("n").alias("new"))

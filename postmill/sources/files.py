@@ -72,13 +72,16 @@ def message_headers(messages: DataFrame) -> DataFrame:
 
 def api_bodies(captures: DataFrame) -> DataFrame:
     """Captured responses of the postings API whose body is a non-empty JSON object."""
-    doc = F.try_parse_json("body")
     kept = captures.filter(
         F.col("url").contains(fixed.AGGREGATOR_API_HOST)
         & F.lower("url").contains("graphql")
-    ).withColumn("doc", doc)
-    shape = F.schema_of_variant("doc")
-    return kept.filter(shape.startswith("OBJECT<") & (shape != "OBJECT<>"))
+    )
+    # an explode keeps the parse to one evaluation; a filter on it would parse again
+    filled = F.filter(
+        F.array(F.try_parse_json("body")),
+        lambda d: F.size(F.try_variant_get(d, "$", "map<string,variant>")) > 0,
+    )
+    return kept.select("*", F.explode(filled).alias("doc"))
 
 
 def read_api_bodies(spark: SparkSession, path: str) -> DataFrame:
