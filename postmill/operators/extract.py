@@ -51,16 +51,16 @@ def mail_html(messages: DataFrame) -> DataFrame:
         html_data(payload["parts"]),
         html_data(nested),
     )
-    # filtered on the data, not on the decoded text, which would then be decoded twice
-    found = messages.withColumn("__data", data).filter("__data is not null")
-    decoded = F.try_to_binary(F.translate("__data", "-_", "+/"), F.lit("base64")).cast("string")
+    decoded = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64")).cast("string")
     html = let(
         decoded,
         lambda d: F.when(F.is_valid_utf8(d), d).otherwise(
             F.replace(F.make_valid_utf8(d), F.lit("\ufffd"), F.lit(""))
         ),
     )
-    return found.withColumn("html", html).drop("__data")
+    # exploding drops messages without html and decodes once; a filter would decode again
+    filled = F.filter(F.array(html), lambda h: h != "")
+    return messages.select("*", F.explode(filled).alias("html"))
 
 
 def mail_postings(messages: DataFrame, keys: list[str] = ["id"]) -> DataFrame:

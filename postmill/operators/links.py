@@ -117,10 +117,10 @@ def resolve_links(links: DataFrame, base: str = "url") -> DataFrame:
 
 def canonical_page_links(links: DataFrame) -> DataFrame:
     """Replaces `full` by `link`: http(s) only, no fragment, query kept."""
-    return (
-        links.withColumn("link", urls.page_form("full"))
-        .filter(F.col("link").isNotNull())
-        .drop("full")
+    # exploding drops the others with one evaluation; a null filter would resolve twice
+    web = F.array_compact(F.array(urls.page_form("full")))
+    return links.select(
+        *[c for c in links.columns if c != "full"], F.explode(web).alias("link")
     )
 
 
