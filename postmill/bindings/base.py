@@ -14,10 +14,15 @@ ORACLES: dict[str, str] = {}
 NOW = "2026-02-05 13:09:55 EST"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, ints: str = ""):
+    """Register a query under its name; `ints` are the SQL columns that are 32 bits wide."""
+
     def register(fn):
         QUERIES[fn.__name__] = fn
-        if sql:
+        if sql and ints:
+            casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints.split())
+            ORACLES[fn.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql}) AS q"
+        elif sql:
             ORACLES[fn.__name__] = sql
         return fn
 

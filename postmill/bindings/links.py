@@ -32,7 +32,7 @@ def page_links(spark, sf):
 
 
 @query(f"""WITH {PAGE_WORDS}
-SELECT page_id, pos, '/' || word AS href, {SITE} || '/' || word AS "full" FROM w""")
+SELECT page_id, pos, '/' || word AS href, {SITE} || '/' || word AS "full" FROM w""", ints="pos")
 def page_hrefs(spark, sf):
     return L.resolve_links(L.hrefs(load(spark, sf, "pages"), KEYS)).select(
         "page_id", "pos", "href", "full"
@@ -43,7 +43,7 @@ def page_hrefs(spark, sf):
   SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
     unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text,
     generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) - 1 AS pos
-  FROM pages) SELECT page_id, pos, href, trim(text) AS text FROM a""")
+  FROM pages) SELECT page_id, pos, href, trim(text) AS text FROM a""", ints="pos")
 def anchor_texts(spark, sf):
     return L.anchors(load(spark, sf, "pages"), ["page_id"])
 
@@ -100,7 +100,7 @@ l AS (SELECT page_id, pos, unnest({_FORMS}) AS form, {SITE} AS site, word FROM w
 u AS (SELECT page_id, pos, form, site || form || word AS link FROM l)
 SELECT page_id, pos, form, link, length(link) >= 10
   AND NOT {sql_any('lower(link)', fixed.EXCLUDED_LINK_PARTS)}
-  AND {sql_rules('link', fixed.POSTING_LINK_PATTERNS)} AS is_posting FROM u""")
+  AND {sql_rules('link', fixed.POSTING_LINK_PATTERNS)} AS is_posting FROM u""", ints="pos")
 def posting_links(spark, sf):
     words = L.hrefs(load(spark, sf, "pages"), KEYS)
     forms = words.withColumn("form", F.explode(F.array(*map(F.lit, _FORMS))))
@@ -131,7 +131,7 @@ _HOSTED = ["https://boards.greenhouse.io/", "https://Acme-1.greenhouse.io/", "ht
 
 
 @query(f"""WITH {PAGE_WORDS}, l AS (SELECT page_id, pos, word, unnest({_HOSTED}) AS host FROM w)
-SELECT page_id, pos, host || word AS apply_url FROM l WHERE host <> 'https://example.com/'""")
+SELECT page_id, pos, host || word AS apply_url FROM l WHERE host <> 'https://example.com/'""", ints="pos")
 def hosted_links(spark, sf):
     words = L.hrefs(load(spark, sf, "pages"), ["page_id"])
     full = F.concat(F.lit("https://r.example.com/?to="), F.col("host"), F.ltrim("href", F.lit("/")),
@@ -151,7 +151,7 @@ c AS (SELECT seq, p, v FROM (SELECT seq, job_url,
   LATERAL (VALUES (0, job_url), (1, twin), (2, other), (3, CASE WHEN tracked THEN rtrim(other, '/') END)) x(p, v)
   WHERE v IS NOT NULL),
 f AS (SELECT seq, v, min(p) AS p FROM c GROUP BY seq, v)
-SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY p) - 1 AS prio, v AS variant FROM f""")
+SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY p) - 1 AS prio, v AS variant FROM f""", ints="prio")
 def url_variants(spark, sf):
     return L.match_variants(event_table(spark, sf), "job_url").select("seq", "prio", "variant")
 
@@ -162,14 +162,14 @@ _ALERT = "https://www.linkedin.com/comm/jobs/view/$1?trk=a&amp;r=2"
 @query(f"""WITH {PAGE_WORDS},
 f AS (SELECT page_id, 'https://www.linkedin.com/jobs/view/' || word AS url, min(pos) AS pos
       FROM w GROUP BY 1, 2)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, url FROM f""")
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, url FROM f""", ints="pos")
 def alert_links(spark, sf):
     mail = load(spark, sf, "pages").withColumn("html", relink(_ALERT))
     return L.alert_links(mail, ["page_id"])
 
 
 @query(f"""WITH {PAGE_WORDS}
-SELECT page_id, pos, 'https://www.linkedin.com/jobs/view/' || word AS url FROM w""")
+SELECT page_id, pos, 'https://www.linkedin.com/jobs/view/' || word AS url FROM w""", ints="pos")
 def alert_urls(spark, sf):
     words = L.hrefs(load(spark, sf, "pages"), ["page_id"])
     raw = F.concat(

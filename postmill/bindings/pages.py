@@ -116,7 +116,7 @@ f AS (SELECT page_id, {TITLE} AS subject, {HOST} AS sender,
     'https://www.linkedin.com/jobs/view/' || word AS url, min(pos) AS pos FROM w GROUP BY 1, 2, 3, 4)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, 'gmail' AS source, url,
   'Subject: ' || subject || chr(10) || 'From: ' || sender || chr(10) || 'URL: ' || url AS job_description,
-  subject AS email_subject FROM f""")
+  subject AS email_subject FROM f""", ints="pos")
 def mail_postings(spark, sf):
     """Pages sent as mail: html in the second part, or one level deeper, by language."""
     return X.mail_postings(messages(spark, sf), ["page_id"]).select(
@@ -207,7 +207,7 @@ def nested_postings(spark, sf):
 @query(f"""WITH {PAGE_WORDS},
 f AS (SELECT page_id, 'https://jobs.lever.co/acme/' || word AS job_url, min(pos) AS pos FROM w GROUP BY 1, 2)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, job_url,
-  '' AS job_description FROM f""")
+  '' AS job_description FROM f""", ints="pos")
 def hosted_page_links(spark, sf):
     pages = load(spark, sf, "pages").withColumn("html", relink("https://jobs.lever.co/acme/$1"))
     return X.page_apply_links(pages, KEYS).drop("url")
@@ -216,7 +216,7 @@ def hosted_page_links(spark, sf):
 @query(f"""WITH {PAGE_WORDS},
 f AS (SELECT page_id, {SITE} || '/' || word AS job_url, word, min(pos) AS pos FROM w GROUP BY 1, 2, 3)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, job_url,
-  'Apply ' || word AS job_description FROM f""")
+  'Apply ' || word AS job_description FROM f""", ints="pos")
 def apply_page_links(spark, sf):
     """Pages without hosted links: links that speak of applying, with the text around them."""
     html = F.regexp_replace("html", '<a href="/([^"]*)">', '<a href="/$1">Apply ')
@@ -224,7 +224,7 @@ def apply_page_links(spark, sf):
 
 
 @query(f"""WITH {PAGE_WORDS}
-SELECT page_id, {SITE} || '/' || word AS job_url, min(pos) AS pos FROM w GROUP BY 1, 2""")
+SELECT page_id, {SITE} || '/' || word AS job_url, min(pos) AS pos FROM w GROUP BY 1, 2""", ints="pos")
 def apply_buttons(spark, sf):
     html = F.regexp_replace("html", '<a href="/([^"]*)">', '<a href="/$1">Apply ')
     pages = load(spark, sf, "pages").withColumn("html", html)
@@ -235,6 +235,6 @@ def apply_buttons(spark, sf):
   contains(html, '<article>') AS has_article, contains(html, '<body') AS has_body,
   contains(html, 'ld+json') AS has_structured, contains(html, 'JobPosting') AS names_posting,
   length({SHOWN_TITLE}) AS role_title_chars, 0 AS company_chars, 0 AS location_chars,
-  length(left({ARTICLE}, 6000)) AS description_chars FROM pages""")
+  length(left({ARTICLE}, 6000)) AS description_chars FROM pages""", ints="html_chars role_title_chars description_chars")
 def page_report(spark, sf):
     return report_pages(load(spark, sf, "pages"), ["page_id"])

@@ -89,7 +89,7 @@ def company_cascade(spark, sf):
 
 @query(f"""WITH {_STATE} SELECT s.seq AS company_seq, s.company, s.level, l.url,
   row_number() OVER (PARTITION BY s.seq ORDER BY l.pos) - 1 AS pos
-FROM s JOIN l ON l.page_id = s.seq WHERE s.level IS NOT NULL""")
+FROM s JOIN l ON l.page_id = s.seq WHERE s.level IS NOT NULL""", ints="pos")
 def company_links(spark, sf):
     return C.company_postings(
         C.discover_companies(companies(spark, sf), company_pages(spark, sf))

@@ -30,7 +30,7 @@ _PACKED = """d AS (SELECT doc_id AS seq, 'https://d.example.com/' || doc_id AS u
 p AS (SELECT *, i // 10 AS batch, i % 10 + 1 AS place FROM d)"""
 
 
-@query(f"WITH {_PACKED} SELECT seq, batch, place, length(about) AS chars FROM p")
+@query(f"WITH {_PACKED} SELECT seq, batch, place, length(about) AS chars FROM p", ints="place chars")
 def doc_packs(spark, sf):
     return S.pack(postings(spark, sf)).select(
         "seq", "batch", "place", F.length("job_description").alias("chars")
@@ -131,7 +131,7 @@ def assembled_scores(spark, sf):
 
 
 @query(f"""WITH {_PACKED}, k AS (SELECT batch, count(*) AS n, max(length(about)) AS longest FROM p GROUP BY batch)
-SELECT batch, CASE WHEN longest >= 6000 THEN 1 ELSE 0 END AS try, n AS n_items FROM k""")
+SELECT batch, CASE WHEN longest >= 6000 THEN 1 ELSE 0 END AS try, n AS n_items FROM k""", ints="n_items")
 def scored_packs(spark, sf):
     """A user function on every pack; packs with a very long text are refused at first."""
     import json

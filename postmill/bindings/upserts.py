@@ -117,7 +117,7 @@ SELECT seq, job_url, '' AS source, '' AS company, '' AS fetch_status, '' AS fetc
 UNION ALL
 SELECT a.doc_id + 1 + (SELECT max(seq) FROM t), url, 'swooped', source, 'fetched', '1', '{NOW}',
   md5(left(text, 6000)), least(length(text), 500)
-FROM a JOIN documents USING (doc_id) WHERE url || '/' NOT IN (SELECT job_url FROM t)""")
+FROM a JOIN documents USING (doc_id) WHERE url || '/' NOT IN (SELECT job_url FROM t)""", ints="summary_chars")
 def insert_described(spark, sf):
     """Postings that arrive with their text; copies of a text share an address."""
     docs = load(spark, sf, "documents")
