@@ -96,8 +96,7 @@ _CLOSED = "contains(lower(text), 'ndsh')"
 @query(f"""WITH d AS (SELECT doc_id, lang, source, {_CLOSED} AS closed FROM documents),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM d WHERE NOT closed),
 p AS (SELECT *, i // 10 AS batch, i % 10 + 1 AS place FROM o),
-v AS (SELECT batch, arg_min(lang, place) = 'en' AS ok, min(CASE WHEN lang = 'fr' THEN 0 ELSE 1 END) = 0 AS retried
-  FROM p GROUP BY batch),
+v AS (SELECT batch, arg_min(lang, place) = 'en' AS ok FROM p GROUP BY batch),
 s AS (SELECT 'https://d.example.com/' || doc_id AS url, 2 AS list, 0 AS part, 0 AS batch, doc_id AS pos,
     'reject' AS bucket, 'Role is closed: no longer accepting applications' AS why, 'Skip' AS what_to_do_next
   FROM d WHERE closed

@@ -169,4 +169,4 @@ def test_notes_and_feedback_replies(spark):
     tries = spark.createDataFrame([("me", 0, 0, "x"), ("me", 0, 1, replies[0]), ("me", 1, 2, replies[0])],
                                   df.schema)
     status = {r.seq: (r.entity, r.status) for r in P.feedback_status(tries).collect()}
-    assert status == {0: ("A", "parsed")} or status == {0: ("A", "parsed"), 1: (None, "PARSE_FAILED")}
+    assert status == {0: ("A", "parsed")}  # a third try does not count
