@@ -6,14 +6,16 @@ pieces it covers, so the text of any element is a slice."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # --- Fixed values: elements without content, elements whose text is not shown
-VOID_TAGS = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source "
-    "track wbr basefont bgsound command frame image isindex nextid spacer".split()
+VOID_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem",
+    "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image",
+    "isindex", "nextid", "spacer",
 )
-HIDDEN_TAGS = frozenset("script style template rt rp".split())
+HIDDEN_TAGS = ("script", "style", "template", "rt", "rp")
 
 
 class Element:
@@ -30,6 +32,8 @@ class Outline(HTMLParser):
         self.pieces: list[tuple[str, bool]] = []
         self.elements: list[Element] = []
         self._stack: list[Element] = []
+        self._open: Counter[str] = Counter()  # open elements by tag, so that no step scans them
+        self._hidden = 0
         self._pending: list[str] = []
         self.feed(html)
         self.close()
@@ -37,8 +41,7 @@ class Outline(HTMLParser):
 
     def _flush(self):
         if self._pending:
-            hidden = any(e.tag in HIDDEN_TAGS for e in self._stack)
-            self.pieces.append(("".join(self._pending), hidden))
+            self.pieces.append(("".join(self._pending), self._hidden > 0))
             self._pending = []
 
     def _enter(self, tag, attrs):
@@ -49,15 +52,19 @@ class Outline(HTMLParser):
         )
         self.elements.append(element)
         self._stack.append(element)
+        self._open[tag] += 1
+        self._hidden += tag in HIDDEN_TAGS
 
     def _leave(self, tag):
         self._flush()
-        if any(e.tag == tag for e in self._stack):
-            while True:  # an end tag closes everything left open inside it
-                closed = self._stack.pop()
-                closed.last = len(self.pieces)
-                if closed.tag == tag:
-                    return
+        closed = None
+        while self._open[tag] and (closed is None or closed.tag != tag):
+            closed = self._stack.pop()  # an end tag closes everything left open inside it
+            closed.last = len(self.pieces)
+            self._open[closed.tag] -= 1
+            self._hidden -= closed.tag in HIDDEN_TAGS
+            if closed.tag == tag:
+                break
 
     def handle_starttag(self, tag, attrs):
         self._enter(tag, attrs)
@@ -106,7 +113,12 @@ class Outline(HTMLParser):
 
 
 def plain_text(value: str) -> str:
-    """Text of an HTML fragment, or of plain text, with blanks squashed."""
+    """Text of an HTML fragment, or of plain text, with blanks squashed.
+
+    What the parser cannot read is taken as plain text."""
     if "<" in value and ">" in value:
-        value = Outline(value.strip()).text()
+        try:
+            value = Outline(value.strip()).text()
+        except AssertionError:  # what it raises on a declaration that is none
+            pass
     return " ".join(value.split())

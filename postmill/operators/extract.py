@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from urllib.parse import urljoin
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from postmill.functions import urls
 from postmill.functions.dom import Outline, plain_text
 from postmill.functions.text import has_any, let, non_empty, squash, strip, text
 from postmill.operators.dedup import dedup_first
-from postmill.operators.links import alert_links, anchors, resolve_links
+from postmill.operators.links import alert_links, anchor_lists, anchors, resolve_links
 from postmill.sources.files import message_headers
 
 
@@ -135,132 +134,182 @@ def to_text(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.coalesce(_plain(F.when(tagged, c)), squash(c)))
 
 
-def _structured(outline: Outline) -> tuple | None:
-    """(title, company, location, description) of the first posting in ld+json scripts."""
-    for script in outline.elements:
-        if script.tag != "script" or script.attrs.get("type") != "application/ld+json":
-            continue
-        try:
-            data = json.loads(outline.raw(script) or "{}")
-        except ValueError:
-            continue
-        for item in data if isinstance(data, list) else [data]:
-            if not isinstance(item, dict) or item.get("@type") != "JobPosting":
-                continue
-            title, description = item.get("title") or "", item.get("description") or ""
-            if not (title or description):
-                continue
-            org = item.get("hiringOrganization")
-            place = item.get("jobLocation")
-            address = place.get("address") if isinstance(place, dict) else None
-            company = org.get("name", "") if isinstance(org, dict) else ""
-            locality = (
-                address.get("addressLocality") or "" if isinstance(address, dict) else ""
-            )
-            return (
-                title.strip(), company.strip(), locality.strip(),
-                plain_text(str(description))[: fixed.DESCRIPTION_CHARS],
-            )
-    return None
-
-
-def _described(outline: Outline) -> str:
-    """Main text of a page; marked-up containers when that is short; else the body."""
-
-    def line(element) -> str:
-        return " ".join(outline.text(element).split())
-
-    body = outline.first_tag("body")
-    main = (
-        outline.first_tag("main")
-        or next((e for e in outline.elements if e.attrs.get("role") == "main"), None)
-        or outline.first_tag("article")
-        or body
-    )
-    found = line(main) if main else ""
-    if len(found) < fixed.MIN_DESCRIPTION_CHARS:
-        for attr, pattern in (
-            ("class", fixed.DESCRIPTION_CLASS_PATTERN),
-            ("id", fixed.DESCRIPTION_ID_PATTERN),
-            ("data-testid", fixed.DESCRIPTION_TESTID_PATTERN),
-        ):
-            container = outline.first_attr(attr, re.compile(pattern))
-            if container:
-                found = line(container)
-                if len(found) >= fixed.MIN_DESCRIPTION_CHARS:
-                    break
-    if not found and body:
-        found = line(body)
-    return plain_text(found)[: fixed.DESCRIPTION_CHARS]
+def _opened(html: str | None, read: Callable[[Outline], dict]) -> dict:
+    """What `read` makes of a page; of one that cannot be read, only `parse_error`, its kind."""
+    try:
+        return read(Outline(html or ""))
+    except Exception as broken:  # one bad page must not end the job
+        return {"parse_error": type(broken).__name__}
+
+
+OUTLINE = (
+    "title STRING, h1 STRING, scripts ARRAY<STRING>, main STRING, marked ARRAY<STRING>, "
+    "body STRING, parse_error STRING"
+)
+#: Attributes that may mark the description, tried in this order.
+_MARKS = {
+    "class": re.compile(fixed.DESCRIPTION_CLASS_PATTERN),
+    "id": re.compile(fixed.DESCRIPTION_ID_PATTERN),
+    "data-testid": re.compile(fixed.DESCRIPTION_TESTID_PATTERN),
+}
 
 
 def page_outlines(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """The one Python pass over html: keys, title, h1, description, and the structured
-    posting (`ld`, null if none). `parse_error` names what broke a page, else null.
-
-    Filter pages before it: nothing is pushed through. The html is dropped here."""
-
-    def fields(html: str | None) -> tuple:
-        try:
-            outline = Outline(html or "")
-            ld = _structured(outline)
-            if ld:
-                return "", "", "", ld, None
-            title, h1 = outline.first_tag("title"), outline.first_tag("h1")
-            return (
-                outline.text(title, "").strip() if title else "",
-                outline.text(h1, "") if h1 else "",
-                _described(outline),
-                None,
-                None,
-            )
-        except Exception as broken:  # one bad page must not end the job
-            return "", "", "", None, type(broken).__name__
-
-    parts = ["title", "h1", "description", "ld", "parse_error"]
-    ld_names = ["role_title", "company", "location", "description"]
+    """The one Python pass over html: keys, and the texts that the columns below choose from.
+
+    title, h1; scripts: the ld+json ones, in order; main, marked (the first container by each
+    attribute, in order) and body: where a description may stand. `parse_error` names what broke
+    a page, else null. Filter pages before it: nothing is pushed through. The html is dropped here."""
+
+    def read(outline: Outline) -> dict:
+        kinds = {}  # the first element of each sort, in one walk over the page
+        scripts = []
+        for e in outline.elements:
+            kinds.setdefault(e.tag, e)
+            if e.attrs.get("role") == "main":
+                kinds.setdefault("[role=main]", e)
+            for name, pattern in _MARKS.items():
+                if name in e.attrs and name + "=" not in kinds and pattern.search(e.attrs[name]):
+                    kinds[name + "="] = e
+            if e.tag == "script" and e.attrs.get("type") == "application/ld+json":
+                scripts.append(outline.raw(e))
+
+        def shown(kind: str) -> str | None:
+            return " ".join(outline.text(kinds[kind]).split()) if kind in kinds else None
+
+        whole = next((k for k in ("main", "[role=main]", "article", "body") if k in kinds), "body")
+        return {
+            "title": outline.text(kinds["title"], "").strip() if "title" in kinds else "",
+            "h1": outline.text(kinds["h1"], "") if "h1" in kinds else "",
+            "scripts": scripts,
+            "main": shown(whole) or "",
+            "marked": [t for name in _MARKS if (t := shown(name + "=")) is not None],
+            "body": "" if whole == "body" else shown("body") or "",
+        }
+
+    names = [f.split()[0] for f in OUTLINE.split(", ")]
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = pd.DataFrame(
-                [fields(h) for h in batch["html"]], columns=parts, index=batch.index
-            )
-            found["ld"] = found["ld"].map(
-                lambda ld: dict(zip(ld_names, ld)) if ld is not None else None
-            )
-            yield pd.concat([batch[keys], found], axis=1)
-
-    return pages.select(*keys, "html").mapInPandas(
-        job,
-        _key_schema(pages, keys)
-        + ", title STRING, h1 STRING, description STRING, ld STRUCT<role_title: STRING,"
-        " company: STRING, location: STRING, description: STRING>, parse_error STRING",
+            for start in range(0, len(batch), 64):  # bounded output per Arrow batch
+                part = batch.iloc[start : start + 64]
+                found = [_opened(h, read) for h in part["html"]]
+                yield part[keys].assign(**{n: [f.get(n) for f in found] for n in names})
+
+    return pages.select(*keys, "html").mapInPandas(job, f"{_key_schema(pages, keys)}, {OUTLINE}")
+
+
+def _main_text(shortest: int) -> Column:
+    """The page's main text; if it is shorter than `shortest`, a marked container's: the first
+    long enough, else the last there is; if that is empty, the body's."""
+    long_ones = F.filter("marked", lambda t: F.length(t) >= shortest)
+    short = F.coalesce(F.get(long_ones, F.lit(0)), F.try_element_at("marked", F.lit(-1)), "main")
+    found = F.when(F.length("main") >= shortest, F.col("main")).otherwise(short)
+    return F.coalesce(non_empty(found), non_empty("body"), "main")  # no body where it is the main
+
+
+def _items(scripts: Column | str) -> Column:
+    """All objects of all ld+json scripts, in order, as variants; what is not JSON is left out."""
+    parsed = F.transform(scripts, lambda t: F.try_parse_json(F.coalesce(non_empty(t), F.lit("{}"))))
+    lists = F.transform(parsed, lambda v: F.coalesce(_get(v, "$", "array<variant>"), F.array(v)))
+    return F.filter(F.flatten(F.filter(lists, lambda x: x.isNotNull())), lambda v: v.isNotNull())
+
+
+def _given(v: Column, path: str) -> Column:
+    """The value at a path, null if there is none or it says nothing (null, "", 0, false, empty)."""
+    return let(
+        _get(v, path, "variant"),
+        lambda x: F.when(
+            ~F.is_variant_null(x) & ~F.to_json(x).isin('""', "0", "0.0", "false", "[]", "{}"), x
+        ),
     )
 
 
+def _only_text(x: Column) -> Column:
+    return F.when(F.schema_of_variant(x) == "STRING", _get(x, "$"))
+
+
+def structured(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """`page_outlines` with `ld`: the first posting of its ld+json scripts that has a title or a
+    description (role_title, company, location, description), null without one.
+
+    A title, company or place that is there but no text makes the page a parse error. A description
+    that is no text is given as JSON."""
+    is_posting = lambda v: (
+        (_get(v, "$['@type']") == "JobPosting")
+        & (_given(v, "$.title").isNotNull() | _given(v, "$.description").isNotNull())
+    )
+    first = F.get(F.filter(_items("scripts"), is_posting), F.lit(0))
+    # bound by a generator, so that the scripts are read once
+    read = page_outlines(pages, keys).select("*", F.explode(F.array(first)).alias("__ld"))
+    org = _get(F.col("__ld"), "$.hiringOrganization", "map<string,variant>")
+    name = F.col("__ld"), "$.hiringOrganization.name"
+    parts = {
+        "title": _given(F.col("__ld"), "$.title"),
+        "company": _get(*name, "variant"),
+        "place": _given(F.col("__ld"), "$.jobLocation.address.addressLocality"),
+    }
+    odd = F.lit(False)
+    for part in parts.values():
+        odd = odd | (part.isNotNull() & (F.schema_of_variant(part) != "STRING"))
+    about = _given(F.col("__ld"), "$.description")
+    read = read.withColumn(
+        "__about", F.coalesce(_only_text(about), F.when(about.isNotNull(), F.to_json(about)), F.lit(""))
+    )
+    read = to_text(read.withColumn("__about", F.when(F.col("__ld").isNotNull(), F.col("__about"))), "__about")
+    ld = F.struct(
+        strip(text(_only_text(parts["title"]))).alias("role_title"),
+        strip(text(F.when(org.isNotNull(), _only_text(parts["company"])))).alias("company"),
+        strip(text(_only_text(parts["place"]))).alias("location"),
+        F.col("__about").alias("description"),
+    )
+    broken = F.col("__ld").isNotNull() & odd
+    return read.withColumns({
+        "parse_error": F.when(broken, F.lit("AttributeError")).otherwise(F.col("parse_error")),
+        "ld": F.when(F.col("__ld").isNotNull() & ~broken, ld),
+        "__broken": broken,
+    }).drop("__ld", "__about")
+
+
 def jsonld_postings(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Pages that carry a structured posting: keys and its four fields."""
     marked = pages.filter(F.col("html").contains("ld+json"))
-    return page_outlines(marked, keys).filter("ld is not null").select(*keys, "ld.*")
+    return structured(marked, keys).filter("ld is not null").select(*keys, "ld.*")
+
 
+def descriptions(
+    pages: DataFrame, keys: list[str], shortest: int = fixed.MIN_DESCRIPTION_CHARS
+) -> DataFrame:
+    read = page_outlines(pages, keys).select(*keys, _main_text(shortest).alias("description"))
+    return to_text(read, "description")
 
-def descriptions(pages: DataFrame, keys: list[str]) -> DataFrame:
-    return page_outlines(pages, keys).select(*keys, "description")
 
+def parse_pages(
+    pages: DataFrame, keys: list[str], shortest: int = fixed.MIN_DESCRIPTION_CHARS,
+    chars: int | None = None,
+) -> DataFrame:
+    """keys, role_title, company, location, description, parse_error.
 
-def parse_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, role_title, company, location, description, parse_error."""
-    read = page_outlines(pages, keys)
-    titled = fix_generic_titles(split_titles(read))
+    Descriptions are whole, or the first `chars` characters if that is given."""
+    read = structured(pages, keys)
+    bare = F.col("ld").isNull() & F.col("parse_error").isNull()
+    read = read.withColumns({
+        "description": F.when(bare, _main_text(shortest)),
+        "title": F.when(bare, F.col("title")).otherwise(F.lit("")),
+        "h1": F.when(bare, F.col("h1")).otherwise(F.lit("")),
+    })
+    titled = fix_generic_titles(split_titles(to_text(read, "description")))
 
     def pick(name: str) -> Column:
         return F.when(F.col("ld").isNotNull(), F.col("ld")[name]).otherwise(F.col(name))
 
-    return titled.select(
-        *keys,
-        *[pick(c).alias(c) for c in ("role_title", "company", "location", "description")],
-        "parse_error",
-    )
+    fields = {c: pick(c) for c in ("role_title", "company", "location", "description")}
+    fields["description"] = shortened(fields["description"], chars)
+    return titled.select(*keys, *[v.alias(c) for c, v in fields.items()], "parse_error")
+
+
+def shortened(value: Column, chars: int | None) -> Column:
+    return value if chars is None else F.left(value, F.lit(chars))
 
 
 # --- capture bodies ------------------------------------------------------------------
@@ -334,127 +383,151 @@ def _listed(o: Column) -> Column:
         text(strip(company)).alias("company"),
         strip(_texts(o, fixed.LIST_TITLE_KEYS)).alias("role_title"),
         strip(_texts(o, fixed.LIST_LOCATION_KEYS)).alias("location"),
-        F.left(
-            _texts(o, fixed.LIST_DESCRIPTION_KEYS), F.lit(fixed.DESCRIPTION_CHARS)
-        ).alias("job_description"),
+        _texts(o, fixed.LIST_DESCRIPTION_KEYS).alias("job_description"),
     )
 
 
-def _walk(body: str | None) -> list[dict] | None:
-    """Objects of a body that have an address, parents before children, document order."""
+_WALKED = frozenset((
+    *fixed.WALK_URL_KEYS, *fixed.WALK_TITLE_KEYS, *fixed.WALK_COMPANY_KEYS,
+    *fixed.WALK_DESCRIPTION_KEYS, *fixed.WALK_LOCATION_KEYS,
+))
+
+
+def _objects(body: str) -> Iterator[dict]:
+    """Every object of a JSON text, parents before children, in document order."""
+    open_ = [iter([json.loads(body)])]
+    while open_:
+        node = next(open_[-1], open_)
+        if node is open_:
+            open_.pop()
+        elif isinstance(node, dict):
+            yield node
+            open_.append(iter(node.values()))
+        elif isinstance(node, list):
+            open_.append(iter(node))
+
+
+def _addressed(body: str | None) -> tuple[list[str] | None, str | None]:
+    """(objects that may have an address, as JSON with the fields that count; what went wrong)."""
     if body is None:
-        return None
+        return None, None
+    try:
+        return [
+            json.dumps({k: o[k] for k in o.keys() & _WALKED})
+            for o in _objects(body) if not o.keys().isdisjoint(fixed.WALK_URL_KEYS)
+        ], None
+    except (ValueError, RecursionError) as broken:
+        return None, type(broken).__name__
 
-    def shown(value) -> str:
-        if isinstance(value, dict):
-            return str(value.get("name", value.get("title", "")) or "")
-        return "" if value is None else str(value).strip()
 
-    def first(o: dict, names: list[str]):
-        return next((o[n] for n in names if o.get(n)), None)
+_WALK = T.StructType([
+    T.StructField("objects", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()),
+])
 
-    def address(o: dict) -> str:
-        fits = (
-            o[n] for n in fixed.WALK_URL_KEYS
-            if isinstance(o.get(n), str) and o[n].startswith("http")
-            and fixed.AGGREGATOR_HOST not in o[n]
-        )
-        return next(fits, "").strip()
-
-    found, waiting = [], [json.loads(body)]
-    while waiting:
-        node = waiting.pop()
-        if isinstance(node, dict):
-            if address(node):
-                about = first(node, fixed.WALK_DESCRIPTION_KEYS)
-                found.append({
-                    "job_url": address(node),
-                    "company": shown(first(node, fixed.WALK_COMPANY_KEYS)),
-                    "role_title": shown(first(node, fixed.WALK_TITLE_KEYS)),
-                    "location": shown(first(node, fixed.WALK_LOCATION_KEYS)),
-                    "job_description": about[: fixed.DESCRIPTION_CHARS]
-                    if isinstance(about, str) else "",
-                })
-            waiting.extend(reversed(node.values()))
-        elif isinstance(node, list):
-            waiting.extend(reversed(node))
-    return found
+
+@F.pandas_udf(_WALK)
+def _walked(bodies: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_addressed(b) for b in bodies], columns=["objects", "error"])
+
+
+def _first_given(o: Column, names: list[str]) -> Column:
+    return F.coalesce(*[_given(o, f"$.{n}") for n in names])
 
 
-@F.pandas_udf(_POSTINGS)
-def _walked(bodies: pd.Series) -> pd.Series:
-    return bodies.map(_walk)
+def _shown(x: Column) -> Column:
+    """A value as text: an object by its name, or its title if it has no name; others as written."""
+    named = F.coalesce(_get(x, "$.name", "variant"), _get(x, "$.title", "variant"))
+    as_text = lambda v: F.coalesce(_get(v, "$"), F.to_json(v))
+    return text(
+        F.when(_get(x, "$", "map<string,variant>").isNotNull(), let(named, lambda v: as_text(v)))
+        .otherwise(strip(as_text(x)))
+    )
+
+
+def _walked_posting(o: Column) -> Column:
+    """Posting fields of an object met anywhere in a body."""
+    fits = lambda u: u.startswith("http") & ~u.contains(fixed.AGGREGATOR_HOST)
+    address = [let(_text_at(o, n), lambda u: F.when(fits(u), strip(u))) for n in fixed.WALK_URL_KEYS]
+    return F.struct(
+        F.coalesce(*address, F.lit("")).alias("job_url"),
+        let(_first_given(o, fixed.WALK_COMPANY_KEYS), _shown).alias("company"),
+        let(_first_given(o, fixed.WALK_TITLE_KEYS), _shown).alias("role_title"),
+        let(_first_given(o, fixed.WALK_LOCATION_KEYS), _shown).alias("location"),
+        text(let(_first_given(o, fixed.WALK_DESCRIPTION_KEYS), _only_text)).alias("job_description"),
+    )
 
 
 def api_postings(bodies: DataFrame) -> DataFrame:
     """Postings of captured bodies (seq, page, url, body, doc): seq, page, pos and the
     posting columns; in a body, the first of a repeated url wins.
 
-    Bodies with a posting list are read with variant functions. Only the others go to
-    a Python worker, as text, because a variant does not keep field order."""
-    listed = _posting_list("doc")
-    is_object = lambda o: _get(o, "$", "map<string,variant>").isNotNull()
-    fields = F.transform(F.filter(listed, is_object), _listed).cast(_POSTINGS)
-    rest = _walked(F.when(listed.isNull(), F.col("body")))
-    rows = bodies.select("seq", "page", fields.alias("a"), rest.alias("b")).select(
-        "seq", "page", F.posexplode(F.coalesce("a", "b")).alias("pos", "p")
+    Bodies with a posting list are read with variant functions alone. The others pass a Python
+    worker, which finds their objects in order (a variant does not keep field order); a body that
+    it cannot read gives no rows, see `unread_bodies`. The two kinds are read apart: the list is
+    bound by a generator, and only bodies without one are sent to Python."""
+    bound = bodies.select(
+        "seq", "page", "body", F.explode(F.array(F.struct(_posting_list("doc").alias("l")))).alias("b")
+    )
+    is_object = lambda o: _get(o, "$", "map<string,variant>").isNotNull()
+    listed = bound.filter("b.l is not null").select("seq", "page", F.posexplode("b.l").alias("pos", "o"))
+    listed = listed.filter(is_object(F.col("o"))).select("seq", "page", "pos", _listed(F.col("o")).alias("p"))
+    walked = bound.filter("b.l is null").select("seq", "page", _walked("body").alias("w")).select(
+        "seq", "page", F.posexplode("w.objects").alias("pos", "o")
+    ).select("seq", "page", "pos", F.explode(F.array(F.try_parse_json("o"))).alias("o"))
+    walked = walked.select("seq", "page", "pos", _walked_posting(F.col("o")).alias("p"))
+    rows = listed.unionByName(walked).select(
+        "seq", "page", "pos", *[F.col(f"p.{c}").alias(c) for c in POSTING_COLUMNS]
     )
-    kept = rows.select("seq", "page", "pos", "p.*").filter(
+    kept = rows.filter(
         (F.col("job_url") != "") & ~F.col("job_url").contains(fixed.AGGREGATOR_HOST)
     )
     return dedup_first(kept, ["seq", "job_url"], ["pos"])
 
 
-# --- rendered pages --------------------------------------------------------------------
+def unread_bodies(bodies: DataFrame) -> DataFrame:
+    """seq, page, error: bodies without a posting list whose text cannot be walked."""
+    rest = bodies.filter(_posting_list("doc").isNull())
+    return rest.select("seq", "page", F.explode(F.array(_walked("body")["error"])).alias("error")).filter(
+        "error is not null"
+    )
 
-def page_apply_links(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Links of a rendered page into hosted application systems, with the text around them;
-    on pages without any, links whose text speaks of applying.
-
-    keys (must hold `url`), pos, job_url, job_description; once per page, first wins."""
-    hosted = re.compile(fixed.HOSTED_LINK_PATTERN, re.IGNORECASE)
-    at = keys.index("url")
-
-    def links(page: tuple) -> Iterator[tuple[bool, str, str]]:
-        outline = Outline(page[-1] or "")
-
-        def around(a) -> str:
-            block = a.parent
-            while block is not None and block.tag not in fixed.CONTEXT_TAGS:
-                block = block.parent
-            return outline.text(block)[: fixed.DESCRIPTION_CHARS] if block else ""
-
-        for a in outline.elements:
-            href = a.attrs.get("href", "").strip() if a.tag == "a" else ""
-            if not href:
-                continue
-            full = urljoin(page[at], href)
-            usable = not href.startswith("#") and "javascript:" not in href
-            m = hosted.search(full) if usable else None
-            if m:
-                nearby = around(a)
-                yield True, m.group(0), nearby if len(nearby) > fixed.MIN_DESCRIPTION_CHARS else ""
-            words = outline.text(a, "").lower()
-            if fixed.AGGREGATOR_HOST not in href and any(p in words for p in fixed.APPLY_PHRASES):
-                yield False, full, around(a)
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page in batch.itertuples(index=False, name=None):
-                found = list(links(page))
-                best = any(is_hosted for is_hosted, _, _ in found)
-                chosen = {}
-                for is_hosted, link, about in found:
-                    if is_hosted == best:
-                        chosen.setdefault(link, about)
-                out += [(*page[:-1], pos, *kv) for pos, kv in enumerate(chosen.items())]
-            yield pd.DataFrame(out, columns=[*keys, "pos", "job_url", "job_description"])
-
-    return pages.select(*keys, "html").mapInPandas(
-        job,
-        _key_schema(pages, keys) + ", pos INT, job_url STRING, job_description STRING",
+# --- rendered pages --------------------------------------------------------------------
+
+def page_apply_links(
+    pages: DataFrame, keys: list[str], shortest: int = fixed.MIN_DESCRIPTION_CHARS,
+    chars: int | None = None,
+) -> DataFrame:
+    """Links of a rendered page into hosted application systems, with the text around them if that
+    is longer than `shortest`; on pages without any, links whose text speaks of applying.
+
+    keys (must hold `url`), pos, job_url, job_description; once per page, first wins. A page's
+    links are one row, so choosing among them needs no shuffle. Texts are whole, or of `chars`
+    characters. A page that cannot be parsed gives no links, an address that cannot be resolved
+    none of its own."""
+    lists = anchor_lists(pages, keys, context=True)
+    full = urls.resolve_sql("url", "a.href")
+    linked = lists.select(*keys, F.expr(f"""filter(transform(anchors, a -> named_struct(
+        'href', a.href, 'words', lower(a.text), 'about', coalesce(a.context, ''), 'full', {full})),
+        a -> a.href <> '' and a.full is not null)""").alias("links"))
+    usable = lambda a: ~a["href"].startswith("#") & ~a["href"].contains("javascript:")
+
+    def hosted(a: Column) -> Column:
+        url = F.regexp_extract(a["full"], "(?i)" + fixed.HOSTED_LINK_PATTERN, 0)
+        about = shortened(a["about"], chars)
+        kept = F.when(F.length(about) > shortest, about).otherwise(F.lit(""))
+        return F.struct(F.when(usable(a), url).otherwise(F.lit("")).alias("job_url"), kept.alias("job_description"))
+
+    of_hosts = F.filter(F.transform("links", hosted), lambda p: p["job_url"] != "")
+    speaking = F.transform(
+        F.filter("links", lambda a: ~a["href"].contains(fixed.AGGREGATOR_HOST) & has_any(a["words"], fixed.APPLY_PHRASES)),
+        lambda a: F.struct(a["full"].alias("job_url"), shortened(a["about"], chars).alias("job_description")),
     )
+    both = linked.select(*keys, F.explode(F.array(F.struct(of_hosts.alias("h"), speaking.alias("s")))).alias("c"))
+    chosen = both.select(*keys, F.when(F.size("c.h") > 0, F.col("c.h")).otherwise(F.col("c.s")).alias("c"))
+    chosen = chosen.select(*keys, "c", F.transform("c", lambda p: p["job_url"]).alias("all"))
+    firsts = F.filter("c", lambda p, i: F.array_position("all", p["job_url"]) == i + 1)
+    return chosen.select(*keys, F.posexplode(firsts).alias("pos", "p")).select(*keys, "pos", "p.*")
 
 
 def apply_buttons(pages: DataFrame, keys: list[str]) -> DataFrame:

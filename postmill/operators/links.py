@@ -54,14 +54,20 @@ ANCHOR = "STRUCT<pos: INT, href: STRING, text: STRING, context: STRING>"
 def anchor_lists(pages: DataFrame, keys: list[str], context: bool = False) -> DataFrame:
     """One row per page: keys and `anchors`, every `<a href>` in document order.
 
-    With `context`, an anchor also has the text of its nearest enclosing block,
-    cut to the description length. Filter pages first: nothing is pushed through
-    this job. It keeps a page's links in its row, so that per-page work after it
+    With `context`, an anchor also has the text of its nearest enclosing block. A page that
+    cannot be parsed has no anchors and the kind of its error in `error`, else null. Filter
+    pages first: nothing is pushed through this job. It keeps a page's links in its row, so that per-page work after it
     is array functions and needs no shuffle."""
     names = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
     blocks = frozenset(fixed.CONTEXT_TAGS)
 
-    def page_anchors(html: str | None) -> list[dict]:
+    def page_anchors(html: str | None) -> tuple[list[dict], str | None]:
+        try:
+            return read(html), None
+        except Exception as broken:  # one bad page must not end the job
+            return [], type(broken).__name__
+
+    def read(html: str | None) -> list[dict]:
         outline, texts = Outline(html or ""), {}
 
         def around(a):
@@ -71,7 +77,7 @@ def anchor_lists(pages: DataFrame, keys: list[str], context: bool = False) -> Da
             if block is None:
                 return None
             if id(block) not in texts:
-                texts[id(block)] = outline.text(block)[: fixed.DESCRIPTION_CHARS]
+                texts[id(block)] = outline.text(block)
             return texts[id(block)]
 
         links = (e for e in outline.elements if e.tag == "a" and "href" in e.attrs)
@@ -89,9 +95,12 @@ def anchor_lists(pages: DataFrame, keys: list[str], context: bool = False) -> Da
         for batch in batches:
             for start in range(0, len(batch), 64):  # bounded output per Arrow batch
                 part = batch.iloc[start : start + 64]
-                yield part[keys].assign(anchors=part["html"].map(page_anchors))
+                both = [page_anchors(h) for h in part["html"]]
+                yield part[keys].assign(anchors=[a for a, _ in both], error=[e for _, e in both])
 
-    return pages.select(*keys, "html").mapInPandas(job, f"{names}, anchors ARRAY<{ANCHOR}>")
+    return pages.select(*keys, "html").mapInPandas(
+        job, f"{names}, anchors ARRAY<{ANCHOR}>, error STRING"
+    )
 
 
 def anchors(pages: DataFrame, keys: list[str], context: bool = False) -> DataFrame:

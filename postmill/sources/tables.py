@@ -5,6 +5,8 @@ string is the null. Row position is never a key."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +14,15 @@ from postmill.functions.text import strip, text
 
 
 def column_key(name: str | None) -> str:
-    return (name or "").strip().lower().replace(" ", "_").replace("-", "_")
+    """The form in which column names are compared: lower case, blanks and hyphens as `_`."""
+    return re.sub("[ -]", "_", "" if name is None else name.strip().lower())
 
 
 def header_names(header: list[str]) -> list[str]:
     """Column names for a header row: normalised, blanks numbered by place, repeats by count."""
-    names, uses = [], {}
-    for place, cell in enumerate(header):
-        name = column_key(cell) or f"__col_{place}"
-        repeat = uses.get(name)
-        uses[name] = 0 if repeat is None else repeat + 1
-        names.append(name if repeat is None else f"{name}__{repeat + 1}")
-    return names
+    plain = [column_key(cell) or f"__col_{place}" for place, cell in enumerate(header)]
+    before = [plain[:place].count(name) for place, name in enumerate(plain)]
+    return [f"{name}__{n}" if n else name for name, n in zip(plain, before, strict=True)]
 
 
 def from_grid(cells: DataFrame, header: list[str]) -> DataFrame:
@@ -41,12 +40,10 @@ def from_grid(cells: DataFrame, header: list[str]) -> DataFrame:
 
 def bind(df: DataFrame, columns: list[str]) -> DataFrame:
     """Select columns by normalised name; the first that fits wins, none is an error."""
-    found = {}
-    for c in df.columns:
-        found.setdefault(column_key(c), c)
-    missing = [c for c in columns if column_key(c) not in found]
-    if missing:
-        raise ValueError(f"Column not found: {missing} (saw {df.columns[:8]})")
+    found = {column_key(c): c for c in reversed(df.columns)}
+    absent = sorted(c for c in columns if column_key(c) not in found)
+    if absent:
+        raise ValueError(f"no column for {', '.join(absent)} among: {', '.join(df.columns)}")
     keep = ["seq"] if "seq" in df.columns and "seq" not in columns else []
     return df.select(*keep, *[F.col(f"`{found[column_key(c)]}`").alias(c) for c in columns])
 
@@ -79,7 +76,7 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows placed after the table in their own `seq` order (gaps in seq are harmless)."""
     columns = text_columns(table)
     if not columns:
-        raise ValueError("Table has no header; cannot append.")
+        raise ValueError("a table without text columns takes no rows")
     fresh = align(rows, columns)
     return table.unionByName(
         fresh.withColumn("seq", F.col("seq").cast("bigint") + next_seq(table))

@@ -149,7 +149,7 @@ def test_listed_postings(spark):
         [], {}, "not json",
     )).orderBy("seq", "pos").collect()
     assert [(r.seq, r.job_url, r.company, r.role_title, r.location, len(r.job_description)) for r in got] == [
-        (0, "https://x/1", "A", "T", "L", 6000), (0, "https://x/2", "B", "", "", 0),
+        (0, "https://x/1", "A", "T", "L", 7000), (0, "https://x/2", "B", "", "", 0),
         (2, "https://y/1", "", "", "", 0), (3, "https://z/1", "", "", "", 0)]
 
 
@@ -184,3 +184,36 @@ def test_apply_buttons(spark):
         '<a href="https://o.io/?r=swooped.co/job-postings">apply</a>'), ["id", "url"])
     assert {r.job_url for r in rows.collect()} == {
         "https://h.io/x", "https://o.io/?r=swooped.co/job-postings"}
+
+
+def test_broken_pages_lose_only_themselves(spark):
+    deep = "[" * 100_000
+    texts = ["<![foo[x]]><a href='/x'>apply</a>", '<a href="http://[x">apply</a><a href="/ok">apply</a>', '<a href="/y">apply</a>']
+    got = X.page_apply_links(pages(spark, *texts), ["id", "url"]).orderBy("id", "pos").collect()
+    assert [(r.id, r.job_url) for r in got if r.id > 0] == [
+        (1, "http://[x"), (1, "https://h.io/ok"), (2, "https://h.io/y")]
+    outlines = {r.id: r.parse_error for r in X.page_outlines(pages(spark, *texts), ["id"]).collect()}
+    assert outlines[0] == "AssertionError" and outlines[2] is None
+    captures = bodies(spark, deep, {"a": {"url": "https://ok"}})
+    assert [r.job_url for r in X.api_postings(captures).collect()] == ["https://ok"]
+    broken = spark.createDataFrame([(0, "<![foo[x]]>"), (1, "<b>x</b>")], "id int, t string")
+    assert [r.t for r in X.to_text(broken, "t").orderBy("id").collect()][1] == "x"
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    from postmill.functions.dom import Outline
+
+    start = time.perf_counter()
+    assert len(Outline("<li>" * 50_000 + "x" + "</b>" * 50_000).elements) == 50_000
+    assert time.perf_counter() - start < 3
+
+
+def test_closed_phrases_late_in_a_text_are_found(spark):
+    from postmill.operators.scoring import split_closed
+
+    page = "<title>T</title><main>" + "word " * 2000 + "This role is closed.</main>"
+    read = X.parse_pages(pages(spark, page), ["id"])
+    closed, _ = split_closed(read.selectExpr("id as seq", "'u' as url", "description as job_description", "location as location_text"))
+    assert closed.count() == 1
