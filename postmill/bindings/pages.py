@@ -51,14 +51,14 @@ def generic_titles(spark, sf):
 
 
 @query(f"""SELECT page_id, {SHOWN_TITLE} AS role_title, '' AS company, '' AS location,
-  left({ARTICLE}, 6000) AS description, CAST(NULL AS VARCHAR) AS parse_error FROM pages""")
+  {ARTICLE} AS description, CAST(NULL AS VARCHAR) AS parse_error FROM pages""")
 def page_fields(spark, sf):
     return X.parse_pages(load(spark, sf, "pages"), ["page_id"])
 
 
 @query(f"""WITH p AS (SELECT page_id, {ARTICLE} AS about, {SHOWN_TITLE} AS t,
   contains(html, '</body>') AS ended FROM pages)
-SELECT page_id, left(CASE WHEN length(about) < 100 AND ended THEN t ELSE about END, 6000) AS description FROM p""")
+SELECT page_id, CASE WHEN length(about) < 100 AND ended THEN t ELSE about END AS description FROM p""")
 def page_descriptions(spark, sf):
     """A container marked as description stands in where the main text is short."""
     title = F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1))
@@ -85,7 +85,7 @@ def article_text(spark, sf):
 
 @query("""SELECT doc_id, 'Doc ' || doc_id AS role_title, source AS company,
   CASE WHEN lang = 'en' THEN lang ELSE '' END AS location,
-  left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 6000) AS description FROM documents""")
+  trim(regexp_replace(text, '\\s+', ' ', 'g')) AS description FROM documents""")
 def jsonld_postings(spark, sf):
     """Every document as a page with a structured posting behind a broken script."""
     place = F.when(
@@ -174,7 +174,7 @@ def listed_bodies(spark, sf):
 
 
 @query("""SELECT doc_id AS seq, 1 AS pos, 'https://x.example.com/' || doc_id AS job_url, source AS company,
-  'T' || doc_id AS role_title, lang AS location, left(text, 6000) AS job_description FROM documents""")
+  'T' || doc_id AS role_title, lang AS location, text AS job_description FROM documents""")
 def api_postings(spark, sf):
     return X.api_postings(listed_bodies(spark, sf)).drop("page")
 
@@ -182,7 +182,7 @@ def api_postings(spark, sf):
 @query("""SELECT doc_id AS seq, unnest([0, 1]) AS pos,
   unnest(['https://p.example.com/' || doc_id, 'https://c.example.com/' || doc_id]) AS job_url,
   unnest([source, '']) AS company, unnest(['Parent', 'Child']) AS role_title,
-  unnest([lang, '']) AS location, unnest([left(text, 6000), '']) AS job_description FROM documents""")
+  unnest([lang, '']) AS location, unnest([text, '']) AS job_description FROM documents""")
 def nested_postings(spark, sf):
     """Bodies without a list: objects with an address at any depth, parents first."""
     doc = F.col("doc_id").cast("string")
@@ -235,6 +235,6 @@ def apply_buttons(spark, sf):
   contains(html, '<article>') AS has_article, contains(html, '<body') AS has_body,
   contains(html, 'ld+json') AS has_structured, contains(html, 'JobPosting') AS names_posting,
   length({SHOWN_TITLE}) AS role_title_chars, 0 AS company_chars, 0 AS location_chars,
-  length(left({ARTICLE}, 6000)) AS description_chars FROM pages""", ints="html_chars role_title_chars description_chars")
+  length({ARTICLE}) AS description_chars FROM pages""", ints="html_chars role_title_chars description_chars")
 def page_report(spark, sf):
     return report_pages(load(spark, sf, "pages"), ["page_id"])

@@ -153,7 +153,7 @@ def mail_intake(spark, sf):
 b AS (SELECT DISTINCT 'https://boards.greenhouse.io/' || word || '/jobs/' || page_id AS url, lower(word) AS slug
   FROM w WHERE regexp_matches(word, '^[a-zA-Z0-9_-]+$'))
 SELECT 'https://x.example.com/' || doc_id AS job_url, 'swooped' AS source, source AS company,
-  'fetched' AS fetch_status, CASE WHEN contains(lower(left(text, 6000)), 'ndsh') THEN 'reject' ELSE 'monitor' END AS agent_bucket
+  'fetched' AS fetch_status, CASE WHEN contains(lower(text), 'ndsh') THEN 'reject' ELSE 'monitor' END AS agent_bucket
 FROM documents
 UNION ALL SELECT url, 'greenhouse', slug, 'pending', '' FROM b WHERE NOT contains(slug, 'th')""")
 def board_intake(spark, sf):

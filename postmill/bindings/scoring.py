@@ -25,7 +25,7 @@ def postings(spark, sf):
 
 _PACKED = """d AS (SELECT doc_id AS seq, 'https://d.example.com/' || doc_id AS url,
     CASE WHEN lang = 'en' THEN 'Doc ' || doc_id ELSE '' END AS title, source AS company,
-    lang AS location_text, left(text, 6000) AS about,
+    lang AS location_text, text AS about,
     row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
 p AS (SELECT *, i // 10 AS batch, i % 10 + 1 AS place FROM d)"""
 

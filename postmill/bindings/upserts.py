@@ -116,7 +116,7 @@ SELECT seq, job_url, '' AS source, '' AS company, '' AS fetch_status, '' AS fetc
   '' AS last_fetch_at, '' AS text_digest, 0 AS summary_chars FROM t
 UNION ALL
 SELECT a.doc_id + 1 + (SELECT max(seq) FROM t), url, 'swooped', source, 'fetched', '1', '{NOW}',
-  md5(left(text, 6000)), least(length(text), 500)
+  md5(text), least(length(text), 500)
 FROM a JOIN documents USING (doc_id) WHERE url || '/' NOT IN (SELECT job_url FROM t)""", ints="summary_chars")
 def insert_described(spark, sf):
     """Postings that arrive with their text; copies of a text share an address."""
@@ -132,7 +132,7 @@ def insert_described(spark, sf):
     rows = docs.select(
         F.col("doc_id").alias("seq"), url.alias("url"), F.col("source").alias("company"),
         F.col("lang").alias("role_title"), F.lit("").alias("location"),
-        F.left("text", F.lit(6000)).alias("job_description"),
+        F.col("text").alias("job_description"),
     )
     text = F.col("job_description")
     return U.insert_new(table, rows, "described", NOW).select(

@@ -16,7 +16,7 @@ from postmill.operators.extract import parse_pages
 from postmill.sources.tables import text_columns
 
 
-def is_eligible() -> Column:
+def is_eligible(max_attempts: int = fixed.MAX_ATTEMPTS) -> Column:
     # a blank status counts as pending; one of spaces only does not
     status = F.when(text("fetch_status") == "", F.lit("pending")).otherwise(
         strip(text("fetch_status"))
@@ -24,13 +24,15 @@ def is_eligible() -> Column:
     return (
         (strip(text("job_url")) != "")
         & status.isin(fixed.RETRYABLE)
-        & (lenient_int("fetch_attempts") < fixed.MAX_ATTEMPTS)
+        & (lenient_int("fetch_attempts") < max_attempts)
     )
 
 
-def eligible(table: DataFrame, cap: int | None = fixed.MAIL_CAP) -> DataFrame:
-    """Rows to fetch next, in table order, at most `cap` of them (None: all)."""
-    rows = table.filter(is_eligible())
+def eligible(
+    table: DataFrame, cap: int | None = None, max_attempts: int = fixed.MAX_ATTEMPTS
+) -> DataFrame:
+    """Rows to fetch next: all, or the first `cap` of them in table order."""
+    rows = table.filter(is_eligible(max_attempts))
     return rows if cap is None else rows.orderBy("seq").limit(cap)
 
 
@@ -47,24 +49,39 @@ def scoreable(table: DataFrame) -> DataFrame:
     )
 
 
-def fetch_outcomes(rows: DataFrame, attempts: DataFrame) -> DataFrame:
-    """The cells one run of fetches sets on each of `rows` (seq, job_url) with an outcome.
-
-    attempts: (url, run, outcome ok|timeout|http_error|parse_error, error_type, html);
-    the first outcome of a run counts. Pages are joined to the few rows to fetch
-    before they are parsed, and the html goes no further than that."""
-    targets = rows.select("seq", urls.drop_tracking(strip(text("job_url"))).alias("url"))
-    log = attempts.withColumn("url", urls.drop_tracking(strip(text("url"))))
-    tried = dedup_first(
-        targets.join(log.select("url", "run", "outcome", "error_type"), "url"),
-        ["seq"], ["run"],
+def fetch_outcomes(
+    rows: DataFrame, attempts: DataFrame, run: int | None = None, cap: int | None = None,
+    chars: int | None = None, max_attempts: int = fixed.MAX_ATTEMPTS,
+) -> DataFrame:
+    """The cells one run of fetches sets on each of `rows` (seq, job_url, fetch_attempts) that has
+    an outcome; on the first `cap` of these, if that is given.
+
+    attempts: (url, run, outcome ok|timeout|http_error|parse_error, error_type, html), and `ts` if
+    there is one. Of a url and run the first outcome counts, by ts, then outcome and error_type.
+    With `run`, that run's outcomes are taken. Without, the log may hold many runs: a row that has
+    used n attempts takes the (n + 1)th run of its url, so the whole log can be given each time.
+
+    Pages are parsed where they lie, and only the fields are moved: html is never shuffled."""
+    targets = rows.select(
+        "seq", urls.drop_tracking(strip(text("job_url"))).alias("url"),
+        (lenient_int("fetch_attempts") + 1).alias("turn"),
     )
-    ok = tried.filter("outcome = 'ok'").select("seq", "url", "run")
-    pages = ok.join(
-        log.filter("outcome = 'ok'").select("url", "run", "html"), ["url", "run"]
-    ).select("seq", "html")
-    parsed = dedup_first(parse_pages(pages, ["seq"]), ["seq"], ["role_title", "description"])
-    both = tried.join(parsed, "seq", "left")
+    log = attempts.withColumn("url", urls.drop_tracking(strip(text("url"))))
+    if run is not None:
+        log = log.filter(F.col("run") == run)
+    order = [*(["ts"] if "ts" in log.columns else []), "outcome", "error_type"]
+    first = dedup_first(log.select("url", "run", *order), ["url", "run"], order)
+    if run is None:
+        turn = F.row_number().over(W.partitionBy("url").orderBy("run"))
+        first = first.withColumn("turn", turn).filter(F.col("turn") <= max_attempts)
+        tried = targets.join(first, ["url", "turn"])
+    else:
+        tried = targets.join(first, "url")
+    if cap is not None:
+        tried = tried.orderBy("seq").limit(cap)
+    read = parse_pages(log.filter("outcome = 'ok'").select("url", "run", "html"), ["url", "run"], chars=chars)
+    parsed = dedup_first(read, ["url", "run"], ["role_title", "description"])
+    both = tried.join(parsed, ["url", "run"], "left")
     o = F.col("outcome")
     broken = F.when(o == "parse_error", F.col("error_type")).otherwise(F.col("parse_error"))
     empty = (F.col("role_title") == "") & (F.col("description") == "")
@@ -87,14 +104,21 @@ def fetch_outcomes(rows: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def apply_outcomes(
-    table: DataFrame, attempts: DataFrame, now: str, cap: int | None = fixed.MAIL_CAP
+    table: DataFrame, attempts: DataFrame, now: str, cap: int | None = None,
+    run: int | None = None, chars: int | None = None, summary_chars: int = fixed.SUMMARY_CHARS,
+    max_attempts: int = fixed.MAX_ATTEMPTS,
 ) -> DataFrame:
     """One run: every eligible row with an outcome uses up an attempt.
 
-    A success overwrites the parsed fields, also with ''; a failure leaves them."""
-    cells = fetch_outcomes(eligible(table, cap), attempts)
+    Which outcome that is, see `fetch_outcomes`. Applied again, a run changes nothing: without
+    `run` the attempts used say how far a row is in the log, with it rows fetched at `now` are
+    left. A success overwrites the parsed fields, also with ''; a failure leaves them."""
+    waiting = eligible(table, None, max_attempts)
+    if run is not None:
+        waiting = waiting.filter(text("last_fetch_at") != now)
+    cells = fetch_outcomes(waiting, attempts, run, cap, chars, max_attempts)
     content = ["role_title", "company", "location", "job_description", "job_summary"]
-    cells = cells.withColumn("job_summary", F.left("job_description", F.lit(fixed.SUMMARY_CHARS)))
+    cells = cells.withColumn("job_summary", F.left("job_description", F.lit(summary_chars)))
     cells = cells.select(F.col("seq").alias("__seq"), *[
         F.col(c).alias(f"__{c}") for c in cells.columns if c != "seq"
     ])

@@ -45,7 +45,8 @@ def preference_verdicts(events: DataFrame) -> DataFrame:
     verdict: added, no-op, contradiction or error. The first actions (one row per
     entity) are joined to the events, so a hot entity can be split over tasks, which
     a window over its events could not."""
-    named = canonical_entities(events)
+    every = canonical_entities(events)
+    named, blank = every.filter("entity <> ''"), every.filter("entity = ''")
     first = fold_preferences(events).select(
         "owner", F.col("value").alias("entity"),
         F.col("kind").alias("first_action"), F.col("seq").alias("first_seq"),
@@ -65,8 +66,12 @@ def preference_verdicts(events: DataFrame) -> DataFrame:
         .when(F.col("verdict") == "contradiction",
               F.concat(F.lit("Contradiction: "), e, F.lit(" "), clash))
     )
+    # blank entities match nothing, and would all meet under one key
+    bare = blank.withColumns({
+        "first_action": F.lit(None).cast("string"), "first_seq": F.lit(None).cast(events.schema["seq"].dataType)
+    })
     return (
-        named.join(first, ["owner", "entity"], "left")
+        named.join(first, ["owner", "entity"], "left").unionByName(bare)
         .withColumn("verdict", verdict)
         .withColumn("message", message)
         .select("owner", "seq", "entity", "action", "verdict", "message")
@@ -90,12 +95,16 @@ def merge_preferences(stored: DataFrame, events: DataFrame) -> DataFrame:
     return folded.unionByName(stored.filter("kind = 'note'").select(*folded.columns))
 
 
-def preference_block(prefs: DataFrame) -> DataFrame:
-    """owner, block: the capped lists as text. prefs: (owner, kind, value, seq).
+PROMPT_CAPS = {
+    "reject": fixed.MAX_REJECTS, "exception": fixed.MAX_EXCEPTIONS, "note": fixed.MAX_NOTES
+}
 
-    Rejects and exceptions are taken in name order, notes in seq order, each up to
-    its cap. The cap is applied before collecting: no list is longer than its cap."""
-    caps = {"reject": fixed.MAX_REJECTS, "exception": fixed.MAX_EXCEPTIONS, "note": fixed.MAX_NOTES}
+
+def preference_block(prefs: DataFrame, caps: dict[str, int] = PROMPT_CAPS) -> DataFrame:
+    """owner, block: the lists as a text for a prompt. prefs: (owner, kind, value, seq).
+
+    Rejects and exceptions are taken in name order, notes in seq order, each up to its cap in
+    `caps`, which is what bounds the text. It is applied before collecting."""
     longest = max(caps.values())
     rank_by = F.when(F.col("kind") == "note", F.lit("")).otherwise(F.col("value"))
     place = F.row_number().over(W.partitionBy("owner", "kind").orderBy(rank_by, "seq"))
@@ -154,11 +163,13 @@ def parse_feedback_replies(replies: DataFrame) -> DataFrame:
     ).drop("__doc", "__e", "__a")
 
 
-def feedback_status(replies: DataFrame) -> DataFrame:
-    """One row per feedback line (owner, seq): its first valid reply of at most two tries.
+def feedback_status(replies: DataFrame, tries: int | None = None) -> DataFrame:
+    """One row per feedback line (owner, seq): its first valid reply, of the first `tries` if given.
 
     replies: (owner, seq, try, reply). status: parsed or PARSE_FAILED."""
-    parsed = parse_feedback_replies(replies).filter(F.col("try") < 2)
+    parsed = parse_feedback_replies(replies)
+    if tries is not None:
+        parsed = parsed.filter(F.col("try") < tries)
     return parsed.groupBy("owner", "seq").agg(
         F.min_by(
             F.struct("entity", "action"),

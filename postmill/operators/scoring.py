@@ -41,9 +41,12 @@ def split_closed(
 
 # --- packs ----------------------------------------------------------------------------
 
-def pack(df: DataFrame, size: int = fixed.PACK_SIZE) -> DataFrame:
-    """Adds `batch` (0, 1, 2…) and `place` (1..size): packs of exactly `size` in seq order."""
-    cut = F.left(text("job_description"), F.lit(fixed.DESCRIPTION_CHARS))
+def pack(df: DataFrame, size: int = fixed.PACK_SIZE, chars: int | None = None) -> DataFrame:
+    """Adds `batch` (0, 1, 2…) and `place` (1..size): packs of exactly `size` in seq order.
+
+    Descriptions stay whole, or are cut to `chars` characters where a model takes no more."""
+    whole = text("job_description")
+    cut = whole if chars is None else F.left(whole, F.lit(chars))
     trimmed = df.withColumn("job_description", cut) if "job_description" in df.columns else df
     return (
         dense_index(trimmed, "seq")

@@ -37,17 +37,19 @@ def mail_run(
     attempts: DataFrame,
     now: str,
     scorer: Scorer,
-    cap: int | None = fixed.MAIL_CAP,
-    max_messages: int | None = fixed.MESSAGE_CAP,
+    cap: int | None = None,
+    max_messages: int | None = None,
+    run: int | None = None,
 ) -> Run:
-    """messages: (seq, id, payload). Only the links go on; the stub text is not stored."""
+    """messages: (seq, id, payload). `cap` fetches and `max_messages` messages at most, if given;
+    `run` picks the outcomes of one run out of a log of several (see `fetch_outcomes`). Only the links go on; the stub text is not stored."""
     if max_messages is not None:
         messages = messages.orderBy("seq").limit(max_messages)
     links = mail_postings(messages, ["seq"]).select(
         "url", arrival("seq", "pos").alias("seq")
     )
     table = settle(upsert_touch(table, links, fixed.SOURCE_MAIL, now))
-    table = fetch_stage(table, attempts, now, cap)
+    table = fetch_stage(table, attempts, now, cap, run)
     table, scored = score_stage(table, scorer)
     return Run(table, scored)
 
@@ -99,7 +101,8 @@ def board_run(
     now: str,
     run_date: str,
     scorer: Scorer,
-    cap: int | None = fixed.BOARD_CAP,
+    cap: int | None = None,
+    run: int | None = None,
 ) -> Run:
     """Described postings go in before board links, so they win a shared address. The
     snapshot moves after the insert: a crash repeats the delta, and the insert is idempotent."""
@@ -108,7 +111,7 @@ def board_run(
     fresh = snapshot_delta(found, latest_snapshot(snapshots, before=run_date))
     table = settle(insert_new(table, fresh, "board", now))
     snapshots = advance_snapshot(snapshots, found, run_date)
-    table = fetch_stage(table, attempts, now, cap)
+    table = fetch_stage(table, attempts, now, cap, run)
     table, scored = score_stage(table, scorer)
     return Run(table, scored, snapshots=snapshots)
 
@@ -120,7 +123,8 @@ def company_run(
     attempts: DataFrame,
     now: str,
     scorer: Scorer,
-    cap: int | None = fixed.COMPANY_CAP,
+    cap: int | None = None,
+    run: int | None = None,
 ) -> Run:
     """companies: (seq, company, company_url, career_site_url, last_error)."""
     found = settle(co.discover_companies(companies, pages))
@@ -129,7 +133,7 @@ def company_run(
         "url", "company", arrival("company_seq", "pos").alias("seq")
     )
     table = settle(insert_new(table, links, "companies", now))
-    table = fetch_stage(table, attempts, now, cap)
+    table = fetch_stage(table, attempts, now, cap, run)
     table, scored = score_stage(table, scorer)
     return Run(prune(table), scored, companies=companies)
 
@@ -139,8 +143,11 @@ def rescore_run(table: DataFrame, scorer: Scorer, pruned: bool = False) -> Run:
     return Run(prune(table) if pruned else table, scored)
 
 
-def refetch_run(table: DataFrame, attempts: DataFrame, now: str, cap: int | None) -> Run:
-    return Run(fetch_stage(reset_fetched(table), attempts, now, cap))
+def refetch_run(
+    table: DataFrame, attempts: DataFrame, now: str, cap: int | None = None, run: int | None = None
+) -> Run:
+    """Fetched rows start again; give the outcomes since then, or their `run`."""
+    return Run(fetch_stage(reset_fetched(table), attempts, now, cap, run))
 
 
 def feedback_run(prefs: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:

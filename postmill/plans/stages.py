@@ -27,8 +27,10 @@ class Scorer:
     patterns: list[str] | None = None
 
 
-def fetch_stage(table: DataFrame, attempts: DataFrame, now: str, cap: int | None) -> DataFrame:
-    return settle(apply_outcomes(table, attempts, now, cap))
+def fetch_stage(
+    table: DataFrame, attempts: DataFrame, now: str, cap: int | None, run: int | None = None
+) -> DataFrame:
+    return settle(apply_outcomes(table, attempts, now, cap, run))
 
 
 def score_stage(table: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:

@@ -58,9 +58,15 @@ def test_fold_equals_repeated_runs(spark):
     }
     page = "<title>T</title>"
     t = mail(spark, *[{"job_url": k, "fetch_status": "pending", "fetch_attempts": "0"} for k in histories])
+    whole = spark.createDataFrame(
+        [(k, i, o, "E", page) for k, h in histories.items() for i, o in enumerate(h)], ATTEMPT)
+    by_run = t
     for run in range(4):
-        log = [(k, run, h[run], "E", page) for k, h in histories.items() if run < len(h)]
-        t = settle(LC.apply_outcomes(t, spark.createDataFrame(log, ATTEMPT), NOW, None))
+        t = settle(LC.apply_outcomes(t, whole, f"now {run}"))
+        by_run = LC.apply_outcomes(by_run, whole, f"now {run}", run=run)
+        # a run that is applied again changes nothing
+        by_run = settle(LC.apply_outcomes(by_run, whole, f"now {run}", run=run))
+    assert sorted(t.drop("last_fetch_at").collect()) == sorted(by_run.drop("last_fetch_at").collect())
     stepped = {r.job_url: (int(r.fetch_attempts), r.fetch_status, r.fetch_error) for r in t.collect()}
     log = [(k, i, o, "E") for k, h in histories.items() for i, o in enumerate(h)]
     folded = LC.fold_attempts(spark.createDataFrame(log, "url string, seq int, outcome string, error_type string"))
@@ -68,6 +74,32 @@ def test_fold_equals_repeated_runs(spark):
     assert stepped["a"] == (3, "fetched", "") and stepped["b"] == (3, "failed", "http_error:E")
 
 
+def test_every_outcome_is_applied_unless_a_cap_is_asked_for(spark):
+    t = mail(spark, *[{"job_url": f"u{i}", "fetch_status": "pending", "fetch_attempts": "0"} for i in range(60)])
+    log = spark.createDataFrame([(f"u{i}", 1, "timeout", "", None) for i in range(30, 60)], ATTEMPT)
+    assert LC.apply_outcomes(t, log, NOW).filter("fetch_status = 'timeout'").count() == 30
+    capped = LC.apply_outcomes(t, log, NOW, cap=25).filter("fetch_status = 'timeout'")
+    assert sorted(r.seq for r in capped.collect()) == list(range(30, 55))
+
+
+def test_the_first_outcome_of_a_run_counts(spark):
+    t = mail(spark, {"job_url": "u", "fetch_status": "pending", "fetch_attempts": "0"})
+    log = spark.createDataFrame(
+        [("u", 1, 2, "ok", "", "<title>b</title>"), ("u", 1, 1, "http_error", "E", None), ("u", 2, 3, "ok", "", "<title>c</title>")],
+        "url string, run int, ts int, outcome string, error_type string, html string")
+    once = LC.apply_outcomes(t, log, "a")
+    assert [(r.fetch_status, r.fetch_error) for r in once.collect()] == [("failed", "http_error:E")]
+    twice = LC.apply_outcomes(once, log, "b").collect()
+    assert [(r.fetch_status, r.fetch_attempts, r.role_title) for r in twice] == [("fetched", "2", "c")]
+
+
+def test_repeated_pages_do_not_multiply_companies(spark):
+    listed = spark.createDataFrame([(0, "A", "", "https://h.io/l", "")], "seq bigint, company string, company_url string, career_site_url string, last_error string")
+    pages = spark.createDataFrame([("https://h.io/l", "static", "<p>none</p>")] * 3, "url string, render string, html string")
+    found = settle(C.discover_companies(listed, pages))
+    assert found.count() == 1 and C.write_errors(listed, C.company_errors(found)).count() == 1
+
+
 def test_reset_repair_prune_invariants(spark):
     t = mail(
         spark,

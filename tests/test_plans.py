@@ -61,10 +61,36 @@ def test_the_capped_selection_is_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan(LC.eligible(event_table(spark, SF), 25))
 
 
-def test_dense_index_has_no_window_over_all_rows(spark):
-    """The only window without a partition runs over super-blocks of 2^32 keys."""
+def test_rows_are_numbered_within_ranges(spark):
+    """The window without a partition sums a row for each range, not rows of the table."""
     from postmill.operators.sequence import dense_index
 
     text = plan(dense_index(load(spark, SF, "documents").select("doc_id"), "doc_id"))
     rows = [w for w in lines(text, "Window") if "row_number" in w]
-    assert rows and all("__b0" in w for w in rows)
+    assert rows and all("__range" in w for w in rows)
+
+
+def test_an_exchange_of_fetch_outcomes_carries_no_html(spark):
+    """What an exchange outputs, with broadcasts off, so that every join shows one."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges = shuffled_columns(QUERIES["fetch_outcomes"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanges and all("html" not in names for names in exchanges)
+
+
+def shuffled_columns(df) -> list[list[str]]:
+    """The output columns of each shuffle of a plan."""
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            waiting.append(node.initialPlan())
+            continue
+        if node.nodeName() == "Exchange":
+            out = node.output()
+            found.append([out.apply(i).name() for i in range(out.size())])
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found

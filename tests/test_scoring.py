@@ -36,7 +36,9 @@ def test_packs_and_texts(spark):
     packed = S.pack(many(spark, 23, text="x" * 7000))
     sizes = {r.batch: r["count"] for r in packed.groupBy("batch").count().collect()}
     assert sizes == {0: 10, 1: 10, 2: 3}
-    assert packed.agg(F.max(F.length("job_description"))).collect()[0][0] == 6000
+    assert packed.agg(F.max(F.length("job_description"))).collect()[0][0] == 7000
+    cut = S.pack(many(spark, 3, text="x" * 70), chars=60)
+    assert cut.agg(F.max(F.length("job_description"))).collect()[0][0] == 60
     text = S.render_batches(S.pack(posts(spark, ("T", "", None, "D"), ("", "C", "L", "")))).collect()[0]
     assert text.batch_text == (
         "Job 1:\nURL: u0\nTitle: T\nCompany: (none)\nLocation: (none)\nJob Description:\nD"
@@ -168,5 +170,6 @@ def test_notes_and_feedback_replies(spark):
     assert [(r.entity, r.action) for r in got] == [("A", "reject"), ("B", "exception")] + [(None, None)] * 7
     tries = spark.createDataFrame([("me", 0, 0, "x"), ("me", 0, 1, replies[0]), ("me", 1, 2, replies[0])],
                                   df.schema)
-    status = {r.seq: (r.entity, r.status) for r in P.feedback_status(tries).collect()}
-    assert status == {0: ("A", "parsed")}  # a third try does not count
+    status = {r.seq: (r.entity, r.status) for r in P.feedback_status(tries, tries=2).collect()}
+    assert status == {0: ("A", "parsed")}  # a third try does not count if two are asked for
+    assert P.feedback_status(tries).filter("status = 'parsed'").count() == 2
