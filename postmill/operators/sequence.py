@@ -6,60 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
+from postmill.session import settle
 
 
 def dense_index(
-    df: DataFrame,
-    key: str,
-    name: str = "idx",
-    within: list[str] | None = None,
-    bits: int = BLOCK_BITS,
+    df: DataFrame, key: str, name: str = "idx", within: list[str] | None = None
 ) -> DataFrame:
-    """Number rows 1, 2, 3… by a unique integer `key` (per `within` group, if given).
+    """Number rows 1, 2, 3… by a unique `key` (per `within` group, if given).
 
-    The key range is cut into blocks of 2^bits keys. A block holds at most 2^bits
-    rows because keys are unique, whatever group it belongs to, so no task sees a
-    whole group. Block sizes are summed over two more levels (blocks in a
-    super-block, super-blocks), which bounds those windows the same way. Blocks
-    depend on the key value alone: a recomputed task gives the same numbers.
-    """
+    Only the keys are sorted, by ranges: so sparse and hashed keys are dealt as evenly as dense
+    ones, and a group that holds most rows is dealt over many ranges. A row's number is its place
+    in its range plus the rows of the group in the ranges before; those counts are as many as there
+    are ranges. The ranges are written, so that all of the plan sees the same ones. The other
+    columns are moved once, to join the numbers."""
     group = within or []
-    rows = df.withColumn("__b0", F.shiftright(F.col(key).cast("bigint"), bits))
-    sizes = (
-        rows.groupBy(*group, "__b0")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__b1", F.shiftright("__b0", bits))
+    placed = settle(
+        df.select(*group, key).repartitionByRange(key).withColumn("__range", F.spark_partition_id())
     )
-    in_super = W.partitionBy(*group, "__b1").orderBy("__b0").rowsBetween(
-        W.unboundedPreceding, -1
+    before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        *group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    over_supers = W.partitionBy(*group).orderBy("__b1").rowsBetween(
-        W.unboundedPreceding, -1
-    )
-    supers = (
-        sizes.groupBy(*group, "__b1")
-        .agg(F.sum("__n").alias("__m"))
-        .withColumn("__base", F.coalesce(F.sum("__m").over(over_supers), F.lit(0)))
-        .drop("__m")
-    )
-    offsets = (
-        sizes.withColumn("__off", F.coalesce(F.sum("__n").over(in_super), F.lit(0)))
-        .join(supers, [*group, "__b1"])
-        .select(*group, "__b0", (F.col("__off") + F.col("__base")).alias("__off"))
-    )
-    in_block = W.partitionBy(*group, "__b0").orderBy(key)
-    return (
-        rows.withColumn("__rn", F.row_number().over(in_block))
-        .join(offsets, [*group, "__b0"])
-        .withColumn(name, F.col("__rn") + F.col("__off"))
-        .select(*df.columns, name)
+    in_range = W.partitionBy(*group, "__range").orderBy(key)
+    numbers = placed.withColumn("__place", F.row_number().over(in_range)).join(
+        offsets, [*group, "__range"]
     )
+    numbers = numbers.select(key, (F.col("__place") + F.col("__before")).alias(name))
+    return df.join(numbers, key).select(*df.columns, name)
 
 
 def pack_no(idx: Column, size: int) -> Column:
     """Which chunk of `size` a 1-based dense index falls in (0, 1, 2…)."""
-    return F.floor((idx - 1) / size).cast("bigint")
+    return F.call_function("div", idx - 1, F.lit(size))
 
 
 def contiguous_ranges(df: DataFrame, col: str, min_value: int = 2) -> DataFrame:
