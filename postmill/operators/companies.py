@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postmill import fixed
 from postmill.functions import urls
 from postmill.functions.text import non_empty, strip, text
+from postmill.operators.dedup import dedup_first
 from postmill.operators.links import (
     anchor_lists, careers_anchor, open_roles_anchor, posting_list, resolve_lists,
 )
@@ -20,15 +21,19 @@ from postmill.session import settle
 def page_digests(pages: DataFrame) -> DataFrame:
     """url, render, links (canonical postings), open (the open-roles anchor), careers_url.
 
-    Html is read once here, and every link resolved once."""
-    lists = resolve_lists(anchor_lists(pages, ["url", "render"]))
-    return lists.select(
+    One row for each url and render, of the least hash of html if there are several (pages that several
+    runs kept, say): equal pages would multiply the companies that lead to them. Html is read once
+    here, and every link resolved once."""
+    hashed = pages.select("url", "render", "html", F.xxhash64("html").alias("html_hash"))
+    lists = resolve_lists(anchor_lists(hashed, ["url", "render", "html_hash"]))
+    return dedup_first(lists.select(
         "url",
         "render",
         posting_list("anchors").alias("links"),
         open_roles_anchor("anchors").alias("open"),
         careers_anchor("anchors")["full"].alias("careers_url"),
-    )
+        "html_hash",
+    ), ["url", "render"], ["html_hash"]).drop("html_hash")
 
 
 def _look_up(rows: DataFrame, digests: DataFrame, url: Column, render: str, name: str) -> DataFrame:
@@ -136,7 +141,7 @@ def company_errors(found: DataFrame) -> DataFrame:
 
 def write_errors(companies: DataFrame, errors: DataFrame) -> DataFrame:
     """Sets `last_error` of failed companies; a success does not clear an old error."""
-    failed = errors.select(F.col("seq").alias("__seq"), F.col("error").alias("__error"))
+    failed = errors.groupBy(F.col("seq").alias("__seq")).agg(F.min("error").alias("__error"))
     return (
         companies.join(failed, F.col("seq") == F.col("__seq"), "left")
         .withColumn("last_error", F.coalesce("__error", "last_error"))

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    A temporary one is made only where none is named, as in local tests."""
+    A temporary one is made only where none is named and all tasks run in this process, as in
+    tests: on a cluster, what executors wrote to folders of their own would be lost to others."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="postmill-")
         spark.sparkContext.setCheckpointDir(named)
