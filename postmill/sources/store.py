@@ -3,7 +3,10 @@
 A commit writes a new `v=N` folder and never touches one that may be being read.
 Spark's `_SUCCESS` marker, written last, makes the version visible; a failed job
 leaves the previous version valid, and a replayed stream batch is recognised by
-the batch number in the folder name."""
+the names of its stream and its number in the folder name.
+
+This is the least that merges need where there is no table format. Operators never see
+it: a merge is a function of two frames, so that a format's own MERGE can take its place."""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-_VERSION = re.compile(r"^v=(\d+)(?:\.b=(\d+))?$")
+_VERSION = re.compile(r"^v=(\d+)(?:\.w=([0-9A-Za-z-]*))?(?:\.b=(\d+))?$")
 
 
 class VersionedTable:
@@ -23,8 +26,8 @@ class VersionedTable:
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def versions(self) -> list[tuple[int, int | None, str]]:
-        """Committed (version, batch, folder), oldest first: a listing of folder names."""
+    def _folders(self) -> list[tuple[int, int | None, str, str, bool]]:
+        """(version, batch, folder, writer, committed), oldest first: a listing of names."""
         fs, jvm = self._fs()
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         if not fs.exists(root):
@@ -32,12 +35,15 @@ class VersionedTable:
         found = []
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            m = _VERSION.match(name)
-            done = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
-            if m and fs.exists(done):
-                batch = int(m.group(2)) if m.group(2) else None
-                found.append((int(m.group(1)), batch, f"{self.root}/{name}"))
-        return sorted(found, key=lambda v: v[0])
+            if m := _VERSION.match(name):
+                batch = int(m.group(3)) if m.group(3) else None
+                done = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS"))
+                found.append((int(m.group(1)), batch, f"{self.root}/{name}", m.group(2) or "", done))
+        return sorted(found)
+
+    def versions(self) -> list[tuple[int, int | None, str, str]]:
+        """Committed (version, batch, folder, writer), oldest first."""
+        return [f[:4] for f in self._folders() if f[4]]
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -51,13 +57,16 @@ class VersionedTable:
             raise FileNotFoundError(f"no version at {self.root}")
         return self.spark.createDataFrame([], schema)
 
-    def commit(self, df: DataFrame, batch: int | None = None) -> int:
-        """Write the next version. A batch already committed is not written again."""
-        found = self.versions()
-        for number, done, _ in found:
-            if batch is not None and done == batch:
+    def commit(self, df: DataFrame, batch: int | None = None, writer: str = "") -> int:
+        """Write the next version. A batch that this writer has committed is not written again.
+
+        `writer` names the stream, so that the batches of two of them are not confused. A number
+        that a failed or another commit has taken is not used again, nor written over."""
+        found = self._folders()
+        for number, done, _, by, committed in found:
+            if committed and batch is not None and (by, done) == (writer, batch):
                 return number
         number = found[-1][0] + 1 if found else 0
-        tag = "" if batch is None else f".b={batch}"
-        df.write.mode("overwrite").parquet(f"{self.root}/v={number:08d}{tag}")
+        tag = "" if batch is None else f".w={writer}.b={batch}"
+        df.write.mode("errorifexists").parquet(f"{self.root}/v={number:08d}{tag}")
         return number

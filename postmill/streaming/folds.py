@@ -1,8 +1,10 @@
 """Per-key state over streams: fetch lifecycle and preferences.
 
 Each is its batch twin (`fold_attempts`, `fold_preferences`) fed batch by batch.
-Before the shuffle a partition drops what cannot matter (all but the first few rows
-of a key), so a hot key reaches its one state task as a handful of rows."""
+Before the shuffle most of what cannot matter is dropped (all but the first few rows
+of a key in an Arrow batch), so a hot key reaches its one state task much reduced. State is
+a small row for each key and is kept for good, as a finished key must stay finished: it belongs
+in RocksDB (see `sinks.on_disk`)."""
 
 from __future__ import annotations
 
@@ -17,15 +19,14 @@ from postmill import fixed
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """Stateless map-side cut: at most the first `n` rows of a key per partition."""
+    """Stateless cut before the shuffle: of each Arrow batch at most the first `n` rows of a key.
+
+    Nothing is held from one batch to the next, so memory is that of a batch; a hot key is cut
+    from a batch's thousands of rows to n."""
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
         for batch in batches:
-            both = batch if kept is None else pd.concat([kept, batch])
-            kept = both.sort_values(order, kind="stable").groupby(keys, sort=False).head(n)
-        if kept is not None:
-            yield kept
+            yield batch.sort_values(order, kind="stable").groupby(keys, sort=False).head(n)
 
     return df.mapInPandas(job, df.schema)
 
@@ -94,7 +95,8 @@ def preference_states(events: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
-    """The first row of a key within a time horizon, with bounded state."""
+def seen_once(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
+    """One row of each key within a time horizon, with bounded state: the one that its task meets
+    first, which need not be the earliest of a batch."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return timed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)

@@ -1,4 +1,4 @@
-"""Streams into tables. Every sink is safe to replay: what a batch writes is named after it."""
+"""Streams into tables. Every sink is safe to replay: what a batch writes is named after it and its query."""
 
 from __future__ import annotations
 
@@ -12,6 +12,24 @@ from postmill.operators.upsert import insert_new, upsert_touch
 from postmill.sources.store import VersionedTable
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def on_disk(stream: DataFrame) -> DataFrame:
+    """The stream, with its state in RocksDB unless the session names another store: state here
+    has a row for each key, which the default store would keep in the executors' memory."""
+    conf = stream.sparkSession.conf
+    if conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider"):
+        conf.set(_PROVIDER, ROCKS)
+    return stream
+
+
+def stream_of(batch: DataFrame) -> str:
+    """The id of the query that a batch belongs to: it lives as long as the checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
 def into_table(
     stream: DataFrame,
     store: VersionedTable,
@@ -22,7 +40,7 @@ def into_table(
     """Each batch: `merge(latest version, batch)` becomes the next version."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        store.commit(merge(store.read(schema), batch), batch=batch_id)
+        store.commit(merge(store.read(schema), batch), batch=batch_id, writer=stream_of(batch))
 
     return (
         stream.writeStream.foreachBatch(one)
@@ -49,18 +67,19 @@ def insert_into(stream, store, schema, preset: str, now: str, checkpoint: str) -
 def append_into(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
-    """Rows of each batch under `b=<batch>`, replaced as a whole if the batch is replayed."""
+    """The rows of a stream as Parquet files, by Spark's own file sink.
+
+    That takes appended rows only. Changed ones (mode `update`) go to a folder for each query and
+    batch, `q=…/b=…`, replaced as a whole if the batch is replayed."""
+    out = on_disk(stream).writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    out = out.trigger(availableNow=True)
+    if mode == "append":
+        return out.format("parquet").option("path", path).start()
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/q={stream_of(batch)}/b={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(one)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return out.foreachBatch(one).start()
 
 
 def status_changes_into(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -75,10 +94,10 @@ def status_changes_into(states: DataFrame, path: str, checkpoint: str) -> Stream
         ).select("m.*").filter("fetch_status is not null")
         moves.groupBy("fetch_status").agg(F.sum("d").alias("d")).write.mode(
             "overwrite"
-        ).parquet(f"{path}/b={batch_id}")
+        ).parquet(f"{path}/q={stream_of(batch)}/b={batch_id}")
 
     return (
-        states.writeStream.foreachBatch(one)
+        on_disk(states).writeStream.foreachBatch(one)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

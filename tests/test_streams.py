@@ -68,7 +68,7 @@ def test_upserts(spark, tmp_path, fail_once):
     store = VersionedTable(spark, str(tmp_path / "t"))
     if fail_once:  # commits, then dies before the stream's own checkpoint is written
         def dying(batch, batch_id):
-            store.commit(upsert_touch(store.read(TABLE), batch, "gmail", "now"), batch=batch_id)
+            store.commit(upsert_touch(store.read(TABLE), batch, "gmail", "now"), batch=batch_id, writer=sinks.stream_of(batch))
             if batch_id == 1:
                 raise RuntimeError("lost")
 
@@ -88,6 +88,35 @@ def test_first_seen(spark, tmp_path):
     rows = [(f"u{i % 5}", f"2024-01-0{1 + i // 20} 00:00:00") for i in range(60)]
     stream = batches(spark, tmp_path, rows, "url string, at string").withColumn("ts", F.col("at").cast("timestamp_ntz"))
     out = str(tmp_path / "out")
-    seen = folds.first_seen(stream, ["url"], "ts", "10 days")
+    seen = folds.seen_once(stream, ["url"], "ts", "10 days")
     sinks.append_into(seen, out, str(tmp_path / "c")).awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == [f"u{i}" for i in range(5)]
+
+
+def test_two_streams_into_one_table(spark, tmp_path):
+    """Each has a batch 0; so has a stream that starts again without its checkpoint."""
+    store = VersionedTable(spark, str(tmp_path / "t"))
+    for k, rows in enumerate([[("a", 0), ("b", 1)], [("c", 2)], [("c", 2), ("d", 3)]]):
+        (tmp_path / f"s{k}").mkdir()
+        stream = batches(spark, tmp_path / f"s{k}", rows, "url string, seq bigint", n=1)
+        sinks.touch_into(stream, store, TABLE, "gmail", "now", str(tmp_path / f"c{k}")).awaitTermination()
+    assert sorted(r.job_url for r in store.read().collect()) == ["a", "b", "c", "d"]
+    assert len(store.versions()) == 3
+
+
+def test_a_version_is_never_written_over(spark, tmp_path):
+    store = VersionedTable(spark, str(tmp_path / "t"))
+    frame = spark.range(3)
+    assert store.commit(frame, batch=0, writer="x") == 0 == store.commit(frame, batch=0, writer="x")
+    (tmp_path / "t" / "v=00000001").mkdir()  # of a commit that died
+    assert store.commit(frame, batch=0, writer="y") == 2
+    assert store.read().count() == 3
+
+
+def test_changes_of_two_queries_do_not_meet(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"s{k}").mkdir()
+        stream = batches(spark, tmp_path / f"s{k}", [(f"u{k}", 0, "ok", "")], ATTEMPTS, n=1)
+        states = folds.attempt_states(stream)
+        sinks.append_into(states, str(tmp_path / "out"), str(tmp_path / f"c{k}"), "update").awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u0", "u1"]
