@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -16,7 +18,12 @@ from postmill.operators.links import hrefs
 from postmill.operators.scoring import Rule
 from postmill.plans import runs as R
 from postmill.plans.stages import Scorer
-from postmill.sources.files import PREFERENCE_SCHEMA
+from postmill.operators.extract import mail_html
+from postmill.session import shared_dir
+from postmill.sources.files import (
+    PREFERENCE_SCHEMA, message_headers, read_feedback, read_messages, read_preferences,
+    read_snapshots, write_snapshot,
+)
 
 
 def empty(spark, columns):
@@ -207,10 +214,75 @@ def rescore(spark, sf):
     return run.table.select("seq", "agent_bucket")
 
 
-@query("""WITH e AS (SELECT 'u' || user_id AS value, event_id,
+_SPOKEN = """e AS (SELECT 'u' || user_id AS value, event_id,
     CASE WHEN event_type = 'click' THEN 'exception' ELSE 'reject' END AS kind
-  FROM events WHERE event_type IN ('view', 'click', 'signup'))
-SELECT value, arg_min(kind, event_id) AS kind FROM e GROUP BY value""")
+  FROM events WHERE event_type IN ('view', 'click', 'signup')),
+f AS (SELECT *, first_value(kind) OVER w AS first_kind, min(event_id) OVER w AS first_id FROM e
+  WINDOW w AS (PARTITION BY value ORDER BY event_id))"""
+
+
+def _feedback(spark, sf) -> tuple[R.Feedback, str]:
+    """A feedback run over all events; what was said is logged, what follows is saved."""
+    place = f"{shared_dir(spark)}/feedback/{uuid.uuid4().hex}"
+    replies = feedback_replies(spark, sf)
+    raw = load(spark, sf, "events").select(
+        F.lit("me").alias("owner"), F.col("event_id").alias("seq"),
+        F.concat(F.lit("  "), "event_type", F.lit("\t")).alias("raw"),
+    )
+    stored = spark.createDataFrame([], PREFERENCE_SCHEMA)
+    return R.feedback_run(stored, replies, raw, f"{place}/raw", f"{place}/prefs"), place
+
+
+@query(f"WITH {_SPOKEN} SELECT DISTINCT value, first_kind AS kind FROM f")
 def feedback_intake(spark, sf):
-    prefs, _ = R.feedback_run(spark.createDataFrame([], PREFERENCE_SCHEMA), feedback_replies(spark, sf))
-    return prefs.select("value", "kind")
+    return _feedback(spark, sf)[0].prefs.select("value", "kind")
+
+
+@query(f"""WITH {_SPOKEN} SELECT event_id AS seq, value AS entity, kind AS action,
+  CASE WHEN event_id = first_id THEN 'added' WHEN kind = first_kind THEN 'no-op' ELSE 'contradiction' END AS verdict
+FROM f""")
+def feedback_verdicts(spark, sf):
+    return _feedback(spark, sf)[0].verdicts.select("seq", "entity", "action", "verdict")
+
+
+@query("SELECT event_id AS seq, event_type AS raw, 'me' AS owner FROM events")
+def raw_feedback(spark, sf):
+    """The raw lines, as the log holds them."""
+    return read_feedback(spark, f"{_feedback(spark, sf)[1]}/raw").select("seq", "raw", "owner")
+
+
+@query(f"WITH {_SPOKEN} SELECT DISTINCT 'me' AS owner, first_kind AS kind, value, first_id AS seq FROM f")
+def preference_roundtrip(spark, sf):
+    """The preferences, as they were saved."""
+    return read_preferences(spark, f"{_feedback(spark, sf)[1]}/prefs")
+
+
+@query("""SELECT DISTINCT CAST(ts AS DATE) AS run_date, 'https://x/' || user_id AS url FROM events
+WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM events ORDER BY 1 LIMIT 3)""")
+def snapshot_roundtrip(spark, sf):
+    """The first three days, each saved as a snapshot of its own (the second one twice)."""
+    place = f"{shared_dir(spark)}/snapshots/{uuid.uuid4().hex}"
+    seen = load(spark, sf, "events").select(
+        F.to_date("ts").alias("day"), F.concat(F.lit("https://x/"), F.col("user_id").cast("string")).alias("url"))
+    days = [r.day for r in seen.select("day").distinct().orderBy("day").limit(3).collect()]
+    for day in [*days, *days[1:2]]:
+        write_snapshot(seen.filter(F.col("day") == day), place, str(day))
+    return read_snapshots(spark, place).select("run_date", "url")
+
+
+@query(f"""SELECT 'm' || page_id AS id, 'Subject ' || {LANG} AS subject, html AS body FROM pages""")
+def message_scan(spark, sf):
+    """Messages written as JSON lines and read again: their subject, and the html decoded."""
+    place = f"{shared_dir(spark)}/messages/{uuid.uuid4().hex}"
+    pages = load(spark, sf, "pages")
+    header = F.struct(F.lit("Subject").alias("name"), F.concat(F.lit("Subject "), lang_of()).alias("value"))
+    data = F.translate(F.base64(F.encode("html", "utf-8")), "+/\r\n", "-_")
+    pages.select(
+        F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("id"),
+        F.struct(
+            F.lit("text/html").alias("mimeType"), F.array(header).alias("headers"),
+            F.struct(data.alias("data")).alias("body"),
+        ).alias("payload"),
+    ).write.json(place)
+    read = message_headers(mail_html(read_messages(spark, place)))
+    return read.select("id", F.element_at("headers", "subject").alias("subject"), F.col("html").alias("body"))

@@ -149,6 +149,50 @@ def scored_packs(spark, sf):
     )
 
 
+@query(f"""WITH {_PACKED}, k AS (SELECT batch, count(*) AS n, min(place) AS place FROM p GROUP BY batch)
+SELECT batch, CAST(unnest([0, 1]) AS INTEGER) AS pos,
+  unnest(['pack of ' || n, CASE WHEN batch % 2 = 0 THEN 'even' ELSE 'odd' END]) AS note FROM k WHERE batch % 3 <> 0
+UNION ALL SELECT batch, CAST(0 AS INTEGER), 'Scoring parse error - review jobs manually' FROM k WHERE batch % 3 = 0""")
+def digest_notes(spark, sf):
+    """Notes of all packs in order; every third reply is no JSON."""
+    import json
+
+    def answer(pack, attempt):
+        batch = int(pack["batch"].iloc[0])
+        if batch % 3 == 0:
+            return "none"
+        return json.dumps({"notes": [f"pack of {len(pack)}", "odd" if batch % 2 else "even"]})
+
+    return S.digest_notes(S.score(S.pack(postings(spark, sf)), answer))
+
+
+@query(f"""WITH {_PACKED}, k AS (SELECT batch, arg_min(url, place) AS url FROM p GROUP BY batch)
+SELECT url, 'monitor' AS bucket, 'Job 1:' || chr(10) || 'URL: ' || url || '|Learned from your feedback:' || chr(10)
+  || 'Reject these companies: src1, src2' || chr(10) || chr(10) AS why FROM k""")
+def scored_with_preferences(spark, sf):
+    """A function that repeats what it is told: the start of a pack's text, and the preferences."""
+    import json
+
+    from postmill.plans.stages import Scorer, score_stage
+
+    def answer(pack, attempt):
+        told = pack["batch_text"].iloc[0]
+        why = ["\n".join(told.split("\n")[:2]), pack["preferences"].iloc[0]]
+        item = {"url": pack["url"].iloc[0], "bucket": "monitor", "why": why, "what_to_do_next": ""}
+        return json.dumps({"monitor": [item]})
+
+    prefs = load(spark, sf, "documents").filter("source in ('src1', 'src2')").select(
+        F.lit("me").alias("owner"), F.lit("reject").alias("kind"), F.col("source").alias("value"),
+    ).distinct().withColumn("seq", F.lit(0).cast("bigint"))
+    table = postings(spark, sf).select(
+        "seq", F.lit("s").alias("source"), F.col("url").alias("job_url"), F.lit("fetched").alias("fetch_status"),
+        F.col("title").alias("role_title"), "company", F.col("location_text").alias("location"), "job_description",
+        F.lit("").alias("agent_bucket"), F.lit("").alias("agent_reasoning"),
+    )
+    _, scored, _ = score_stage(table, Scorer(fn=answer, prefs=prefs))
+    return scored.filter("what_to_do_next = ''").select("url", "bucket", F.array_join("why", "|").alias("why"))
+
+
 RULES = [
     S.Rule("long words", "reject", any_of=["ndsh", "edea"], overridable=True),
     S.Rule("infrastructure", "reject", all_of=["token", "="]),

@@ -78,6 +78,20 @@ def preference_verdicts(events: DataFrame) -> DataFrame:
     )
 
 
+def stored_verdicts(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Verdicts on new events (owner, seq, entity, action), of which stored preferences came first."""
+    kind = events.schema["seq"].dataType
+    old = stored.filter(F.col("kind").isin("reject", "exception")).select(
+        "owner", F.struct(F.lit(0).alias("era"), F.col("seq").cast(kind).alias("seq")).alias("seq"),
+        F.col("value").alias("entity"), F.col("kind").alias("action"),
+    )
+    new = events.select(
+        "owner", F.struct(F.lit(1).alias("era"), "seq").alias("seq"), "entity", "action"
+    )
+    judged = preference_verdicts(old.unionByName(new)).filter("seq.era = 1")
+    return judged.withColumn("seq", F.col("seq.seq"))
+
+
 def fold_notes(notes: DataFrame) -> DataFrame:
     """owner, value, seq: trimmed notes, blanks dropped, first mention kept."""
     trimmed = notes.select("owner", strip(text("value")).alias("value"), "seq")

@@ -82,6 +82,15 @@ def render_batches(packed: DataFrame) -> DataFrame:
     )
 
 
+def with_prompts(packed: DataFrame, preferences: str = "") -> DataFrame:
+    """Adds what a model is told: `batch_text`, in the first row of a pack, and `preferences`."""
+    texts = render_batches(packed).select("batch", "batch_text")
+    return packed.join(texts, "batch").withColumns({
+        "batch_text": F.when(F.col("place") == 1, F.col("batch_text")),
+        "preferences": F.lit(preferences),
+    })
+
+
 # --- replies ---------------------------------------------------------------------------
 
 _LISTS = ["true_matches", "monitor", "rejects"]

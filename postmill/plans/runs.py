@@ -14,13 +14,13 @@ from postmill.operators.dedup import dedup_first
 from postmill.operators.extract import api_postings, mail_postings, page_apply_links
 from postmill.operators.lifecycle import prune, reset_fetched
 from postmill.operators.links import anchors, arrival, board_slugs, resolve_links
-from postmill.operators.prefs import feedback_status, merge_preferences
+from postmill.operators.prefs import feedback_status, merge_preferences, stored_verdicts
 from postmill.operators.upsert import (
     advance_snapshot, insert_new, snapshot_delta, upsert_touch,
 )
 from postmill.plans.stages import Scorer, fetch_stage, score_stage
 from postmill.session import settle
-from postmill.sources.files import latest_snapshot
+from postmill.sources.files import append_feedback, latest_snapshot, write_preferences
 
 
 @dataclass
@@ -29,6 +29,7 @@ class Run:
     scored: DataFrame | None = None
     snapshots: DataFrame | None = None
     companies: DataFrame | None = None
+    notes: DataFrame | None = None
 
 
 def mail_run(
@@ -50,8 +51,8 @@ def mail_run(
     )
     table = settle(upsert_touch(table, links, fixed.SOURCE_MAIL, now))
     table = fetch_stage(table, attempts, now, cap, run)
-    table, scored = score_stage(table, scorer)
-    return Run(table, scored)
+    table, scored, notes = score_stage(table, scorer)
+    return Run(table, scored, notes=notes)
 
 
 def board_links(pages: DataFrame) -> DataFrame:
@@ -112,8 +113,8 @@ def board_run(
     table = settle(insert_new(table, fresh, "board", now))
     snapshots = advance_snapshot(snapshots, found, run_date)
     table = fetch_stage(table, attempts, now, cap, run)
-    table, scored = score_stage(table, scorer)
-    return Run(table, scored, snapshots=snapshots)
+    table, scored, notes = score_stage(table, scorer)
+    return Run(table, scored, snapshots=snapshots, notes=notes)
 
 
 def company_run(
@@ -134,13 +135,13 @@ def company_run(
     )
     table = settle(insert_new(table, links, "companies", now))
     table = fetch_stage(table, attempts, now, cap, run)
-    table, scored = score_stage(table, scorer)
-    return Run(prune(table), scored, companies=companies)
+    table, scored, notes = score_stage(table, scorer)
+    return Run(prune(table), scored, companies=companies, notes=notes)
 
 
 def rescore_run(table: DataFrame, scorer: Scorer, pruned: bool = False) -> Run:
-    table, scored = score_stage(table, scorer)
-    return Run(prune(table) if pruned else table, scored)
+    table, scored, notes = score_stage(table, scorer)
+    return Run(prune(table) if pruned else table, scored, notes=notes)
 
 
 def refetch_run(
@@ -150,8 +151,27 @@ def refetch_run(
     return Run(fetch_stage(reset_fetched(table), attempts, now, cap, run))
 
 
-def feedback_run(prefs: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(preferences folded with new feedback, lines that could not be read)."""
-    lines = feedback_status(replies)
+@dataclass
+class Feedback:
+    """prefs: the preferences after the run; unread: lines that could not be read; verdicts: what
+    became of each line that could, judged after what was stored (contradictions and errors too)."""
+
+    prefs: DataFrame
+    unread: DataFrame
+    verdicts: DataFrame
+
+
+def feedback_run(
+    prefs: DataFrame, replies: DataFrame, raw: DataFrame | None = None, log: str | None = None,
+    save: str | None = None, tries: int | None = None,
+) -> Feedback:
+    """Raw lines (owner, seq, raw) are added to the folder `log` before anything parses them; the
+    preferences are saved to the folder `save`, if it is named."""
+    if raw is not None and log is not None:
+        append_feedback(raw, log)
+    lines = settle(feedback_status(replies, tries))
     events = lines.filter("status = 'parsed'").select("owner", "seq", "entity", "action")
-    return merge_preferences(prefs, events), lines.filter("status <> 'parsed'")
+    merged = settle(merge_preferences(prefs, events))
+    if save is not None:
+        write_preferences(merged, save)
+    return Feedback(merged, lines.filter("status <> 'parsed'"), stored_verdicts(prefs, events))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.operators.lifecycle import apply_outcomes, scoreable
+from postmill.operators.prefs import preference_block
 from postmill.operators.scoring import (
-    Rule, ScoreFn, assemble, bucket_by_rules, pack, score, split_closed,
+    Rule, ScoreFn, assemble, bucket_by_rules, digest_notes, pack, score, split_closed, with_prompts,
 )
 from postmill.operators.upsert import write_scores
 from postmill.session import settle
@@ -19,12 +20,23 @@ from postmill.session import settle
 
 @dataclass
 class Scorer:
-    """How postings are bucketed: a user's function on packs of ten, or rules."""
+    """How postings are bucketed: a user's function on packs of ten, or rules.
+
+    The function gets a pack with `batch_text` (all its postings as text, in the first row) and
+    `preferences` (what `owner` has taught, as text), and the attempt, 0 or 1."""
 
     fn: ScoreFn | None = None
     rules: list[Rule] | None = None
     prefs: DataFrame | None = None
     patterns: list[str] | None = None
+    owner: str = "me"
+
+    def preferences(self) -> str:
+        """One owner's block: a single row, whose lists are capped."""
+        if self.prefs is None or "owner" not in self.prefs.columns:
+            return ""
+        row = preference_block(self.prefs.filter(F.col("owner") == self.owner)).first()
+        return row.block if row else ""
 
 
 def fetch_stage(
@@ -33,12 +45,18 @@ def fetch_stage(
     return settle(apply_outcomes(table, attempts, now, cap, run))
 
 
-def score_stage(table: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
-    """(table with scores, scored rows: ord, url, bucket, why, what_to_do_next)."""
+def score_stage(
+    table: DataFrame, scorer: Scorer
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(table with scores, scored rows: ord, url, bucket, why, what_to_do_next; the function's
+    notes: batch, pos, note, None without a function)."""
+    notes = None
     closed, waiting = split_closed(scoreable(table))
     if scorer.fn:
-        packed = settle(pack(waiting))
-        scored = assemble(closed, packed, score(packed, scorer.fn))
+        packed = settle(with_prompts(pack(waiting), scorer.preferences()))
+        parsed = settle(score(packed, scorer.fn))
+        scored = assemble(closed, packed, parsed)
+        notes = digest_notes(parsed)
     else:
         ruled = bucket_by_rules(
             waiting, scorer.rules or [], scorer.prefs, scorer.patterns
@@ -55,4 +73,4 @@ def score_stage(table: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]
         automatic = assemble(closed, none.select("batch", F.lit("").alias("url"), F.lit(0).alias("place")), none)
         scored = automatic.unionByName(ruled)
     scored = settle(scored)
-    return settle(write_scores(table, scored, "ord")), scored
+    return settle(write_scores(table, scored, "ord")), scored, notes

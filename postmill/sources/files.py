@@ -118,6 +118,16 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_preferences(prefs: DataFrame, path: str) -> None:
+    """Replace what is stored. `prefs` must not read from `path` itself: settle it first."""
+    prefs.select("owner", "kind", "value", "seq").write.mode("overwrite").parquet(path)
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    schema = "owner STRING, seq BIGINT, raw STRING"
+    return _or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
+
+
 def append_feedback(raw: DataFrame, path: str) -> None:
     """Log the trimmed raw lines before anything parses them."""
     raw.withColumn("raw", strip(text("raw"))).write.mode("append").parquet(path)
