@@ -28,7 +28,7 @@ PERCENTILE = 90
 _HEAD = struct.Struct("<4sQI")  # mark, ids, blocks
 _BLOCK = struct.Struct("<IBH")  # minimum, width, exceptions
 _MARK = b"PFR1"
-_AT_ONCE = 256  # blocks whose bits are spread out at a time
+_AT_ONCE = 16  # blocks whose bits are spread out at a time: so many fit a core's cache
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -126,10 +126,10 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, segment = TaskContext.get().partitionId(), codec(path, pattern), 0
-        ids, keys, count = [], [], 0
+        ids, lengths, keys, count = [], [], [], 0
+        ending = np.array([end_id], np.uint32)
 
         def made() -> pa.RecordBatch:
-            lengths = [len(i) for i in ids]
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()),
                 "doc_ids": pa.array([keys], pa.list_(pa.int64())),
@@ -140,13 +140,13 @@ def write(
         for piece in in_slices(batches):
             encoded = held.encode(texts_of(piece.column("text")))
             for key, i in zip(piece.column("doc_id").to_pylist(), encoded, strict=True):
-                i.append(end_id)
-                ids.append(np.array(i, np.uint32))
+                ids += [i, ending]
+                lengths.append(len(i) + 1)
                 keys.append(key)
-                count += len(i)
+                count += len(i) + 1
                 if count >= SEGMENT_IDS:
                     yield made()
-                    ids, keys, count, segment = [], [], 0, segment + 1
+                    ids, lengths, keys, count, segment = [], [], [], 0, segment + 1
         if ids:
             yield made()
 

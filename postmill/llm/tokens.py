@@ -10,7 +10,8 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -23,10 +24,13 @@ from postmill.llm.common import by_slice
 
 #: Single spaces that have a non-space character on either side.
 _JOINTS = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces the pre-tokenizer parts in two: letters, then marks (ASCII, no apostrophe).
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Pieces that one of a worker's caches keeps.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_MARKS = "[!-&(-/:-@\\[-`{-~]*"  # ASCII, no apostrophe
+#: Pieces whose parts are plain: letters, then marks; perhaps a line's end and the same once more.
+_WORD = re.compile(f"({_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
+#: What a worker keeps: pieces, and the parts of them that the pre-tokenizer leaves whole.
 CACHED_PIECES = 500_000
+CACHED_PARTS = 1_000_000
 #: Longer pieces are encoded but not kept.
 CACHED_CHARS = 64
 
@@ -65,19 +69,26 @@ def _from_ranks(path: str, pattern: str):
 
 
 class Cache(dict):
-    """Ids by piece, made when first asked for; emptied between slices once it is full."""
+    """Ids by piece, made when first asked for; emptied between slices once it is full.
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+    Ids are kept as their bytes (unsigned, 32 bits): a text's ids are then one join of these, and
+    no object is touched for each id."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.make(piece)
         if len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _pieces(text: str) -> list[str]:
     """The text, parted at joints; the spaces there are left out."""
     pieces = text.split(" ")
@@ -107,36 +118,45 @@ class Codec:
             )
         self.chars = dict(enumerate(byte_chars()))
         self.merge = self.tokenizer.model.tokenize
-        self.pieces, self.words = Cache(self._spaced), Cache(self._merged)
+        self.pieces, self.parts = Cache(self._spaced), Cache(self._merged)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        for cache in (self.pieces, self.words):
-            if len(cache) > CACHED_PIECES:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned integers of 32 bits."""
+        for cache, most in ((self.pieces, CACHED_PIECES), (self.parts, CACHED_PARTS)):
+            if len(cache) > most:
                 cache.clear()
-        parted = [_pieces(t) for t in texts]
-        heads = self.tokenizer.encode_batch_fast([p[0] for p in parted], add_special_tokens=False)
         piece = self.pieces.__getitem__
+        parted = map(_pieces, texts)
         return [
-            [*head.ids, *chain.from_iterable(map(piece, p[1:]))]
-            for head, p in zip(heads, parted, strict=True)
+            np.frombuffer(self._piece(p[0], "") + b"".join(map(piece, p[1:])), "<u4") for p in parted
         ]
 
-    def _spaced(self, piece: str) -> tuple[int, ...]:
+    def _spaced(self, piece: str) -> bytes:
         """Ids of a piece with a space before it."""
-        if not (m := _WORD.fullmatch(piece)):
-            return tuple(self.tokenizer.encode(" " + piece, add_special_tokens=False).ids)
-        return self.words[" " + m[1]] + self.words[m[2]] if m[2] else self.words[" " + m[1]]
-
-    def _merged(self, token: str) -> tuple[int, ...]:
+        return self._piece(piece, " ")
+
+    def _piece(self, piece: str, before: str) -> bytes:
+        m = _WORD.fullmatch(piece)
+        if not m:
+            made = self.tokenizer.encode_batch_fast([before + piece], add_special_tokens=False)
+            return _as_bytes(made[0].ids)
+        first, *rest = m.groups("")
+        part = self.parts
+        return part[before + first] + b"".join([part[x] for x in rest if x])
+
+    def _merged(self, token: str) -> bytes:
         """Ids of a string that the pre-tokenizer leaves whole."""
-        shown = token.encode().decode("latin-1").translate(self.chars)
-        return tuple([t.id for t in self.merge(shown)])
+        if token.isascii() and token != "\n":  # of these only the space is shown as another character
+            shown = token.replace(" ", self.chars[0x20])
+        else:
+            shown = token.encode().decode("latin-1").translate(self.chars)
+        return _as_bytes([t.id for t in self.merge(shown)])
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of the tokens; a character may be split between two of them."""
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def spans(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, ids: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each token; tokens that share a character overlap in it."""
         lengths = np.fromiter((len(self.bytes[i]) for i in ids), np.int64, len(ids))
         ends = np.cumsum(lengths)
@@ -169,7 +189,7 @@ def encode(
 
     def job(piece: pa.RecordBatch) -> dict:
         held = codec(path, pattern)
-        ids = held.encode(texts_of(piece.column("__text")))
+        ids = [i.tolist() for i in held.encode(texts_of(piece.column("__text")))]
         out = {c: piece.column(c) for c in keep} | {"ids": ids}
         if offsets:
             spans = [held.spans(i) for i in ids]
@@ -205,7 +225,7 @@ def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame
 
     def job(piece: pa.RecordBatch) -> dict:
         held = codec(path, pattern)
-        encoded = held.encode(texts_of(piece.column("text")))
+        encoded = [i.tolist() for i in held.encode(texts_of(piece.column("text")))]
         return {
             "doc_id": piece.column("doc_id"),
             "n_tokens": [len(i) for i in encoded],
