@@ -2,9 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill import fixed
 from postmill.bindings.base import load, query
 from postmill.operators import scoring as S
+from postmill.operators.lifecycle import summary
 from postmill.operators.reports import bucket_counts as count_buckets
 from postmill.operators.reports import bucket_digest as list_buckets
 from postmill.operators.upsert import render_reasons
@@ -267,5 +267,5 @@ def bucket_counts(spark, sf):
 def doc_previews(spark, sf):
     return load(spark, sf, "documents").select(
         F.col("doc_id").alias("seq"),
-        F.left("text", F.lit(fixed.SUMMARY_CHARS)).alias("summary"),
+        summary("text").alias("summary"),
     )

@@ -103,22 +103,31 @@ def fetch_outcomes(
     )
 
 
-def apply_outcomes(
+def outcome_cells(
     table: DataFrame, attempts: DataFrame, now: str, cap: int | None = None,
     run: int | None = None, chars: int | None = None, summary_chars: int = fixed.SUMMARY_CHARS,
     max_attempts: int = fixed.MAX_ATTEMPTS,
 ) -> DataFrame:
-    """One run: every eligible row with an outcome uses up an attempt.
+    """`fetch_outcomes` of the rows of a table that are eligible, with the summary.
 
-    Which outcome that is, see `fetch_outcomes`. Applied again, a run changes nothing: without
-    `run` the attempts used say how far a row is in the log, with it rows fetched at `now` are
-    left. A success overwrites the parsed fields, also with ''; a failure leaves them."""
+    With `run`, rows fetched at `now` are left: they have had it."""
     waiting = eligible(table, None, max_attempts)
     if run is not None:
         waiting = waiting.filter(text("last_fetch_at") != now)
     cells = fetch_outcomes(waiting, attempts, run, cap, chars, max_attempts)
+    return cells.withColumn("job_summary", summary("job_description", summary_chars))
+
+
+def summary(description: Column | str, chars: int = fixed.SUMMARY_CHARS) -> Column:
+    """What the summary column holds: the description's first characters."""
+    return F.left(description, F.lit(chars))
+
+
+def apply_cells(table: DataFrame, cells: DataFrame, now: str) -> DataFrame:
+    """The table after a run whose outcomes are `cells`: one join by seq.
+
+    A success overwrites the parsed fields, also with ''; a failure leaves them."""
     content = ["role_title", "company", "location", "job_description", "job_summary"]
-    cells = cells.withColumn("job_summary", F.left("job_description", F.lit(summary_chars)))
     cells = cells.select(F.col("seq").alias("__seq"), *[
         F.col(c).alias(f"__{c}") for c in cells.columns if c != "seq"
     ])
@@ -141,6 +150,19 @@ def apply_outcomes(
     )
 
 
+def apply_outcomes(
+    table: DataFrame, attempts: DataFrame, now: str, cap: int | None = None,
+    run: int | None = None, chars: int | None = None, summary_chars: int = fixed.SUMMARY_CHARS,
+    max_attempts: int = fixed.MAX_ATTEMPTS,
+) -> DataFrame:
+    """One run: every eligible row with an outcome uses up an attempt.
+
+    Which outcome that is, see `fetch_outcomes`. Applied again, a run changes nothing: without
+    `run` the attempts used say how far a row is in the log, with it `now` does."""
+    cells = outcome_cells(table, attempts, now, cap, run, chars, summary_chars, max_attempts)
+    return apply_cells(table, cells, now)
+
+
 def fold_attempts(log: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
     """State after a whole attempts log: key, fetch_attempts, fetch_status, fetch_error.
 

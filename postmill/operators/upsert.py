@@ -73,7 +73,7 @@ def insert_new(table: DataFrame, rows: DataFrame, preset: str, now: str) -> Data
     return append(table, new_rows(table, rows, preset, now))
 
 
-def _matched(table: DataFrame, arrivals: DataFrame) -> DataFrame:
+def matched(table: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Distinct non-blank arrivals (url, seq) with `row_seq` of the row they name, or null."""
     found = dedup_first(
         arrivals.select(strip(text("url")).alias("url"), "seq").filter("url <> ''"),
@@ -84,13 +84,17 @@ def _matched(table: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 def upsert_touch(table: DataFrame, arrivals: DataFrame, source: str, now: str) -> DataFrame:
     """Known url -> only `last_seen_at` moves; unknown -> a full pending row."""
-    matched = _matched(table, arrivals)
-    touched = matched.filter("row_seq is not null").select("row_seq").distinct()
+    return touch(table, matched(table, arrivals), source, now)
+
+
+def touch(table: DataFrame, found: DataFrame, source: str, now: str) -> DataFrame:
+    """`upsert_touch` with arrivals that are matched already: `found` is read twice."""
+    touched = found.filter("row_seq is not null").select("row_seq").distinct()
     seen = table.join(touched, F.col("seq") == F.col("row_seq"), "left").withColumn(
         "last_seen_at",
         F.when(F.col("row_seq").isNotNull(), F.lit(now)).otherwise(F.col("last_seen_at")),
     )
-    fresh = matched.filter("row_seq is null").select(
+    fresh = found.filter("row_seq is null").select(
         "seq",
         F.col("url").alias("job_url"),
         F.lit(source).alias("source"),
@@ -104,7 +108,7 @@ def upsert_touch(table: DataFrame, arrivals: DataFrame, source: str, now: str) -
 
 def upsert_report(table: DataFrame, arrivals: DataFrame) -> DataFrame:
     """One row: existing, new, rows_before, rows_after for the arrivals."""
-    sides = _matched(table, arrivals).select(
+    sides = matched(table, arrivals).select(
         F.col("row_seq").isNotNull().cast("bigint").alias("existing"),
         F.col("row_seq").isNull().cast("bigint").alias("new"),
         F.lit(0).cast("bigint").alias("rows_before"),
@@ -159,10 +163,13 @@ def score_patches(table: DataFrame, scored: DataFrame, order: str = "seq") -> Da
 
 def write_scores(table: DataFrame, scored: DataFrame, order: str = "seq") -> DataFrame:
     """The table with bucket and reasoning set on every row a score reaches."""
+    return apply_scores(table, score_patches(table, scored, order))
+
+
+def apply_scores(table: DataFrame, patches: DataFrame) -> DataFrame:
+    """The table with the cells of `score_patches`: one join by seq."""
     columns = ["agent_bucket", "agent_reasoning"]
-    patches = score_patches(table, scored, order).select(
-        "row_seq", *[text(c).alias(f"__{c}") for c in columns]
-    )
+    patches = patches.select("row_seq", *[text(c).alias(f"__{c}") for c in columns])
     joined = table.join(patches, F.col("seq") == F.col("row_seq"), "left")
     return joined.select(
         "seq",

@@ -15,10 +15,8 @@ from postmill.operators.extract import api_postings, mail_postings, page_apply_l
 from postmill.operators.lifecycle import prune, reset_fetched
 from postmill.operators.links import anchors, arrival, board_slugs, resolve_links
 from postmill.operators.prefs import feedback_status, merge_preferences, stored_verdicts
-from postmill.operators.upsert import (
-    advance_snapshot, insert_new, snapshot_delta, upsert_touch,
-)
-from postmill.plans.stages import Scorer, fetch_stage, score_stage
+from postmill.operators.upsert import advance_snapshot, snapshot_delta
+from postmill.plans.stages import Scorer, fetch_stage, insert_stage, score_stage, touch_stage
 from postmill.session import settle
 from postmill.sources.files import append_feedback, latest_snapshot, write_preferences
 
@@ -49,7 +47,7 @@ def mail_run(
     links = mail_postings(messages, ["seq"]).select(
         "url", arrival("seq", "pos").alias("seq")
     )
-    table = settle(upsert_touch(table, links, fixed.SOURCE_MAIL, now))
+    table = touch_stage(table, links, fixed.SOURCE_MAIL, now)
     table = fetch_stage(table, attempts, now, cap, run)
     table, scored, notes = score_stage(table, scorer)
     return Run(table, scored, notes=notes)
@@ -108,9 +106,9 @@ def board_run(
     """Described postings go in before board links, so they win a shared address. The
     snapshot moves after the insert: a crash repeats the delta, and the insert is idempotent."""
     found = settle(board_links(pages))
-    table = settle(insert_new(table, described_postings(bodies, rendered), "described", now))
+    table = insert_stage(table, described_postings(bodies, rendered), "described", now)
     fresh = snapshot_delta(found, latest_snapshot(snapshots, before=run_date))
-    table = settle(insert_new(table, fresh, "board", now))
+    table = insert_stage(table, fresh, "board", now)
     snapshots = advance_snapshot(snapshots, found, run_date)
     table = fetch_stage(table, attempts, now, cap, run)
     table, scored, notes = score_stage(table, scorer)
@@ -133,7 +131,7 @@ def company_run(
     links = co.company_postings(found).select(
         "url", "company", arrival("company_seq", "pos").alias("seq")
     )
-    table = settle(insert_new(table, links, "companies", now))
+    table = insert_stage(table, links, "companies", now)
     table = fetch_stage(table, attempts, now, cap, run)
     table, scored, notes = score_stage(table, scorer)
     return Run(prune(table), scored, companies=companies, notes=notes)

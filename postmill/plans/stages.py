@@ -1,6 +1,7 @@
 """Stages shared by the runs. A run is one function from a table version and the
-inputs of the run to the next version; a stage that others build on is settled
-(checkpointed in the shared folder), so later stages neither repeat it nor grow its plan."""
+inputs of the run to the next version. What a stage finds out (which arrivals are new, what
+was fetched, how rows are scored) is settled as narrow cells, so later stages do not repeat it;
+the table itself stays a plan of joins by seq on these, and is written once, by whoever takes it."""
 
 from __future__ import annotations
 
@@ -9,13 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.operators.lifecycle import apply_outcomes, scoreable
+from postmill.operators.lifecycle import apply_cells, outcome_cells, scoreable
 from postmill.operators.prefs import preference_block
 from postmill.operators.scoring import (
     Rule, ScoreFn, assemble, bucket_by_rules, digest_notes, pack, score, split_closed, with_prompts,
 )
-from postmill.operators.upsert import write_scores
+from postmill.operators.upsert import apply_scores, matched, new_rows, score_patches, touch
 from postmill.session import settle
+from postmill.sources.tables import append
 
 
 @dataclass
@@ -42,7 +44,15 @@ class Scorer:
 def fetch_stage(
     table: DataFrame, attempts: DataFrame, now: str, cap: int | None, run: int | None = None
 ) -> DataFrame:
-    return settle(apply_outcomes(table, attempts, now, cap, run))
+    return apply_cells(table, settle(outcome_cells(table, attempts, now, cap, run)), now)
+
+
+def insert_stage(table: DataFrame, rows: DataFrame, preset: str, now: str) -> DataFrame:
+    return append(table, settle(new_rows(table, rows, preset, now)))
+
+
+def touch_stage(table: DataFrame, arrivals: DataFrame, source: str, now: str) -> DataFrame:
+    return touch(table, settle(matched(table, arrivals)), source, now)
 
 
 def score_stage(
@@ -51,7 +61,7 @@ def score_stage(
     """(table with scores, scored rows: ord, url, bucket, why, what_to_do_next; the function's
     notes: batch, pos, note, None without a function)."""
     notes = None
-    closed, waiting = split_closed(scoreable(table))
+    closed, waiting = split_closed(settle(scoreable(table)))
     if scorer.fn:
         packed = settle(with_prompts(pack(waiting), scorer.preferences()))
         parsed = settle(score(packed, scorer.fn))
@@ -73,4 +83,4 @@ def score_stage(
         automatic = assemble(closed, none.select("batch", F.lit("").alias("url"), F.lit(0).alias("place")), none)
         scored = automatic.unionByName(ruled)
     scored = settle(scored)
-    return settle(write_scores(table, scored, "ord")), scored, notes
+    return apply_scores(table, settle(score_patches(table, scored, "ord"))), scored, notes
