@@ -257,16 +257,15 @@ def preference_roundtrip(spark, sf):
     return read_preferences(spark, f"{_feedback(spark, sf)[1]}/prefs")
 
 
-@query("""SELECT DISTINCT CAST(ts AS DATE) AS run_date, 'https://x/' || user_id AS url FROM events
-WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM events ORDER BY 1 LIMIT 3)""")
+@query("""SELECT DISTINCT CAST('2024-01-01' AS DATE) + CAST(event_id % 3 AS INTEGER) AS run_date,
+  'https://x/' || user_id AS url FROM events""")
 def snapshot_roundtrip(spark, sf):
-    """The first three days, each saved as a snapshot of its own (the second one twice)."""
+    """All events as the snapshots of three runs, one of which is saved twice."""
     place = f"{shared_dir(spark)}/snapshots/{uuid.uuid4().hex}"
     seen = load(spark, sf, "events").select(
-        F.to_date("ts").alias("day"), F.concat(F.lit("https://x/"), F.col("user_id").cast("string")).alias("url"))
-    days = [r.day for r in seen.select("day").distinct().orderBy("day").limit(3).collect()]
-    for day in [*days, *days[1:2]]:
-        write_snapshot(seen.filter(F.col("day") == day), place, str(day))
+        (F.col("event_id") % 3).alias("run"), F.concat(F.lit("https://x/"), F.col("user_id").cast("string")).alias("url"))
+    for run in (0, 1, 2, 1):
+        write_snapshot(seen.filter(F.col("run") == run), place, f"2024-01-0{run + 1}")
     return read_snapshots(spark, place).select("run_date", "url")
 
 

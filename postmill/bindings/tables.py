@@ -101,12 +101,16 @@ def deleted_rows(spark, sf):
     return T.delete_rows(event_table(spark, sf), keys).select("seq", "job_url")
 
 
-@query("""WITH v AS (SELECT DISTINCT o_orderkey AS v FROM orders WHERE o_orderstatus = 'F' AND o_orderkey >= 2),
-g AS (SELECT v, v - row_number() OVER (ORDER BY v) AS run FROM v)
+@query("""WITH v AS (SELECT DISTINCT o_orderkey + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1000000000000
+    ELSE 2000000000000 END AS v FROM orders),
+g AS (SELECT v, v - row_number() OVER (ORDER BY v) AS run FROM v WHERE v >= 2)
 SELECT min(v) AS range_start, max(v) AS range_end FROM g GROUP BY run""")
 def order_islands(spark, sf):
-    done = load(spark, sf, "orders").filter("o_orderstatus = 'F'")
-    return contiguous_ranges(done, "o_orderkey")
+    """Runs of order keys of one status, over all orders: each status has a range of its own."""
+    status = F.col("o_orderstatus")
+    apart = F.when(status == "F", 0).when(status == "O", 1_000_000_000_000).otherwise(2_000_000_000_000)
+    orders = load(spark, sf, "orders").select((F.col("o_orderkey") + apart).alias("v"))
+    return contiguous_ranges(orders, "v")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)

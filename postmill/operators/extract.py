@@ -26,9 +26,9 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
 
 # --- mail ------------------------------------------------------------------------
 
-def mail_html(messages: DataFrame) -> DataFrame:
-    """Adds `html`: the top-level body, else the first html part with data, else one
-    level deeper; messages without one are dropped. Url-safe base64; bad bytes dropped."""
+def _mail_data() -> Column:
+    """The encoded html of a message: the top-level body, else the first html part with data,
+    else one level deeper; null without one."""
 
     def html_data(parts: Column) -> Column:
         fits = F.filter(
@@ -45,12 +45,27 @@ def mail_html(messages: DataFrame) -> DataFrame:
             lambda p: p["parts"],
         )
     )
-    data = F.coalesce(
+    return F.coalesce(
         F.when(payload["mimeType"] == "text/html", non_empty(payload["body"]["data"])),
         html_data(payload["parts"]),
         html_data(nested),
     )
-    decoded = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64")).cast("string")
+
+
+def _mail_bytes(data: Column) -> Column:
+    return F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64"))
+
+
+def mail_errors(messages: DataFrame, keys: list[str] = ["id"]) -> DataFrame:
+    """keys, error: messages whose html cannot be decoded; `mail_html` has no row for them."""
+    data = messages.select(*keys, _mail_data().alias("data")).filter("data is not null")
+    return data.filter(_mail_bytes(F.col("data")).isNull()).select(*keys, F.lit("not base64").alias("error"))
+
+
+def mail_html(messages: DataFrame) -> DataFrame:
+    """Adds `html`, see `_mail_data`; messages without one are dropped, and those that do not
+    decode (see `mail_errors`). Url-safe base64; bad bytes dropped."""
+    decoded = _mail_bytes(_mail_data()).cast("string")
     html = let(
         decoded,
         lambda d: F.when(F.is_valid_utf8(d), d).otherwise(

@@ -21,11 +21,19 @@ _HREF = r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _ALERT_HREF = r"""(?i)href=["']([^\n]*?)["']"""
 
 
+_PLACE_BITS = 24
+
+
 def arrival(page_seq: Column | str, pos: Column | str) -> Column:
-    """One sortable BIGINT for (page, place on page); up to 2^24 places a page."""
-    page = F.col(page_seq) if isinstance(page_seq, str) else page_seq
-    place = F.col(pos) if isinstance(pos, str) else pos
-    return F.shiftleft(page.cast("bigint"), 24) + place.cast("bigint")
+    """One sortable BIGINT for (page, place on page): up to 2^24 places a page, pages up to 2^39.
+
+    Beyond either, order would silently be lost: that is an error."""
+    page = (F.col(page_seq) if isinstance(page_seq, str) else page_seq).cast("bigint")
+    place = (F.col(pos) if isinstance(pos, str) else pos).cast("bigint")
+    over = (F.abs(page) >= 1 << (63 - _PLACE_BITS)) | (place >= 1 << _PLACE_BITS)
+    return F.when(
+        over, F.raise_error(F.lit("page or place too large to order arrivals by")).cast("bigint")
+    ).otherwise(F.shiftleft(page, _PLACE_BITS) + place)
 
 
 def _decode(c: Column) -> Column:

@@ -15,6 +15,7 @@ from postmill.operators.prefs import preference_block
 from postmill.operators.scoring import (
     Rule, ScoreFn, assemble, bucket_by_rules, digest_notes, pack, score, split_closed, with_prompts,
 )
+from postmill.operators.sequence import dense_index
 from postmill.operators.upsert import apply_scores, matched, new_rows, score_patches, touch
 from postmill.session import settle
 from postmill.sources.tables import append
@@ -47,12 +48,19 @@ def fetch_stage(
     return apply_cells(table, settle(outcome_cells(table, attempts, now, cap, run)), now)
 
 
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with `seq` 0, 1, 2… in the order of what it was. Arrivals are numbered with gaps as
+    large as the pages they come from, and a table that took these over would run out of numbers."""
+    placed = settle(rows.withColumn("__at", F.struct("seq", key)))
+    return dense_index(placed.drop("seq"), "__at", "seq").withColumn("seq", F.col("seq") - 1).drop("__at")
+
+
 def insert_stage(table: DataFrame, rows: DataFrame, preset: str, now: str) -> DataFrame:
-    return append(table, settle(new_rows(table, rows, preset, now)))
+    return append(table, settle(_numbered(new_rows(table, rows, preset, now), "job_url")))
 
 
 def touch_stage(table: DataFrame, arrivals: DataFrame, source: str, now: str) -> DataFrame:
-    return touch(table, settle(matched(table, arrivals)), source, now)
+    return touch(table, settle(_numbered(matched(table, arrivals), "url")), source, now)
 
 
 def score_stage(

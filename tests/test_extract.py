@@ -217,3 +217,11 @@ def test_closed_phrases_late_in_a_text_are_found(spark):
     read = X.parse_pages(pages(spark, page), ["id"])
     closed, _ = split_closed(read.selectExpr("id as seq", "'u' as url", "description as job_description", "location as location_text"))
     assert closed.count() == 1
+
+
+def test_mail_that_does_not_decode_is_told(spark):
+    rows = [("good", ("text/html", [], ("PGI-eDwvYj4=",), [])), ("bad", ("text/html", [], ("@@@",), [])),
+            ("none", ("text/plain", [], ("eA==",), []))]
+    messages = spark.createDataFrame(rows, files.MESSAGE_SCHEMA)
+    assert [tuple(r) for r in X.mail_errors(messages).collect()] == [("bad", "not base64")]
+    assert [r.id for r in X.mail_html(messages).collect()] == ["good"]

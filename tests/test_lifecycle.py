@@ -177,3 +177,16 @@ def test_company_run_is_idempotent(spark):
     # a pruned posting leaves no trace: found again, it is inserted again
     again = R.company_run(run.table, companies, pages, log.limit(0), NOW, scorer)
     assert sorted(r.job_url[-1] for r in again.table.collect()) == list("123456")
+
+
+def test_repeated_runs_do_not_use_numbers_up(spark):
+    from postmill.plans.stages import insert_stage
+
+    t = table(spark, fixed.BOARD_COLUMNS)
+    for run in range(3):
+        arrivals = spark.createDataFrame(
+            [(f"https://x/{run}/{i}", "slug", (1 << 50) + i * (1 << 30)) for i in range(4)],
+            "url string, company_slug string, seq bigint")
+        t = settle(insert_stage(t, arrivals, "board", NOW))
+    assert [r.job_url for r in t.orderBy("seq").collect()] == [f"https://x/{k}/{i}" for k in range(3) for i in range(4)]
+    assert t.agg(F.max("seq")).collect()[0][0] == 11

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from urllib.parse import urljoin
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from postmill.functions import urls
@@ -113,3 +115,12 @@ def test_alert_links_keep_the_first_mention(spark):
     got = L.alert_links(mail, ["id"]).orderBy("pos").collect()
     assert [tuple(r) for r in got] == [
         (1, 0, "https://www.linkedin.com/jobs/view/2"), (1, 1, "https://www.linkedin.com/jobs/view/1")]
+
+
+def test_arrivals_that_cannot_be_ordered_are_an_error(spark):
+    rows = spark.createDataFrame([(5, 1), ((1 << 39) - 1, 2)], "page bigint, pos int")
+    got = [r.a for r in rows.select(L.arrival("page", "pos").alias("a")).orderBy("page").collect()]
+    assert got == [(5 << 24) + 1, (((1 << 39) - 1) << 24) + 2]
+    for page, pos in (((1 << 40) + 5, 0), (0, 1 << 24)):
+        with pytest.raises(Exception, match="too large"):
+            spark.createDataFrame([(page, pos)], "page bigint, pos int").select(L.arrival("page", "pos")).collect()
