@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def settled_within(spark: SparkSession) -> Iterator[None]:
+    """Tables that are settled inside are deleted at the end: commit what reads them before it.
+
+        with settled_within(spark):
+            table.commit(board_run(table.read(), …).table)
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to a table of its own in the shared folder, and go on from there.
 
     Cuts the lineage, so a lost executor repeats nothing upstream, and later steps
     read only the columns they need and know the size of what they join. The tables
-    stay until the folder is cleaned."""
+    stay until the folder is cleaned, or the `settled_within` around them ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -191,3 +191,15 @@ def test_delete_rows_and_union(spark):
     assert [r.job_url for r in left.collect()] == ["b"]
     both = U.union_sources(t.select("seq", "job_url"), t.select("seq"))
     assert sorted((r.source_rank, r.seq) for r in both.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_settled_tables_go_with_their_scope(spark):
+    from postmill.session import settle, settled_within
+
+    before = settle(spark.range(3))
+    with settled_within(spark):
+        inside = settle(spark.range(5))
+        assert inside.count() == 5
+    assert before.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(*inside.inputFiles()).count()
