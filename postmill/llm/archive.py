@@ -102,13 +102,13 @@ def write(pages: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z") ->
     chosen = settle(records.groupBy("digest").agg(
         F.min("page_id").alias("page_id"), F.first("size").alias("size")
     ))
+    key = F.concat_ws("/", F.coalesce(F.col("page_id").cast("bigint").cast("string"), F.lit("-")), "digest").alias("key")
+    # rows that repeat a page_id and its html are one before they are moved; by the same key, so
+    # that the join that picks a page for each payload moves no html again
     own = pages.select(
-        F.col("page_id").cast("bigint").alias("page_id"), _payload().alias("payload"),
-        F.sha2(F.encode(_payload(), "utf-8"), 256).alias("own"),
-    )
-    match = (own["page_id"].eqNullSafe(chosen["page_id"])) & (own["own"] == chosen["digest"])
-    payloads = own.join(chosen.select("page_id", "digest", "size"), match).select("digest", "size", "payload")
-    payloads = payloads.dropDuplicates(["digest"])  # rows that repeat a page_id and its html
+        "page_id", F.sha2(F.encode(_payload(), "utf-8"), 256).alias("digest"), _payload().alias("payload")
+    ).select(key, "payload").dropDuplicates(["key"])
+    payloads = own.join(chosen.select(key, "digest", "size"), "key").select("digest", "size", "payload")
     block = _block(
         ("WARC-Type", "resource"),
         ("WARC-Record-ID", F.concat(F.lit("<urn:sha256:"), F.col("digest"), F.lit(">"))),
