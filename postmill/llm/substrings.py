@@ -22,7 +22,7 @@ from postmill.llm.common import by_slice, in_slices, settle, words
 WINDOW = 20
 ANCHOR = 8
 #: Distinct words whose hashes a worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
