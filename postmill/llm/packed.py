@@ -28,7 +28,7 @@ PERCENTILE = 90
 _HEAD = struct.Struct("<4sQI")  # mark, ids, blocks
 _BLOCK = struct.Struct("<IBH")  # minimum, width, exceptions
 _MARK = b"PFR1"
-_AT_ONCE = 16  # blocks whose bits are spread out at a time: so many fit a core's cache
+_AT_ONCE = 64  # blocks that are worked on at a time
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -36,15 +36,32 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def _packed(low: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values, each row packed at `width` bits."""
-    spread = np.unpackbits(low.astype(">u4").view(np.uint8).reshape(*low.shape, 4), axis=2)
-    return np.packbits(spread[:, :, 32 - width:].reshape(len(low), -1), axis=1)
+    """Rows of values, each row packed at `width` bits, highest bit first.
+
+    Eight values fill `width` bytes: each of the eight is shifted to its place in these, for all
+    groups of eight at a time."""
+    out = np.zeros((len(low), low.shape[1] // 8, width), np.uint8)
+    groups = low.reshape(len(low), -1, 8).astype(np.uint64)
+    for k in range(8):
+        first, last = k * width // 8, (k * width + width - 1) // 8
+        moved = groups[:, :, k] << np.uint64((last + 1) * 8 - (k + 1) * width)
+        for byte in range(last, first - 1, -1):
+            out[:, :, byte] |= moved.astype(np.uint8)
+            moved >>= np.uint64(8)
+    return out.reshape(len(low), -1)
 
 
 def _unpacked(rows: np.ndarray, width: int, n: int) -> np.ndarray:
-    spread = np.zeros((len(rows), n, 32), np.uint8)
-    spread[:, :, 32 - width:] = np.unpackbits(rows, axis=1)[:, : n * width].reshape(-1, n, width)
-    return np.packbits(spread, axis=2).view(">u4").reshape(len(rows), n)
+    """Rows of n values: each is cut out of the few bytes that hold its bits."""
+    at = np.arange(n) * width
+    size = (width + 14) // 8  # bytes that a value can reach into
+    first = at // 8
+    padded = np.pad(rows, ((0, 0), (0, size)))
+    word = np.zeros((len(rows), n), np.uint64)
+    for k in range(size):
+        word = word << np.uint64(8) | padded[:, first + k]
+    word >>= (8 * size - width - at % 8).astype(np.uint64)
+    return (word & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:

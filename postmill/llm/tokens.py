@@ -136,6 +136,8 @@ class Codec:
         return self._piece(piece, " ")
 
     def _piece(self, piece: str, before: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self.parts[before + piece]
         m = _WORD.fullmatch(piece)
         if not m:
             made = self.tokenizer.encode_batch_fast([before + piece], add_special_tokens=False)
