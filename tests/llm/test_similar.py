@@ -1,0 +1,83 @@
+"""Groups of similar texts, as the pipeline makes them, against all pairs."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+from postmill.llm import simhash
+from tests.llm import cases
+
+
+def plain_shingles(text, n=5):
+    w = [x.lower() for x in (text or "").encode().split()]
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def plain_components(data):
+    sets = [plain_shingles(t) for _, t, *_ in data]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):  # two without words are alike
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def planted():
+    """Texts of which copies have a few words changed, chains of such copies, short ones, and a
+    passage that all share."""
+    r = random.Random(11)
+    common = [f"c{k}" for k in range(40)]
+    data = []
+    for k in range(25):
+        base = common + [f"w{r.randrange(5000)}" for _ in range(r.choice([5, 40, 260]))]
+        data.append(base)
+        for changes in (1, 2, 4, 6, 9):
+            base = list(base)
+            for _ in range(changes):
+                base[r.randrange(len(base))] = f"n{r.random()}"
+            data.append(base)
+    data += [[f"s{k}", "two", "three", "four"] for k in range(3)] + [common, common[:-1]]
+    r.shuffle(data)
+    return [(i, " ".join(w), "en", "src0", 0) for i, w in enumerate(data)]
+
+
+def check(spark, data):
+    groups = plain_components(data)
+    least = {}
+    for (i, *_), g in zip(data, groups, strict=True):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    made = simhash.similar(cases.documents(spark, data))
+    assert Counter((r["doc_id"], r["component_id"]) for r in cases.rows(made)) == Counter(
+        (d[0], least[g]) for d, g in zip(data, groups, strict=True)
+    )
+    return least
+
+
+def test_planted_near_copies(spark):
+    data = planted()
+    least = check(spark, data)
+    assert len(least) < len(data) - 60
+    docs = cases.documents(spark, data)
+    kept = corpus_pipeline.one_of_each(spark, docs, cases.SF)
+    assert Counter(r["doc_id"] for r in cases.rows(kept)) == Counter(least.values())
+
+
+def test_awkward_rows_and_an_empty_table(spark):
+    check(spark, cases.awkward())
+    empty = cases.documents(spark, [])
+    assert simhash.similar(empty).collect() == [] and simhash.first_of_similar(empty).collect() == []
+
+
+def test_whole_table_in_another_order_of_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 0)
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text").collect()
+    check(spark, [(r.doc_id, r.text, "en", "s", 0) for r in docs])
