@@ -4,13 +4,17 @@ A naive Bayes classifier, learned from a labelled table, gives each document a p
 domain. Its tokens count towards each domain by these. Then rates are fitted, one a document and not
 negative, by projected-gradient least squares: the expected tokens of each domain shall match its
 target, and rates stay as near to 1 as that allows. A step needs, of all documents, only the expected
-totals (a number a domain), and changes each rate by its own posteriors."""
+totals (a number a domain), and changes each rate by its own posteriors. Where many steps do not meet
+the targets (very rare domains), Newton's steps go on from the same problem's dual, which has a number
+a domain; what then remains cannot be met, and is reported by a warning."""
 
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ RIDGE = 1e-5
 TOLERANCE = 1e-4
 MOST_STEPS = 200
 STEPS_AT_ONCE = 10
+#: Steps that the dual's minimum is given for each weight of the pull; they are few (some ten).
+NEWTON_STEPS = 100
 
 
 def _words(text: str = "text") -> Column:
@@ -117,7 +123,9 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total
     n_tokens * p * rate. `take`: how many copies of each row the rate stands for, a whole number,
     at random by a hash of doc_id and text, so that it is the same each time and right on average.
     Domains with no weight are left out; without any the result is an error. A table whose tokens
-    are none, or an empty one, has rate 1 throughout."""
+    are none, or an empty one, has rate 1 throughout. Targets that no rates meet (a domain that no
+    document belongs to, say) are met as nearly as least squares can, with a warning that says by
+    how much they are missed."""
     chosen = {d: w for d, w in targets.items() if w > 0}
     if not chosen:
         raise ValueError("no domain has a weight above zero")
@@ -145,12 +153,13 @@ def _descended(rows: DataFrame, n: range, aim: list[float], tokens: float) -> Da
     bend = [[tokens * cross[a * len(n) + b] / (aim[a] * aim[b]) for b in n] for a in n]
     pace = 1 / (_largest_eigenvalue(bend) + RIDGE)
     state, rate, pending = rows.withColumn("rate", F.lit(1.0)), F.col("rate"), 0
-    before = [math.inf for _ in n]
+    before, met = [math.inf for _ in n], False
     for _ in range(MOST_STEPS):
         # one aggregate over a narrow table: a number a domain comes back, whatever the corpus
         errors = [got / a - 1 for got, a in zip(_totals(state, n, rate), aim, strict=True)]
         moved = max(abs(e - b) for e, b in zip(errors, before, strict=True))
-        if max(map(abs, errors)) < TOLERANCE or moved < TOLERANCE / 100:
+        met = max(map(abs, errors)) < TOLERANCE
+        if met or moved < TOLERANCE / 100:
             break
         before = errors
         pull = _sum([F.col(f"p{k}") * (tokens * errors[k] / aim[k]) for k in n])
@@ -158,9 +167,56 @@ def _descended(rows: DataFrame, n: range, aim: list[float], tokens: float) -> Da
         pending += 1
         if pending == STEPS_AT_ONCE:
             state, rate, pending = settle(state.withColumn("rate", rate)), F.col("rate"), 0
+    if not met:
+        return _by_newton(rows, n, aim, tokens)
     return settle(state.withColumn("rate", rate)) if pending else state
 
 
+def _by_newton(rows: DataFrame, n: range, aim: list[float], tokens: float) -> DataFrame:
+    """The minimum that `_descended` goes to, by its dual: the rates there are
+    max(0, 1 + sum of dual * posterior), and the dual, a number a domain, is where a convex function
+    is least. A step is one aggregate. The pull towards 1 is lightened while it keeps targets from
+    being met; a target that is missed even so cannot be met, and is warned of."""
+    share, goal = F.col("n_tokens") * F.col("copies") / tokens, np.array(aim) / tokens
+
+    def rate(dual: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) + _sum([F.col(f"p{k}") * float(dual[k]) for k in n]))
+
+    def measured(dual: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        r = rate(dual)
+        live = share * (r > 0).cast("double")
+        got = list(rows.agg(
+            F.sum(share * r * r), *(F.sum(share * r * F.col(f"p{k}")) for k in n),
+            *(F.sum(live * F.col(f"p{a}") * F.col(f"p{b}")) for a in n for b in n),
+        ).first())
+        totals, bend = np.array(got[1 : len(n) + 1]), np.array(got[len(n) + 1 :]).reshape(len(n), -1)
+        pull = ridge * goal**2
+        value = got[0] / 2 - goal @ dual + pull @ dual**2 / 2
+        return value, totals - goal + pull * dual, bend + np.diag(pull), totals / goal - 1
+
+    dual = np.zeros(len(n))
+    for ridge in (RIDGE, RIDGE / 1e2, RIDGE / 1e4):
+        value, slope, bend, errors = measured(dual, ridge)
+        for _ in range(NEWTON_STEPS):
+            if np.abs(errors).max() < TOLERANCE or np.abs(slope / goal).max() < TOLERANCE / 100:
+                break
+            step, length = np.linalg.solve(bend, -slope), 1.0
+            while (new := measured(dual + length * step, ridge))[0] > value + 1e-4 * length * (slope @ step):
+                length /= 2
+                if length < 1e-6:  # no lower value within the precision of numbers
+                    break
+            if length < 1e-6:
+                break
+            dual = dual + length * step
+            value, slope, bend, errors = new
+        if np.abs(errors).max() < TOLERANCE:
+            break
+    else:
+        missed = ", ".join(f"{e:+.2%}" for e in errors)
+        warnings.warn(f"mixing: targets cannot be met; totals differ from them by {missed}", stacklevel=2)
+    return settle(rows.withColumn("rate", rate(dual)))
+
+
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
     """The rows of docs, each as often as its `take` says; columns as they are."""
     chosen = rates(docs, labelled, targets, total).select(

@@ -153,6 +153,23 @@ def test_rates_meet_the_targets_and_agree_with_plain_least_squares(spark):
     assert abs(np.array([r["take"] for r in rows]).mean() - rate.mean()) < 0.05
 
 
+def test_very_rare_domains_meet_their_targets(spark):
+    sizes = {"en": 800, "de": 100, "fr": 99, "es": 1}
+    names = [d for d, k in sizes.items() for _ in range(k)]
+    data = [(i, " ".join(f"{d}{(i + j) % 50}" for j in range(40)), d, "s", 0) for i, d in enumerate(names)]
+    docs = cases.documents(spark, data)
+    rows = cases.rows(mixing.rates(docs, docs.selectExpr("doc_id", "lang as domain"), TARGETS))
+    total = sum(r["n_tokens"] for r in rows)
+    for d, w in TARGETS.items():
+        assert abs(sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in rows) / total / w - 1) < 1e-3
+
+
+def test_targets_that_cannot_be_met_are_warned_of(spark):
+    docs = cases.documents(spark, [(i, "en one two", "en", "s", 0) for i in range(20)])
+    with pytest.warns(UserWarning, match="cannot be met"):
+        mixing.rates(docs, docs.selectExpr("doc_id", "lang as domain"), {"en": 1.0, "de": 3.0}).collect()
+
+
 def test_a_rate_stops_at_zero():
     n, p = np.array([10.0, 10.0, 10.0]), np.array([[1, 0], [0.5, 0.5], [0, 1]])
     assert plain_rates(n, p, np.array([29.0, 1.0]))[2] == 0
