@@ -295,7 +295,7 @@ def near_duplicates(
 def first_of_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of `docs` that stand for their group of near-duplicates: its smallest doc_id.
 
-    Rows equal in doc_id and text all stay or go. Several texts of that doc_id in one group: the
+    Of rows equal in doc_id and text one stays. Several texts of that doc_id in one group: the
     smallest text's hash. A group in which no row has a doc_id is represented by its text of the
     smallest hash."""
     return _firsts(docs, lambda d: near_duplicates(d, shingle, max_bits, with_text_hash=True))
@@ -312,10 +312,19 @@ def _firsts(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataF
     firsts = settle(marks.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("doc_id", "th")).alias("first")
     ).select("first.*"))
-    chosen = keyed.join(
-        firsts, keyed["doc_id"].eqNullSafe(firsts["doc_id"]) & keyed["__th"].eqNullSafe(firsts["th"]), "left_semi"
-    )
-    return chosen.drop("__th")
+    counts = marks.groupBy("doc_id", "th").agg(F.count("*").alias("copies")).filter("copies > 1")
+    repeated = settle(counts.select(F.col("doc_id").alias("id"), F.col("th").alias("h")))
+
+    def among(few: DataFrame, kind: str) -> DataFrame:
+        doc, th = few.columns
+        return keyed.join(few, keyed["doc_id"].eqNullSafe(few[doc]) & (keyed["__th"] == few[th]), kind)
+
+    same = firsts["doc_id"].eqNullSafe(repeated["id"]) & (firsts["th"] == repeated["h"])
+    if repeated.isEmpty():  # the usual case moves no text
+        return among(firsts, "left_semi").drop("__th")
+    single = among(settle(firsts.join(repeated, same, "left_anti")), "left_semi")
+    many = among(settle(firsts.join(repeated, same, "left_semi")), "left_semi")
+    return single.unionByName(many.dropDuplicates(["doc_id", "__th"])).drop("__th")
 
 
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from postmill.llm import simhash
 from tests.llm import cases
@@ -81,3 +83,13 @@ def test_whole_table_in_another_order_of_shingles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COMMON", 0)
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text").collect()
     check(spark, [(r.doc_id, r.text, "en", "s", 0) for r in docs])
+
+
+@pytest.mark.parametrize("firsts", [simhash.first_of_groups, simhash.first_of_similar])
+def test_of_repeated_rows_one_stays(spark, firsts):
+    texts = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    data = [(1, texts[0], "en", "s", 0)] * 3 + [(None, texts[1], "en", "s", 0)] * 4 + [(2, texts[2], "en", "s", 0)]
+    kept = cases.rows(firsts(cases.documents(spark, data)))
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(
+        [(1, texts[0]), (None, texts[1]), (2, texts[2])]
+    )
