@@ -224,7 +224,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     spans = later.unionByName(
         windows.select("place.doc_id", "place.th", "place.start", F.lit(1).cast("bigint").alias("n"))
     )
-    return settle(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    return settle(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
 
 
 def _removed(count: int, spans: list[dict] | None, window: int) -> np.ndarray:

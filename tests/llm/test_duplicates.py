@@ -179,3 +179,12 @@ def test_removal_agrees_with_sql(spark):
     assert cases.spark_rows(QUERIES["op8_seed_and_extend"](spark, cases.SF)) == cases.sql_rows(
         ORACLES["op8_seed_and_extend"], documents=table
     )
+
+
+def test_spans_of_repeated_rows_are_listed_once(spark):
+    passage = " ".join(f"w{k}" for k in range(30))
+    data = [(1, passage, "en", "s", 0)] + [(2, f"x {passage}", "en", "s", 0), (None, passage, "en", "s", 0)] * 20
+    made = cases.rows(substrings.repeats(cases.documents(spark, data)))
+    assert len(made) == 2
+    for r in made:
+        assert len(r["spans"]) == len(set(map(tuple, r["spans"])))
