@@ -102,16 +102,32 @@ def choices(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
+def operands(postfix: list[str]) -> set[str]:
+    """The licences an expression names, whether a choice needs them or not.
+
+    An exception is part of the licence it is added to; brackets after `with` name no exception, so
+    licences in them count by themselves."""
+    stack: list[list[str]] = []
+    for token in postfix:
+        if token not in _PRIORITY:
+            stack.append([token])
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with" and len(right) == 1:
+            stack.append([f"{x} with {right[0]}" for x in left])
+        elif len(left) < len(right):  # the shorter list moves
+            right.extend(left)
+            stack.append(right)
+        else:
+            left.extend(right)
+            stack.append(left)
+    return set(stack[0])
+
+
 @lru_cache(maxsize=4096)
 def _tag_labels(expression: str) -> tuple[str, ...]:
-    if len(_TOKEN.findall(expression)) > MOST_TOKENS:
-        return tuple(sorted({t.lower() for t in _TOKEN.findall(expression)} - _PRIORITY.keys() - {"(", ")"}))
     postfix = in_postfix(expression)
-    return tuple(sorted(set().union(*choices(postfix)))) if postfix else ()
-
-
-#: Beyond so many tokens an expression's licences are listed without working out its choices.
-MOST_TOKENS = 64
+    return tuple(sorted(operands(postfix))) if postfix else ()
 
 
 @lru_cache(maxsize=1)
@@ -166,7 +182,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one: no words, no labels (empty strings), score 0. A tag whose
     expression is not well formed adds no label. Labels of tags are lower case; an expression's
-    labels are the licences of its choices. Only doc_id and text are read."""
+    labels are all licences it names, at any length. Only doc_id and text are read."""
 
     def job(piece: pa.RecordBatch) -> dict:
         made = [scan(t) for t in piece.column("text").to_pylist()]

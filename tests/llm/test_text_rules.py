@@ -150,6 +150,17 @@ def test_tags_and_notices():
     assert len(licences.scan(deep)["labels"].split(",")) == 120
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("MIT OR (MIT AND Apache-2.0)", "apache-2.0,mit"),
+    ("(GPL-2.0 OR MIT) AND MIT", "gpl-2.0,mit"),
+    ("GPL-2.0 WITH Classpath AND " + " AND ".join(["MIT"] * 40), "gpl-2.0 with classpath,mit"),
+    (" AND ".join(["MIT"] * 40) + " OR", ""),
+    (" OR ".join(f"a{i:05}" for i in range(20_000)), ",".join(f"a{i:05}" for i in range(20_000))),
+])
+def test_labels_are_the_licences_named_at_any_length(text, labels):
+    assert licences.scan(f"SPDX-License-Identifier: {text}\n")["labels"] == labels
+
+
 def test_whole_table(spark):
     data = [tuple(r) for r in spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text").collect()]
     check_base(cases.rows(QUERIES["op10_licence_scan"](spark, cases.SF)), data)
