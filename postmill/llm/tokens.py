@@ -178,29 +178,46 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def encode(
     docs: DataFrame, path: str, pattern: str | None = None, text: str = "text",
-    keep: list[str] | None = None, offsets: bool = True,
+    keep: list[str] | None = None, offsets: bool = True, decoded: bool = False,
 ) -> DataFrame:
     """Columns `keep` (default: all but those named as below), then `ids`, `starts` and `ends`.
 
     starts and ends are characters of the text; they are left out without `offsets`. Null and empty texts have no ids. Rows are not moved or dropped, repeated ones are encoded
-    each. An input column named ids, starts or ends gives way to the result."""
+    each. An input column named ids, starts or ends gives way to the result.
+
+    `decoded`: the ids are decoded again by the same codec; bytes other than the text's are an error,
+    and column `decoded_sha256` is their digest."""
     made = ["ids", "starts", "ends"][: 3 if offsets else 1]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    digest = ["decoded_sha256"] if decoded else []
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made + digest]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} array<int>" for c in made)])
+    schema = ", ".join([
+        *(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} array<int>" for c in made), *(f"{c} string" for c in digest),
+    ])
 
     def job(piece: pa.RecordBatch) -> dict:
         held = codec(path, pattern)
-        ids = [i.tolist() for i in held.encode(texts_of(piece.column("__text")))]
+        texts = texts_of(piece.column("__text"))
+        ids = [i.tolist() for i in held.encode(texts)]
         out = {c: piece.column(c) for c in keep} | {"ids": ids}
         if offsets:
             spans = [held.spans(i) for i in ids]
             out |= {"starts": [s for s, _ in spans], "ends": [e for _, e in spans]}
+        if decoded:
+            out["decoded_sha256"] = [_read_back(held, i, t) for i, t in zip(ids, texts, strict=True)]
         return out
 
     return by_slice(docs, [*(f"`{c}`" for c in keep), F.col(text).alias("__text")], schema, job)
 
 
+def _read_back(held: Codec, ids: list[int], text: str) -> str:
+    """Digest of the bytes of the ids, which must be the text's."""
+    made = held.decode(ids)
+    if made != text.encode():
+        raise ValueError(f"{len(ids)} ids decode to other bytes than those of their text")
+    return hashlib.sha256(made).hexdigest()
+
+
 def decode(rows: DataFrame, path: str, pattern: str | None = None, ids: str = "ids") -> DataFrame:
     """All columns and `bytes`, `decoded`: the tokens' bytes, and these as text.
 

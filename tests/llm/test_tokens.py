@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 import zlib
 
+import corpus_pipeline
 from postmill.llm import packed, tokens
 from tests.llm import cases
 
@@ -82,6 +83,17 @@ def test_digests(spark, reference):
     assert tokens.digests(cases.documents(spark, []), MULTI, public.PATTERN).collect() == []
 
 
+def test_the_pipeline_reads_its_ids_back(spark):
+    made = corpus_pipeline.token_ids(spark, cases.documents(spark), cases.SF)
+    assert made.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in cases.rows(made)) == Counter(
+        (i, sha256((t or "").encode()).hexdigest()) for i, t, *_ in cases.awkward()
+    )
+    held = tokens.codec(MULTI, public.PATTERN)
+    with pytest.raises(ValueError):
+        tokens._read_back(held, held.encode(["one"])[0].tolist(), "two")
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
 def test_packed_blocks_round_trip(n):
     rng = np.random.default_rng(n)
