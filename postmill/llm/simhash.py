@@ -345,7 +345,7 @@ def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th, cls (a hash of the text's set of shingles), fp, keys: the shingles of which two
+    """doc_id, th, cls (a hash of the text's set of shingles), n (of these), fp, keys: the shingles of which two
     texts with a similarity of SIMILAR or more share one.
 
     In any one order of all shingles, the first shared one of such texts stands among the first
@@ -354,22 +354,23 @@ def _classes(docs: DataFrame, shingle: int) -> DataFrame:
     over, of = SIMILAR
 
     def job(piece: pa.RecordBatch) -> dict:
-        cls, fp, keys = [], [], []
+        cls, size, fp, keys = [], [], [], []
         for text in piece.column("text").to_pylist():
             mine = np.unique(shingles(text, shingle)).astype(np.int64)
             n = len(mine)
             cls.append(_class(mine))
+            size.append(n)
             fp.append(_majority(mine.astype(">i8")))  # of the set: repeats do not weigh
             order = np.lexsort((mine, np.isin(mine, common)))
             keys.append(mine[order[: n + 1 + -(over * n) // of]].tolist() if n else [])
         return {
-            "doc_id": piece.column("doc_id"), "th": piece.column("th"), "cls": cls,
+            "doc_id": piece.column("doc_id"), "th": piece.column("th"), "cls": cls, "n": size,
             "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "keys": keys,
         }
 
     return by_slice(
         docs, ["doc_id", F.xxhash64("text").alias("th"), "text"],
-        "doc_id bigint, th bigint, cls bigint, fp bigint, keys array<bigint>", job,
+        "doc_id bigint, th bigint, cls bigint, n bigint, fp bigint, keys array<bigint>", job,
     )
 
 
@@ -380,6 +381,12 @@ def _class(mine: np.ndarray) -> int:
 def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets of shingles have a similarity of SIMILAR or more."""
     over, of = SIMILAR
+    # sets of sizes too far apart cannot be similar: of these no shingles are moved
+    sizes = settle(marks.groupBy("cls").agg(F.min("n").alias("n")))
+    pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b"
+    )
+    pairs = settle(pairs.filter(F.least("na", "nb") * of >= F.greatest("na", "nb") * over).select("a", "b"))
     wanted = settle(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
     # one row of each class, so that no key is as frequent as the copies of a text
     one = marks.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"))
