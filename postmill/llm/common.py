@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from postmill.session import settle as write_and_read
 
+#: Bytes of a slice of an Arrow batch: an operator may need some forty times that in a worker.
+SLICE_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -41,11 +43,21 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that what Python makes of them stays small."""
+def in_slices(
+    batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most so many rows and bytes, in order, so that what Python makes
+    of them stays small; a row that is larger by itself is a slice of its own."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            waiting = [batch.slice(at, rows)]
+            while waiting:
+                piece = waiting.pop()
+                if piece.num_rows > 1 and piece.nbytes > size:
+                    half = piece.num_rows // 2
+                    waiting += [piece.slice(half), piece.slice(0, half)]
+                else:
+                    yield piece
 
 
 def by_slice(
@@ -86,3 +98,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bounded_ids(table: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` distinct keys, the same ones each time: those of the smallest hashes."""
     return table.select(key).dropna().distinct().orderBy(F.xxhash64(key), key).limit(most)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that starts like this and is none of the table's."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

@@ -1,4 +1,4 @@
-"""The ten operators bound to the test tables with production parameters, and SQL where it can say it."""
+"""The operators bound to the test tables with production parameters, and SQL where it can say it."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import (
-    archive, licences, mixing, packed, quality, repetition, simhash, substrings, tokens, vectors,
+    archive, licences, mixing, packed, periods, quality, repetition, simhash, substrings, tokens, vectors,
 )
 from postmill.llm.common import load
 from postmill.session import shared_dir
@@ -161,3 +161,27 @@ def op9_simhash_trie(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scanned(load(spark, sf, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where h = crc32 of the decimal doc_id is divisible by ten, the words from the
+    (g % n)-th on repeat their first 1 + (n - a) / (3 + g % 8), with g = h / 10; other texts (and those
+    without a doc_id) as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = some.select("doc_id", "text", "g", F.when(F.col("g").isNotNull(), split).alias("w"))
+    some = some.withColumn("n", F.when(F.size("w") > 0, F.size("w")))
+    some = some.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    some = some.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)"))
+    planted = F.expr("""array_join(concat(slice(w, 1, a),
+        slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)), ' ')""")
+    return some.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(planted).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periods.collapsed(with_planted_runs(load(spark, sf, "documents"))).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -98,7 +98,11 @@ def _pieces(text: str) -> list[str]:
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary; lives in a worker."""
+    """Encodes and decodes with one vocabulary; lives in a worker.
+
+    Where a text holds the string of an added token of the vocabulary file (an end mark, say), it gets
+    that token's id, as the library's `encode(text, add_special_tokens=False)` gives it; a table of
+    ranks has no such tokens."""
 
     def __init__(self, path: str, pattern: str | None):
         from tokenizers import Tokenizer
@@ -106,11 +110,11 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".json"):
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
         else:
             self.tokenizer = _from_ranks(path, pattern)
         back = {c: b for b, c in enumerate(byte_chars())}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(map(back.__getitem__, token)) if set(token) <= back.keys() else (
@@ -125,11 +129,14 @@ class Codec:
         for cache, most in ((self.pieces, CACHED_PIECES), (self.parts, CACHED_PARTS)):
             if len(cache) > most:
                 cache.clear()
-        piece = self.pieces.__getitem__
-        parted = map(_pieces, texts)
-        return [
-            np.frombuffer(self._piece(p[0], "") + b"".join(map(piece, p[1:])), "<u4") for p in parted
-        ]
+        return [np.frombuffer(self._text(t), "<u4") for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        for token in self.added:  # such a token is cut out of the text before anything else
+            if token in text:
+                return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        first, *rest = _pieces(text)
+        return self._piece(first, "") + b"".join(map(self.pieces.__getitem__, rest))
 
     def _spaced(self, piece: str) -> bytes:
         """Ids of a piece with a space before it."""

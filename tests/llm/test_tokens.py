@@ -11,6 +11,7 @@ import public_tokenizers as public
 import pytest
 import tiktoken
 import zlib
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from postmill.llm import packed, tokens
@@ -39,10 +40,14 @@ def test_plain_vocabulary_is_that_of_the_library():
     held = tokens.codec(PLAIN)
     r = random.Random(6)
     texts = ["".join(r.choice("a b'\n\t \xa0é1,<|endoftext|>") for _ in range(60)) for _ in range(2000)]
-    texts.append("a <|endoftext|> b")
-    assert [i.tolist() for i in held.encode(texts)] == [
-        held.tokenizer.encode(t, add_special_tokens=False).ids for t in texts
-    ]
+    end = "<|endoftext|>"
+    texts += [f"a {end} b", f"a{end}b", end, f" {end} ", f"{end}{end} x  {end}\n y", "<|endoftext |>"]
+    texts += ["".join(r.choice(["a", " b", " ", "\n", end, f" {end}", ",é"]) for _ in range(20)) for _ in range(500)]
+    plain = Tokenizer.from_file(PLAIN)
+    made = [i.tolist() for i in held.encode(texts)]
+    assert made == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [held.decode(i).decode() for i in made] == texts
+    assert held.encode([f"a{end}b"])[0].tolist() == [64, 50256, 65]
 
 
 def test_rows_round_trip_with_awkward_rows(spark, reference):
