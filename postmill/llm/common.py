@@ -36,6 +36,16 @@ def settle(df: DataFrame) -> DataFrame:
         return write_and_read(df)
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/settled/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of other characters than space and U+0009 to U+000D, in UTF-8; none for null.
 

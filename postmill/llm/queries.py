@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import (
-    archive, licences, mixing, packed, periods, quality, repetition, simhash, substrings, tokens, vectors,
+    archive, cells, licences, mixing, packed, periods, quality, repetition, simhash, substrings, tokens,
+    vectors, windows,
 )
 from postmill.llm.common import load
 from postmill.session import shared_dir
@@ -185,3 +186,43 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
         F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ... of n rounds; c0 and the vectors v are given."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT id, vec_id, v, m.k AS k, m.d AS d FROM (
+    SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, k := k)) AS m FROM (
+      SELECT id, vec_id, v, k, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, c)]) AS d
+      FROM v, c{r}) GROUP BY id))""")
+        if r < n:
+            steps.append(f"""m{r} AS (SELECT k, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY p) AS c FROM (
+    SELECT k, p, sum(x) AS s, count(*) AS n FROM (
+      SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{r}) GROUP BY k, p) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return ",\n".join(steps)
+
+
+@query(f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id,
+    [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c
+  FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 8)),
+{_rounds(10)},
+done AS (SELECT vec_id, k, d, c FROM (SELECT vec_id, d, k FROM a10) JOIN c10 USING (k))
+SELECT vec_id, CAST(k AS INT) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM done""")
+def op12_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.clusters(load(spark, sf, "embeddings"))
+
+
+PACKED_END_ID = 1
+
+
+@query()
+def op13_window_packing(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return windows.packed(load(spark, sf, "documents"), path, PACKED_END_ID).drop("ids")
