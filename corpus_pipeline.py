@@ -21,28 +21,32 @@ REJECTED_BELOW = 0.4
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: rejected documents go."""
+    """Quality classifier: rejected documents go. Null and empty texts have a score like any other;
+    repeated rows are judged alike; an empty table stays one."""
     ship(spark)
     return quality.accepted(docs, quality.fit(docs, load(spark, sf_dir, "labels")), REJECTED_BELOW)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of texts that share four fifths of their five-word shingles, or are linked
-    by such texts, the document with the smallest doc_id stays.
+    """SimHash near-dedup: of texts whose fingerprints (three words) are linked by two bits or fewer, the
+    document with the smallest doc_id stays.
 
-    Of rows without a doc_id, those stay whose group has no id at all, one text of each group."""
+    Of rows without a doc_id, those stay whose group has no id at all, one text of each group; rows
+    equal in doc_id and text are one. Texts without words (null, empty) are one group."""
     ship(spark)
-    return simhash.first_of_similar(docs)
+    return simhash.first_of_groups(docs)
 
 
 def own_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: passages that stand in an earlier place too are cut out of the texts."""
+    """Substring dedup: passages that stand in an earlier place too are cut out of the texts. A null or
+    wordless text has none; rows equal in doc_id and text count as one document; no row goes."""
     ship(spark)
     return substrings.without_repeats(docs)
 
 
 def balanced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: documents are taken as often as the rates for the target weights say."""
+    """Mixing: documents are taken as often as the rates for the target weights say. Texts without
+    words have the rate of the prior; rows of one doc_id are separate documents."""
     ship(spark)
     return mixing.mixed(docs, labelled_languages(spark, sf_dir, docs), TARGETS)
 
