@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bounded_ids, settle
+from postmill.llm.common import bounded_ids, free_name, settle
 
 #: Labelled documents that the classifier learns from, and buckets that words are hashed to.
 SAMPLE_ROWS = 4000
@@ -218,12 +218,11 @@ def _by_newton(rows: DataFrame, n: range, aim: list[float], tokens: float) -> Da
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
-    """The rows of docs, each as often as its `take` says; columns as they are."""
-    chosen = rates(docs, labelled, targets, total).select(
-        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("take").alias("__take")
-    )
-    chosen = settle(chosen.filter("__take > 0"))
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    both = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen["__id"]) & (F.col("__h") == F.col("__th")))
-    often = both.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__take"))))
-    return often.select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs, each as often as its `take` says; columns as they are, whatever their names."""
+    chosen = rates(docs.select("doc_id", "text"), labelled, targets, total).filter("take > 0")
+    chosen = settle(chosen.select("doc_id", "th", "take"))
+    own = free_name("h", [*docs.columns, *chosen.columns])
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    both = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen["doc_id"]) & (hashed[own] == chosen["th"]))
+    often = F.explode(F.sequence(F.lit(1).cast("bigint"), chosen["take"])).alias(own)
+    return both.select(*(docs[f"`{c}`"] for c in docs.columns), often).drop(own)

@@ -4,22 +4,19 @@ Two of three parts of linked fingerprints (2 bits apart at most) may differ, so
 For each part the fingerprints are turned until it leads; those that share it are one trie, whose
 nodes are compared with each other: a pair of nodes has the bits in which their prefixes differ,
 and is dropped as soon as these are more than allowed. A part that very many fingerprints share is
-first split, as pairs of deeper nodes, into tasks of bounded size.
-
-Texts that share four fifths of their shingles are some ten bits apart, too many for equal parts.
-`similar` finds these in groups that share a rare shingle, and compares the shingles themselves."""
+first split, as pairs of deeper nodes, into tasks of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import by_slice, settle, words
+from postmill.llm.common import by_slice, free_name, settle, words
 from postmill.llm.graph import components
 
 BITS = 64
@@ -29,16 +26,6 @@ FRONTIER = 1 << 18
 NODE_ROWS = 1024
 #: Bits by which a large pair of nodes is split in one go.
 SPLIT_BITS = 4
-#: `similar`: words of a shingle, the Jaccard similarity from which texts link (a fraction), and the
-#: bits beyond which they are not compared. At 4/5 a bit differs with a chance of 0.19 at most (texts
-#: of five shingles; 0.15 in long ones), so 28 bits are five standard deviations above the mean.
-SHINGLE = 5
-SIMILAR = (4, 5)
-MOST_BITS = 28
-#: Texts (about) and shingles that are looked at for common ones; in how many of the texts these stand.
-SAMPLE_ROWS = 10_000
-COMMON = 100_000
-COMMON_FROM = 8
 
 
 def shingles(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -53,10 +40,7 @@ def shingles(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """A bit is 1 if it is set in more than half of the shingles' hashes; zero without words."""
-    return _majority(shingles(text, shingle, seed))
-
-
-def _majority(hashes: np.ndarray) -> int:
+    hashes = shingles(text, shingle, seed)
     if not len(hashes):
         return 0
     set_ = np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
@@ -297,18 +281,10 @@ def first_of_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
     Of rows equal in doc_id and text one stays. Several texts of that doc_id in one group: the
     smallest text's hash. A group in which no row has a doc_id is represented by its text of the
-    smallest hash."""
-    return _firsts(docs, lambda d: near_duplicates(d, shingle, max_bits, with_text_hash=True))
-
-
-def first_of_similar(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of `docs` that stand for their group of `similar` texts, as in `first_of_groups`."""
-    return _firsts(docs, lambda d: similar(d, shingle, max_bits))
-
-
-def _firsts(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    marks = grouped(keyed.select("doc_id", "text"))
+    smallest hash. All columns are kept as they are, whatever their names."""
+    own = free_name("th", docs.columns)
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    marks = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits, with_text_hash=True)
     firsts = settle(marks.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("doc_id", "th")).alias("first")
     ).select("first.*"))
@@ -317,135 +293,11 @@ def _firsts(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataF
 
     def among(few: DataFrame, kind: str) -> DataFrame:
         doc, th = few.columns
-        return keyed.join(few, keyed["doc_id"].eqNullSafe(few[doc]) & (keyed["__th"] == few[th]), kind)
+        return keyed.join(few, keyed["doc_id"].eqNullSafe(few[doc]) & (keyed[own] == few[th]), kind)
 
     same = firsts["doc_id"].eqNullSafe(repeated["id"]) & (firsts["th"] == repeated["h"])
     if repeated.isEmpty():  # the usual case moves no text
-        return among(firsts, "left_semi").drop("__th")
+        return among(firsts, "left_semi").drop(own)
     single = among(settle(firsts.join(repeated, same, "left_anti")), "left_semi")
     many = among(settle(firsts.join(repeated, same, "left_semi")), "left_semi")
-    return single.unionByName(many.dropDuplicates(["doc_id", "__th"])).drop("__th")
-
-
-def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of shingles that many texts of a bounded sample share, sorted; at most COMMON of them.
-
-    They only order shingles: which they are, or that one is missing, changes cost and no result."""
-    share = max(1, docs.count() // SAMPLE_ROWS)
-    sample = docs.select(F.xxhash64("text").alias("th"), "text").filter(F.pmod("th", F.lit(share)) == 0)
-
-    def job(piece: pa.RecordBatch) -> dict:
-        found = [np.unique(shingles(t, shingle)).astype(np.int64) for t in piece.column("text").to_pylist()]
-        return {"keys": [k.tolist() for k in found]}
-
-    kept = sample.groupBy("th").agg(F.first("text").alias("text"))
-    keys = by_slice(kept, ["text"], "keys array<bigint>", job).select(F.explode("keys").alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM)
-    return np.sort(np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()], np.int64))
-
-
-def _classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th, cls (a hash of the text's set of shingles), n (of these), fp, keys: the shingles of which two
-    texts with a similarity of SIMILAR or more share one.
-
-    In any one order of all shingles, the first shared one of such texts stands among the first
-    n - ceil(SIMILAR * n) + 1 of either's n. Here those that many texts share come last."""
-    common = _common_shingles(docs, shingle)
-    over, of = SIMILAR
-
-    def job(piece: pa.RecordBatch) -> dict:
-        cls, size, fp, keys = [], [], [], []
-        for text in piece.column("text").to_pylist():
-            mine = np.unique(shingles(text, shingle)).astype(np.int64)
-            n = len(mine)
-            cls.append(_class(mine))
-            size.append(n)
-            fp.append(_majority(mine.astype(">i8")))  # of the set: repeats do not weigh
-            order = np.lexsort((mine, np.isin(mine, common)))
-            keys.append(mine[order[: n + 1 + -(over * n) // of]].tolist() if n else [])
-        return {
-            "doc_id": piece.column("doc_id"), "th": piece.column("th"), "cls": cls, "n": size,
-            "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "keys": keys,
-        }
-
-    return by_slice(
-        docs, ["doc_id", F.xxhash64("text").alias("th"), "text"],
-        "doc_id bigint, th bigint, cls bigint, n bigint, fp bigint, keys array<bigint>", job,
-    )
-
-
-def _class(mine: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(np.sort(mine).tobytes())).astype(np.int64))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets of shingles have a similarity of SIMILAR or more."""
-    over, of = SIMILAR
-    # sets of sizes too far apart cannot be similar: of these no shingles are moved
-    sizes = settle(marks.groupBy("cls").agg(F.min("n").alias("n")))
-    pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b"
-    )
-    pairs = settle(pairs.filter(F.least("na", "nb") * of >= F.greatest("na", "nb") * over).select("a", "b"))
-    wanted = settle(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
-    # one row of each class, so that no key is as frequent as the copies of a text
-    one = marks.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    one = settle(one.select("cls", F.col("one.doc_id").alias("id"), "one.th"))
-
-    def job(piece: pa.RecordBatch) -> dict:
-        sets = [np.unique(shingles(t, shingle)).astype(np.int64).tolist() for t in piece.column("text").to_pylist()]
-        return {"cls": piece.column("cls"), "own": sets}
-
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    held = texts.join(one, texts["doc_id"].eqNullSafe(one["id"]) & (texts["th"] == one["th"]))
-    held = held.groupBy("cls").agg(F.first("text").alias("text"))
-    sets = settle(by_slice(held, ["cls", "text"], "cls bigint, own array<bigint>", job))
-    left = sets.select(F.col("cls").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("own").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return settle(both.filter(shared * of >= union * over).select("a", "b"))
-
-
-def _near(max_bits: int) -> Column:
-    return F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits
-
-
-def similar(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, th (hash of the text), root (of the group), component_id: a row for each row of docs.
-
-    Texts link if their sets of `shingle`-word shingles have a Jaccard similarity of SIMILAR or
-    more; component_id is as in `near_duplicates`. Candidates share one of their rarest shingles
-    and are at most `max_bits` bits apart, and are then compared by all shingles. First each text
-    meets the two ends of its groups; pairs are made only of those not yet joined."""
-    marks = settle(_classes(docs, shingle))
-    classes = marks.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    rows = classes.select(F.explode("keys").alias("key"), "cls", "fp")
-    me = F.struct("cls", "fp")
-    ends = settle(rows.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high")).filter("low.cls < high.cls"))
-    held = settle(rows.join(ends, "key"))
-    star = held.select("cls", "fp", F.explode(F.array("low", "high")).alias("end")).select(
-        F.least("cls", "end.cls").alias("a"), F.greatest("cls", "end.cls").alias("b"),
-        F.col("fp").alias("fa"), F.col("end.fp").alias("fb"),
-    )
-    tried = settle(star.filter((F.col("a") < F.col("b")) & _near(max_bits)).select("a", "b").distinct())
-    sure = _verified(tried, docs, marks, shingle)
-    joined = components(sure).withColumnRenamed("node", "cls")
-    placed = held.select("key", "cls", "fp").join(joined, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = settle(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l < h")
-    placed = settle(placed.join(mixed.select("key"), "key", "left_semi"))
-    other = placed.select("key", F.col("cls").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"))
-    mine = placed.select("key", F.col("cls").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"))
-    rest = mine.join(other, "key").filter(
-        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near(max_bits)
-    ).select("a", "b").distinct()
-    rest = settle(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        joined = components(sure.unionByName(_verified(rest, docs, marks, shingle))).withColumnRenamed("node", "cls")
-    ids = settle(marks.groupBy("cls").agg(F.min("doc_id").alias("least")))
-    lowest = settle(ids.join(joined, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
-    groups = settle(lowest.groupBy("root").agg(F.min("least").alias("component_id")))
-    chosen = settle(lowest.join(groups, "root").select("cls", "root", "component_id"))
-    return marks.select("doc_id", "th", "cls").join(chosen, "cls").select("doc_id", "th", "root", "component_id")
+    return single.unionByName(many.dropDuplicates(["doc_id", own])).drop(own)

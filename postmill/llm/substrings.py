@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import by_slice, in_slices, settle, words
+from postmill.llm.common import by_slice, free_name, in_slices, settle, words
 
 WINDOW = 20
 ANCHOR = 8
@@ -236,12 +236,14 @@ def _removed(count: int, spans: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    spans = repeats(docs, window, anchor).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    mine = docs.withColumn("__th0", F.xxhash64("text"))
-    return mine.join(
-        spans, mine["doc_id"].eqNullSafe(spans["__id"]) & (F.col("__th0") == F.col("__th")), "left"
-    ).drop("__id", "__th", "__th0")
+def _with_spans(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, str]:
+    """The rows of docs with the spans of their repeated windows, in a column of the name given back."""
+    spans = repeats(docs.select("doc_id", "text"), window, anchor)
+    mine, name = free_name("h", [*docs.columns, *spans.columns]), free_name("spans", docs.columns)
+    hashed = docs.withColumn(mine, F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(spans["doc_id"]) & (hashed[mine] == spans["th"])
+    both = hashed.join(spans, same, "left")
+    return both.select(*(docs[f"`{c}`"] for c in docs.columns), spans["spans"].alias(name)), name
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -249,9 +251,11 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     row. Texts shorter than a window, empty or null keep all words. Other columns are not read."""
     from hashlib import sha256
 
+    held, name = _with_spans(docs.select("doc_id", "text"), window, anchor)
+
     def job(piece: pa.RecordBatch) -> dict:
         n, gone, digest = [], [], []
-        for text, spans in zip(piece.column("text").to_pylist(), piece.column("__spans").to_pylist(), strict=True):
+        for text, spans in zip(piece.column("text").to_pylist(), piece.column(name).to_pylist(), strict=True):
             found = words(text)
             out = _removed(len(found), spans, window) if spans else None
             kept = found if out is None else [w for w, x in zip(found, out.tolist(), strict=True) if not x]
@@ -261,7 +265,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         return {"doc_id": piece.column("doc_id"), "n_words": n, "n_removed": gone, "kept_sha256": digest}
 
     return by_slice(
-        _with_spans(docs.select("doc_id", "text"), window, anchor), ["doc_id", "text", "__spans"],
+        held, ["doc_id", "text", name],
         "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", job,
     )
 
@@ -274,7 +278,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     word = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", text string"
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text string"])
+    held, name = _with_spans(docs, window, anchor)
 
     def cut(text: str, spans: list[dict]) -> str:
         pieces = word.findall(text)
@@ -284,10 +289,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         return kept.lstrip(" \t\n\v\f\r") if out[0] else kept
 
     def job(piece: pa.RecordBatch) -> dict:
-        both = zip(piece.column("text").to_pylist(), piece.column("__spans").to_pylist(), strict=True)
+        both = zip(piece.column("text").to_pylist(), piece.column(name).to_pylist(), strict=True)
         return {c: piece.column(c) for c in rest} | {"text": [cut(t, s) if s else t for t, s in both]}
 
-    done = by_slice(_with_spans(docs, window, anchor), [*(f"`{c}`" for c in rest), "text", "__spans"], schema, job)
+    done = by_slice(held, [*(f"`{c}`" for c in rest), "text", f"`{name}`"], schema, job)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
     return done.select(*(f"`{c}`" for c in docs.columns))

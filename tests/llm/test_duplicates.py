@@ -13,6 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from postmill.llm import graph, simhash, substrings
 from postmill.llm.queries import ORACLES, QUERIES
 from tests.llm import cases
@@ -59,6 +60,21 @@ def test_groups_of_awkward_rows(spark):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.first_of_groups(empty).collect() == []
 
 
+def test_the_pipeline_keeps_one_of_each_group(spark):
+    """Its stage on a whole small table, with a chain of near copies and odd columns, by brute force."""
+    data = [tuple(r) for r in spark.read.parquet(f"{cases.SF}/documents.parquet").select(
+        "doc_id", "text", "lang", "source", "n_chars").collect()]
+    long = [f"w{i}" for i in range(400)]
+    for k in range(6):
+        data.append((10_000 + k, " ".join([f"n{k}", *long[:-1]]), "en", "s", 0))
+    docs = cases.clashing(spark, cases.documents(spark, data), ["th", "h", "__th", "first", "fp", "id"])
+    kept = corpus_pipeline.one_of_each(spark, docs, cases.SF)
+    groups = plain_groups([plain_fingerprint(d[1]) for d in data])
+    least = {g: min(d[0] for d, h in zip(data, groups, strict=True) if h == g) for g in groups}
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["th"], r["__th"]) for r in cases.rows(kept)) == sorted((i, "own", "own") for i in least.values())
+
+
 def test_whole_table_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     fps = [plain_fingerprint(r.text) for r in docs]
