@@ -26,14 +26,15 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def known_keys(table: DataFrame, key: str = "job_url") -> DataFrame:
-    """Every form (trimmed key and slash twin) under which a row can be found: key, row_seq."""
-    k = strip(text(key))
+def known_keys(table: DataFrame, key: str = "job_url", also: list[str] | None = None) -> DataFrame:
+    """Every form (trimmed key and slash twin) under which a row can be found: key, row_seq, and the
+    columns `also`."""
+    k, also = strip(text(key)), also or []
     return (
-        table.select(k.alias("k"), F.col("seq").alias("row_seq"))
+        table.select(k.alias("k"), F.col("seq").alias("row_seq"), *also)
         .filter("k <> ''")
         .select(
-            F.explode(F.array(F.col("k"), slash_twin("k"))).alias("key"), "row_seq"
+            F.explode(F.array(F.col("k"), slash_twin("k"))).alias("key"), "row_seq", *also
         )
     )
 

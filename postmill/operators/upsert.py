@@ -87,22 +87,26 @@ def upsert_touch(table: DataFrame, arrivals: DataFrame, source: str, now: str) -
     return touch(table, matched(table, arrivals), source, now)
 
 
-def touch(table: DataFrame, found: DataFrame, source: str, now: str) -> DataFrame:
-    """`upsert_touch` with arrivals that are matched already: `found` is read twice."""
-    touched = found.filter("row_seq is not null").select("row_seq").distinct()
-    seen = table.join(touched, F.col("seq") == F.col("row_seq"), "left").withColumn(
-        "last_seen_at",
-        F.when(F.col("row_seq").isNotNull(), F.lit(now)).otherwise(F.col("last_seen_at")),
-    )
-    fresh = found.filter("row_seq is null").select(
-        "seq",
+def pending_row(source: str, now: str) -> list[Column]:
+    """The cells of an address (`url`) that is new."""
+    return [
         F.col("url").alias("job_url"),
         F.lit(source).alias("source"),
         F.lit(now).alias("date_received"),
         F.lit("pending").alias("fetch_status"),
         F.lit("0").alias("fetch_attempts"),
         F.lit(now).alias("last_seen_at"),
+    ]
+
+
+def touch(table: DataFrame, found: DataFrame, source: str, now: str) -> DataFrame:
+    """`upsert_touch` with arrivals that are matched already: `found` is read twice."""
+    touched = found.filter("row_seq is not null").select("row_seq").distinct()
+    seen = table.join(touched, F.col("seq") == F.col("row_seq"), "left").withColumn(
+        "last_seen_at",
+        F.when(F.col("row_seq").isNotNull(), F.lit(now)).otherwise(F.col("last_seen_at")),
     )
+    fresh = found.filter("row_seq is null").select("seq", *pending_row(source, now))
     return append(seen.select(*table.columns), fresh)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postmill.operators.upsert import insert_new, upsert_touch
-from postmill.sources.store import VersionedTable
-
+from postmill.session import settle, settled_within
+from postmill.sources import changes
+from postmill.streaming import merges
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -20,7 +20,8 @@ def on_disk(stream: DataFrame) -> DataFrame:
     """The stream, with its state in RocksDB unless the session names another store: state here
     has a row for each key, which the default store would keep in the executors' memory."""
     conf = stream.sparkSession.conf
-    if conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider"):
+    named = conf.get(_PROVIDER, "")
+    if not named or named.endswith("HDFSBackedStateStoreProvider"):
         conf.set(_PROVIDER, ROCKS)
     return stream
 
@@ -32,15 +33,21 @@ def stream_of(batch: DataFrame) -> str:
 
 def into_table(
     stream: DataFrame,
-    store: VersionedTable,
+    path: str,
     merge: Callable[[DataFrame, DataFrame], DataFrame],
-    schema,
+    schema: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Each batch: `merge(latest version, batch)` becomes the next version."""
+    """Each batch: the rows that `merge(written rows, batch)` gives are written beside the others.
+
+    What is written grows with the batch, not with the table. A batch that is replayed is merged with
+    all rows but its own, and so writes the same rows to the same folder."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        store.commit(merge(store.read(schema), batch), batch=batch_id, writer=stream_of(batch))
+        writer = stream_of(batch)
+        with settled_within(batch.sparkSession):
+            rows = changes.written(batch.sparkSession, path, schema, without=(writer, batch_id))
+            changes.put(merge(rows, settle(batch)), path, writer, batch_id)
 
     return (
         stream.writeStream.foreachBatch(one)
@@ -50,20 +57,26 @@ def into_table(
     )
 
 
-def touch_into(stream, store, schema, source: str, now: str, checkpoint: str) -> StreamingQuery:
-    """Arrivals (url, seq) upserted: known ones touched, new ones pending."""
+def touch_into(stream, path: str, columns: list[str], source: str, now: str, checkpoint: str) -> StreamingQuery:
+    """Arrivals (url, seq) upserted: known ones touched, new ones pending, deleted ones left alone."""
     return into_table(
-        stream, store, lambda table, rows: upsert_touch(table, rows, source, now), schema, checkpoint
+        stream, path, lambda rows, batch: merges.touches(rows, batch, columns, source, now),
+        table_schema(columns), checkpoint,
     )
 
 
-def insert_into(stream, store, schema, preset: str, now: str, checkpoint: str) -> StreamingQuery:
+def insert_into(stream, path: str, columns: list[str], preset: str, now: str, checkpoint: str) -> StreamingQuery:
     """Arrivals inserted if absent."""
     return into_table(
-        stream, store, lambda table, rows: insert_new(table, rows, preset, now), schema, checkpoint
+        stream, path, lambda rows, batch: merges.inserts(rows, batch, columns, preset, now),
+        table_schema(columns), checkpoint,
     )
 
 
+def table_schema(columns: list[str]) -> str:
+    return ", ".join(["seq BIGINT", *(f"{c} STRING" for c in columns)])
+
+
 def append_into(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:

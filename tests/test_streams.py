@@ -11,9 +11,8 @@ from postmill import fixed
 from postmill.operators.lifecycle import fold_attempts
 from postmill.operators.prefs import fold_preferences
 from postmill.operators.reports import status_counts
-from postmill.operators.upsert import upsert_touch
-from postmill.sources.store import VersionedTable
-from postmill.streaming import folds, sinks
+from postmill.sources import changes
+from postmill.streaming import folds, merges, sinks
 
 ATTEMPTS = "url string, seq bigint, outcome string, error_type string"
 FEEDBACK = "owner string, seq bigint, entity string, action string"
@@ -61,14 +60,24 @@ def test_preferences(spark, tmp_path):
     assert sorted(spark.read.parquet(out).drop("b").collect()) == sorted(twin.collect())
 
 
+def bytes_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def table(spark, tmp_path, **more):
+    return changes.current(spark, str(tmp_path / "t"), TABLE, **more)
+
+
 @pytest.mark.parametrize("fail_once", [False, True])
 def test_upserts(spark, tmp_path, fail_once):
     rows = [(f"u{i % 30}" + "/" * (i % 2), i) for i in range(90)]
     stream = batches(spark, tmp_path, rows, "url string, seq bigint", n=3)
-    store = VersionedTable(spark, str(tmp_path / "t"))
-    if fail_once:  # commits, then dies before the stream's own checkpoint is written
+    path = str(tmp_path / "t")
+    if fail_once:  # writes, then dies before the stream's own checkpoint is written
         def dying(batch, batch_id):
-            store.commit(upsert_touch(store.read(TABLE), batch, "gmail", "now"), batch=batch_id, writer=sinks.stream_of(batch))
+            writer = sinks.stream_of(batch)
+            old = changes.written(spark, path, TABLE, without=(writer, batch_id))
+            changes.put(merges.touches(old, batch, fixed.MAIL_COLUMNS, "gmail", "now"), path, writer, batch_id)
             if batch_id == 1:
                 raise RuntimeError("lost")
 
@@ -76,41 +85,122 @@ def test_upserts(spark, tmp_path, fail_once):
             "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         with pytest.raises(Exception):
             query.awaitTermination()
-        assert len(store.versions()) == 2
-    sinks.touch_into(stream, store, TABLE, "gmail", "now", str(tmp_path / "c")).awaitTermination()
-    table = store.read()
-    assert [v[1] for v in store.versions()] == [0, 1, 2]
-    assert table.count() == 30 and table.select("seq").distinct().count() == 30
-    assert {r.job_url.rstrip("/") for r in table.collect()} == {f"u{i}" for i in range(30)}
+        half = sorted(table(spark, tmp_path).collect())
+        assert len(half) == 30
+    sinks.touch_into(stream, path, fixed.MAIL_COLUMNS, "gmail", "now", str(tmp_path / "c")).awaitTermination()
+    made = table(spark, tmp_path).collect()
+    assert sorted(r.seq for r in made) == list(range(30))
+    assert {r.job_url.rstrip("/") for r in made} == {f"u{i}" for i in range(30)}
+    # a version for each batch that has the address: a replayed batch does not see what it wrote before
+    assert {r.job_url.rstrip("/"): r.version for r in made} == {
+        f"u{u}": len({i // 31 for i in range(90) if i % 30 == u}) for u in range(30)}
+    assert len(list((tmp_path / "t").glob("q=*/b=*"))) == 3
+
+
+def test_what_a_batch_writes_grows_with_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    base = spark.range(20_000).select(F.col("id").alias("seq"), *[
+        F.sha2(F.concat(F.lit(c), F.col("id").cast("string")), 256).alias(c) for c in fixed.MAIL_COLUMNS])
+    changes.put(changes.changed(changes.current(spark, path, TABLE), base), path, "base", 0)
+    first = base.filter("seq < 5").select(F.col("job_url").alias("url"), "seq").collect()
+    rows = [tuple(r) for r in first] + [("new", 7)]
+    stream = batches(spark, tmp_path, rows, "url string, seq bigint", n=1)
+    sinks.touch_into(stream, path, fixed.MAIL_COLUMNS, "gmail", "later", str(tmp_path / "c")).awaitTermination()
+    (batch,) = [p for p in (tmp_path / "t").glob("q=*/b=*") if "q=base" not in str(p)]
+    assert bytes_of(batch) < bytes_of(tmp_path / "t" / "q=base") / 100
+    made = table(spark, tmp_path)
+    assert made.count() == 20_001
+    assert sorted(r.seq for r in made.filter("last_seen_at = 'later'").collect()) == [0, 1, 2, 3, 4, 20_000]
+
+
+def test_two_streams_into_one_table(spark, tmp_path):
+    """Each has a batch 0; so has a stream that starts again without its checkpoint."""
+    for k, rows in enumerate([[("a", 0), ("b", 1 << 40)], [("c", 2)], [("c", 2), ("d", 3)]]):
+        (tmp_path / f"s{k}").mkdir()
+        stream = batches(spark, tmp_path / f"s{k}", rows, "url string, seq bigint", n=1)
+        sinks.touch_into(stream, str(tmp_path / "t"), fixed.MAIL_COLUMNS, "gmail", "now", str(tmp_path / f"c{k}")).awaitTermination()
+    assert sorted((r.job_url, r.seq) for r in table(spark, tmp_path).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
+def test_deleted_rows_are_not_brought_back_by_a_late_stream(spark, tmp_path):
+    path = str(tmp_path / "t")
+    stored = spark.createDataFrame([(0, "a/"), (1, "b"), (2, "c")], "seq bigint, job_url string")
+    full = stored.select("seq", *[F.col(c) if c == "job_url" else F.lit("").alias(c) for c in fixed.MAIL_COLUMNS])
+    changes.put(changes.changed(changes.current(spark, path, TABLE), full), path, "base", 0)
+    changes.put(merges.deletions(changes.written(spark, path, TABLE), fixed.MAIL_COLUMNS, "job_url <> 'b'"), path, "prune", 0)
+    stream = batches(spark, tmp_path, [("a", 1), ("b/", 2), ("c", 3), ("d", 4)], "url string, seq bigint", n=1)
+    sinks.touch_into(stream, path, fixed.MAIL_COLUMNS, "gmail", "now", str(tmp_path / "c1")).awaitTermination()
+    sinks.insert_into(stream.withColumn("company", F.lit("x")), path, fixed.MAIL_COLUMNS, "companies", "now",
+                      str(tmp_path / "c2")).awaitTermination()
+    assert sorted((r.job_url, r.seq, r.last_seen_at) for r in table(spark, tmp_path).collect()) == [
+        ("b", 1, "now"), ("d", 3, "now")]
+    every = table(spark, tmp_path, tombstones=True)
+    assert sorted((r.job_url, r.gone) for r in every.collect()) == [("a/", True), ("b", False), ("c", True), ("d", False)]
+    changes.folded(spark, path, TABLE, str(tmp_path / "t2"))
+    assert sorted(changes.current(spark, str(tmp_path / "t2"), TABLE, tombstones=True).collect()) == sorted(every.collect())
 
 
 def test_first_seen(spark, tmp_path):
-    rows = [(f"u{i % 5}", f"2024-01-0{1 + i // 20} 00:00:00") for i in range(60)]
-    stream = batches(spark, tmp_path, rows, "url string, at string").withColumn("ts", F.col("at").cast("timestamp_ntz"))
+    """Whole earliest rows, though they come late, in other batches, and twice at one time; null is a key."""
+    day = lambda d, h=0: f"2024-01-{d:02d} {h:02d}:00:00"
+    rows = [("a", 5, day(2), "later"), ("b", 1, day(2), "b"), (None, 2, day(2), "null"),
+            ("a", 4, day(1, 23), "first"), ("a", 9, day(1, 23), "same time"), ("b", 7, day(2, 1), "again"),
+            ("c", 8, day(6), "c"), (None, 3, day(6), "null again"),
+            ("b", 0, day(1), "b first"), ("c", 6, day(5, 12), "c first"), ("d", 11, day(9), "open"), ("a", 12, None, "no time"),
+            ("b", -1, day(1), "too late"), ("f", 1, day(3), "too late"), ("e", 13, day(9), "open"), ("c", 14, day(9), "again")]
+    stream = batches(spark, tmp_path, rows, "url string, n bigint, at string, note string", n=5).withColumn("ts", F.col("at").cast("timestamp_ntz"))
     out = str(tmp_path / "out")
-    seen = folds.seen_once(stream, ["url"], "ts", "10 days")
+    seen = folds.earliest(stream, ["url"], "ts", "n", "2 days")
     sinks.append_into(seen, out, str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.url for r in spark.read.parquet(out).collect()) == [f"u{i}" for i in range(5)]
+    got = {(r.url, r.n, r.at, r.note) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", 4, day(1, 23), "first"), ("b", 0, day(1), "b first"), (None, 2, day(2), "null"), ("c", 6, day(5, 12), "c first")}
+    assert spark.read.parquet(out).count() == 4 and spark.read.parquet(out).columns == seen.columns
 
 
-def test_two_streams_into_one_table(spark, tmp_path):
-    """Each has a batch 0; so has a stream that starts again without its checkpoint."""
-    store = VersionedTable(spark, str(tmp_path / "t"))
-    for k, rows in enumerate([[("a", 0), ("b", 1)], [("c", 2)], [("c", 2), ("d", 3)]]):
-        (tmp_path / f"s{k}").mkdir()
-        stream = batches(spark, tmp_path / f"s{k}", rows, "url string, seq bigint", n=1)
-        sinks.touch_into(stream, store, TABLE, "gmail", "now", str(tmp_path / f"c{k}")).awaitTermination()
-    assert sorted(r.job_url for r in store.read().collect()) == ["a", "b", "c", "d"]
-    assert len(store.versions()) == 3
-
-
-def test_a_version_is_never_written_over(spark, tmp_path):
-    store = VersionedTable(spark, str(tmp_path / "t"))
-    frame = spark.range(3)
-    assert store.commit(frame, batch=0, writer="x") == 0 == store.commit(frame, batch=0, writer="x")
-    (tmp_path / "t" / "v=00000001").mkdir()  # of a commit that died
-    assert store.commit(frame, batch=0, writer="y") == 2
-    assert store.read().count() == 3
+def state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_attempts_go_on_from_a_batch_fold(spark, tmp_path):
+    rows = attempt_rows()
+    before = fold_attempts(spark.createDataFrame(rows[:190] + [(None, -1, "ok", "")], ATTEMPTS))
+    stream = batches(spark, tmp_path, rows[190:] + [(None, 900, "timeout", "")], ATTEMPTS, n=3)
+    out = str(tmp_path / "out")
+    sinks.append_into(folds.attempt_states(stream, before), out, str(tmp_path / "c"), "update").awaitTermination()
+    later = {r.url: tuple(r.s) for r in spark.read.parquet(out).groupBy("url").agg(
+        F.max_by(F.struct("fetch_attempts", "fetch_status", "fetch_error"), "b").alias("s")).collect()}
+    done = {r.url: tuple(r)[1:] for r in before.collect()} | later
+    twin = fold_attempts(spark.createDataFrame(rows + [(None, -1, "ok", ""), (None, 900, "timeout", "")], ATTEMPTS))
+    assert done == {r.url: tuple(r)[1:] for r in twin.collect()}
+    assert done[None] == (1, "fetched", "")
+
+
+def test_finished_keys_are_forgotten(spark, tmp_path):
+    at = lambda h: f"2024-01-0{1 + h // 24} {h % 24:02d}:00:00"
+    rows = [(f"u{i}", i, "ok", "", at(0)) for i in range(8)] + [
+        ("open", 8, "timeout", "", at(1)), ("hot", 9, "ok", "", at(12)), ("x", 10, "ok", "", at(40)), ("y", 11, "timeout", "", at(60))]
+    schema = ATTEMPTS + ", at string"
+    stream = batches(spark, tmp_path, rows, schema, n=6).withColumn("ts", F.col("at").cast("timestamp"))
+    out = str(tmp_path / "out")
+    query = sinks.append_into(folds.attempt_states(stream, keep="6 hours", lateness="1 hour"), out, str(tmp_path / "c"), "update")
+    query.awaitTermination()
+    held = state_rows(query)
+    # watermark 59:00: all finished urls are gone; the two open ones stay, whatever their age
+    assert max(held) >= 8 and held[-1] == 2
+    assert spark.read.parquet(out).count() == 12
+
+
+def test_preferences_go_on_and_are_forgotten(spark, tmp_path):
+    stored = spark.createDataFrame([("me", "e1", "reject")], "owner string, value string, kind string")
+    rows = [("me", 1, "e1", "exception", "2024-01-01 00:00:00"), ("me", 2, "e2", "reject", "2024-01-01 01:00:00"),
+            (None, 3, "e2", "exception", "2024-01-01 02:00:00"), ("me", 4, "e9", "reject", "2024-01-05 00:00:00")]
+    stream = batches(spark, tmp_path, rows, FEEDBACK + ", at string", n=2).withColumn("ts", F.col("at").cast("timestamp"))
+    out = str(tmp_path / "out")
+    query = sinks.append_into(folds.preference_states(stream, stored, keep="1 day"), out, str(tmp_path / "c"))
+    query.awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(out).select("owner", "kind", "value", "seq").collect()} == {
+        ("me", "reject", "e2", 2), (None, "exception", "e2", 3), ("me", "reject", "e9", 4)}
+    assert state_rows(query)[-1] == 1
 
 
 def test_changes_of_two_queries_do_not_meet(spark, tmp_path):

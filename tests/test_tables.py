@@ -11,7 +11,7 @@ from postmill.operators import upsert as U
 from postmill.operators.dedup import dedup_first, key_index
 from postmill.operators.sequence import contiguous_ranges, dense_index
 from postmill.sources import files, tables as T
-from postmill.sources.store import VersionedTable
+from postmill.sources import changes
 
 NOW = "now"
 
@@ -147,16 +147,27 @@ def test_score_writeback(spark):
     assert U.score_patches(t, scored).count() == 2
 
 
-def test_store_versions_and_replay(spark, tmp_path):
-    store = VersionedTable(spark, str(tmp_path / "t"))
-    assert store.read("seq BIGINT").count() == 0
-    assert store.commit(spark.range(2)) == 0
-    assert store.commit(spark.range(3), batch=7) == 1
-    assert store.commit(spark.range(9), batch=7) == 1  # a replay writes nothing
-    assert store.read().count() == 3 and store.read(version=0).count() == 2
-    (tmp_path / "t" / "v=00000002").mkdir()  # a write that died
-    assert store.read().count() == 3 and store.commit(spark.range(4)) == 3  # its number is not used again
-    assert store.read().count() == 4
+def test_only_changes_are_written(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "seq BIGINT, job_url STRING, a STRING"
+    nothing = changes.current(spark, path, schema)
+    assert nothing.count() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    changes.put(changes.changed(nothing, rows((0, "u", "x"), (1, "v", "y"), (2, "w", ""))), path, "run", 0)
+    before = changes.current(spark, path, schema)
+    after = rows((0, "u", "x"), (1, "v", "z"), (2, "w", None), (7, "n", "y"))
+    made = changes.changed(before, after)
+    assert sorted(map(tuple, made.select("seq", "version", "gone").collect())) == [(1, 2, False), (7, 1, False)]
+    changes.put(made, path, "run", 1)
+    changes.put(made, path, "run", 1)  # once more: the same folder
+    before = changes.current(spark, path, schema)
+    assert sorted(map(tuple, before.collect())) == [(0, "u", "x", 1), (1, "v", "z", 2), (2, "w", "", 1), (7, "n", "y", 1)]
+    changes.put(changes.changed(before, before.filter("seq <> 1").drop("version")), path, "run", 2)
+    assert sorted(r.seq for r in changes.current(spark, path, schema).collect()) == [0, 2, 7]
+    assert sorted((r.seq, r.version, r.gone) for r in changes.current(spark, path, schema, tombstones=True).collect()) == [
+        (0, 1, False), (1, 3, True), (2, 1, False), (7, 1, False)]
+    assert sorted(r.seq for r in changes.current(spark, path, schema, without=("run", 2)).collect()) == [0, 1, 2, 7]
+    heads = changes.heads(changes.written(spark, path, schema), "job_url")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<seq:bigint,job_url:string,version:bigint,gone:boolean>" in heads  # no wide column
 
 
 def test_files(spark, tmp_path):
