@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -162,6 +165,68 @@ def test_company_cascade(spark):
     assert [r.last_error == "old" for r in written] == [True] * 5 + [False] * 4
 
 
+def plain_cascade(company, pages):
+    """A company's links and level, one page after the other."""
+    def listing(start):
+        """(reached, links, level)"""
+        if (own := pages.get((start, "static"))) is None:
+            return False, None, None
+        if own["links"]:
+            return True, own["links"], 1
+        last = own
+        if own["open"] and (opened := pages.get((own["open"], "static"))) is not None:
+            if opened["links"]:
+                return True, opened["links"], 2
+            last = opened
+        for level, at, render in ((3, start, "clicked"), (4, last["open"] or start, "rendered")):
+            if (page := pages.get((at, render))) is not None and page["links"]:
+                return True, page["links"], level
+        return True, None, None
+
+    if company["career"]:
+        _, links, level = listing(company["career"])
+        if level:
+            return links, level, None
+    if not company["site"]:
+        return None, None, fixed.ERROR_NO_COMPANY_URL
+    if (home := pages.get((company["site"], "static"))) is None:
+        return None, None, f"Fallback failed: no page {company['site']}"
+    if not home["careers"]:
+        return None, None, fixed.ERROR_NO_CAREERS_LINK
+    reached, links, level = listing(home["careers"])
+    if level:
+        return links, level + 4, None
+    return None, None, fixed.ERROR_NO_POSTINGS if reached else f"Fallback failed: no page {home['careers']}"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_company_cascade_on_random_sites(spark, seed):
+    """All levels, by the plain cascade; many companies share pages, and one page is wanted by a third."""
+    r = random.Random(seed)
+    at = lambda k: f"https://h.io/p{k}"
+    pages, rows = {}, []
+    for k in range(60):
+        for render in ("static", "clicked", "rendered"):
+            if r.random() < (0.9 if render == "static" else 0.4):
+                has = lambda p, x: x if r.random() < p else None
+                page = {"links": [f"https://h.io/jobs/12{k}{render}"] if r.random() < 0.12 else [],
+                        "open": has(0.6, at(r.randrange(60))), "careers": has(0.7, at(r.randrange(60)))}
+                pages[at(k), render] = page
+                html = "".join([f'<a href="{page["careers"]}">Our Careers</a>' if page["careers"] else "",
+                                *(f'<a href="{x}">x</a>' for x in page["links"]),
+                                f'<a href="{page["open"]}">View open roles</a>' if page["open"] else ""])
+                # postings and open roles speak of careers too: the first of all counts
+                page["careers"] = page["careers"] or next(iter(page["links"]), None) or page["open"]
+                rows.append((at(k), render, html))
+    listed = [{"seq": i, "career": r.choice(["", at(r.randrange(60))]), "site": r.choice(["", at(3), at(r.randrange(60))])} for i in range(240)]
+    companies = spark.createDataFrame([(c["seq"], "c", c["site"], c["career"], "") for c in listed],
+        "seq bigint, company string, company_url string, career_site_url string, last_error string")
+    found = {x.seq: (x.links, x.level, x.error) for x in C.discover_companies(
+        companies, spark.createDataFrame(rows, "url string, render string, html string")).collect()}
+    assert found == {c["seq"]: plain_cascade(c, pages) for c in listed}
+    assert len({level for _, level, _ in found.values()}) >= 6
+
+
 def test_company_run_is_idempotent(spark):
     companies, pages = company_inputs(spark)
     log = spark.createDataFrame(
