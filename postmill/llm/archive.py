@@ -18,8 +18,10 @@ from postmill.llm.common import in_slices, settle
 
 #: Payloads shorter than this are never replaced by a reference.
 LEAST_SHARED_BYTES = 100
-#: Records of one file, so that a file can be read as a whole.
-FILE_RECORDS = 2000
+#: A file is read as a whole, so it is bounded by bytes: header blocks of one file, and for payloads of up to
+#: so many bytes each the records of one file. Larger payloads have a file of their own.
+FILE_HEADERS = 100_000
+FILE_PAYLOADS = ((1 << 16, 2000), (1 << 22, 32))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 
@@ -71,8 +73,8 @@ def _block(*fields: tuple[str, Column | str]) -> Column:
 
 
 def _safe(value: Column) -> Column:
-    """Without what would end a header line."""
-    return F.regexp_replace(value, r"[\r\n]+", "%0A")
+    """Without what would end a header line: line breaks as they are written in addresses."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
 def header_blocks(records: DataFrame, date: str) -> DataFrame:
@@ -96,8 +98,9 @@ def write(pages: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z") ->
     `headers`: a block for each row. `payloads`: each distinct payload once. Extra columns are not
     read; an empty table gives an archive without records."""
     records = settle(described(pages))
-    options = {"compression": "gzip", "lineSep": _END, "maxRecordsPerFile": FILE_RECORDS}
-    header_blocks(records, date).write.options(**options).text(f"{folder}/headers")
+    options = {"compression": "gzip", "lineSep": _END}
+    headers = header_blocks(records, date).write.options(**options, maxRecordsPerFile=FILE_HEADERS)
+    headers.text(f"{folder}/headers")
     # one page stands for each payload, so only its html is moved
     chosen = settle(records.groupBy("digest").agg(
         F.min("page_id").alias("page_id"), F.first("size").alias("size")
@@ -107,8 +110,7 @@ def write(pages: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z") ->
     # that the join that picks a page for each payload moves no html again
     own = pages.select(
         "page_id", F.sha2(F.encode(_payload(), "utf-8"), 256).alias("digest"), _payload().alias("payload")
-    ).select(key, "payload").dropDuplicates(["key"])
-    payloads = own.join(chosen.select(key, "digest", "size"), "key").select("digest", "size", "payload")
+    ).select(key, "payload")
     block = _block(
         ("WARC-Type", "resource"),
         ("WARC-Record-ID", F.concat(F.lit("<urn:sha256:"), F.col("digest"), F.lit(">"))),
@@ -117,9 +119,21 @@ def write(pages: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z") ->
         ("Content-Type", "application/octet-stream"),
         ("Content-Length", F.col("size").cast("string")),
     )
-    payloads.select(F.concat(block, F.lit(_END), F.col("payload")).alias("value")).write.options(
-        **options
-    ).text(f"{folder}/payloads")
+    # one job for each class of sizes that there is, so that a file's records can be counted out
+    most = [n for n, _ in FILE_PAYLOADS]
+    classed = F.coalesce(*[F.when(F.col("size") <= n, F.lit(k)) for k, n in enumerate(most)], F.lit(len(most)))
+    named = chosen.select(key, "digest", "size", classed.alias("k"))
+    found = sorted(r.k for r in named.select("k").distinct().collect())
+    bounds = [-1, *most, None]
+    for k in found or [0]:
+        low, high = bounds[k], bounds[k + 1]
+        size = F.octet_length("payload")
+        mine = own.filter((size > low) & (size <= high) if high is not None else size > low)
+        payloads = mine.dropDuplicates(["key"]).join(named.filter(F.col("k") == k), "key")
+        records_each = FILE_PAYLOADS[k][1] if k < len(FILE_PAYLOADS) else 1
+        payloads.select(F.concat(block, F.lit(_END), F.col("payload")).alias("value")).write.mode("append").options(
+            **options, maxRecordsPerFile=records_each
+        ).text(f"{folder}/payloads")
 
 
 def parsed(content: bytes, bodies: bool) -> Iterator[tuple[bytes, bytes]]:

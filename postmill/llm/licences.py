@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -158,12 +159,14 @@ def scan(text: str | None) -> dict[str, object]:
     if tagged:
         for m in _LINE.finditer(text):
             labels.update(_tag_labels(m[1].strip()))
-    places = sorted(line.count(" ", 0, at + 1) - 1 for at, _ in base) if base else []
+    # a hit begins at the space before its first word; words are found by their place in the line
+    starts = np.cumsum([0, *(len(w) + 1 for w in found[:-1])]) if base else None
+    places = np.searchsorted(starts, [at for at, _ in base]).tolist() if base else []
     basic = {label for _, label in base}
     n = len(found)
     return {
         "n_words": n, "n_base": len(base),
-        "first_word": places[0] if base else None, "last_word": places[-1] if base else None,
+        "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(basic)), "labels": ",".join(sorted(basic | labels)),
         "score": _score(n, len(base), len(labels), tagged),
     }

@@ -137,9 +137,10 @@ def write(
 ) -> None:
     """Encode `text` of every row (null: empty), end each with `end_id`, and write segments.
 
-    Order: ascending doc_id, null first, rows of one doc_id by text; repeated rows are all kept.
-    The texts are dealt out by ranges of doc_id, so shard k precedes shard k + 1. Other columns are
-    not read. An empty table gives a folder without segments."""
+    Order: ascending doc_id, null first, rows of one doc_id by a hash of the text; repeated rows are all
+    kept. The texts are dealt out by ranges of that order, so shard k precedes shard k + 1, and rows of
+    one doc_id (or none), even equal ones, go to as many tasks as their share asks for. Other columns
+    are not read. An empty table gives a folder without segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, segment = TaskContext.get().partitionId(), codec(path, pattern), 0
@@ -167,8 +168,12 @@ def write(
         if ids:
             yield made()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"),
+        F.monotonically_increasing_id().alias("n"),  # tells equal rows apart, whichever is which
+    )
+    order = ["doc_id", "h", "n"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, SEGMENT).write.option("compression", "none").parquet(folder)
 
 

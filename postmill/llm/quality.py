@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import by_slice
 
-#: The labelled sample: at most so many texts of either label, of at most so many characters each.
+#: The labelled sample: at most so many texts of either label, of longer ones a piece of so many characters.
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 8000
 #: Content of a dictionary: pieces of the sample's texts, mixed, up to so many bytes.
@@ -100,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer:
 
     Held-out ids take no part, nor do null ones, other labels than 0 and 1, or ids with both. The
     sample is those of the smallest hashes; every other one of them builds the dictionaries, the
-    rest fits the curve, weighted so that the shares of the labels are those of the whole table."""
+    rest fits the curve, weighted so that the shares of the labels are those of the whole table. A text
+    above SAMPLE_CHARS characters is represented by one of its pieces of that length, drawn by its id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     clean = known.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2")
     counts = {r.q: r["count"] for r in clean.groupBy("q").count().collect()}
@@ -111,9 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer:
         clean.filter(F.col("q") == q).orderBy(order, "doc_id").limit(rows).select("doc_id", "q") for q in (0, 1)
     ]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids and labels at most
-    found = docs.select("doc_id", F.col("text")).join(sample, "doc_id").filter(
-        F.length("text").between(1, SAMPLE_CHARS)
-    )
+    found = docs.select("doc_id", F.col("text")).join(sample, "doc_id").filter(F.length("text") > 0)
+    pieces = F.ceil(F.length("text") / F.lit(SAMPLE_CHARS))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("piece")), pieces) * SAMPLE_CHARS + 1
+    found = found.withColumn("text", F.substring("text", begin.cast("int"), F.lit(SAMPLE_CHARS)))
     # a doc_id may stand for several rows: one text of each, or the sample would not be bounded
     texts = found.groupBy("doc_id").agg(F.min("q").alias("q"), F.min("text").alias("text"))
     picked = texts.withColumn("h", order).orderBy("h", "doc_id").limit(2 * rows).collect()

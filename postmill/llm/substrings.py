@@ -23,6 +23,8 @@ WINDOW = 20
 ANCHOR = 8
 #: Distinct words whose hashes a worker keeps.
 CACHED_WORDS = 200_000
+#: Windows whose least seed is looked for at a time.
+PLACES_AT_ONCE = 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -81,7 +83,9 @@ class Stretches:
         places = np.flatnonzero(valid)
         if not len(places):
             return
-        least = view[places].argmin(axis=1) + places  # argmin: the first of equals
+        # argmin: the first of equals; some places at a time, as each is a copy of its window
+        some = np.array_split(places, len(places) // PLACES_AT_ONCE + 1)
+        least = np.concatenate([view[p].argmin(axis=1) + p for p in some])
         self.hashes = _runs(flat, window, 0xC2B2AE3D27D4EB4B)[places]
         first = np.ones(len(places), bool)
         first[1:] = (least[1:] != least[:-1]) | (places[1:] != places[:-1] + 1)

@@ -25,6 +25,8 @@ SHARE = 0.5
 LEAST_SEEN = 2000
 #: Vectors or queries of one block of the exact comparison.
 BLOCK = 512
+#: Blocks of either side that meet in one group.
+LANE_BLOCKS = 8
 
 
 def _valid(table: DataFrame) -> DataFrame:
@@ -162,20 +164,25 @@ def nearest(
             })
 
     # every block holds about BLOCK rows: a row's block is drawn by its id, from as many as the
-    # rows under its first centroid need. Index blocks are spread over lanes that queries go to all
+    # rows under its first centroid need. LANE_BLOCKS blocks are a lane. Both sides are dealt to lanes,
+    # and each is copied to all lanes of the other: a task's share is two lanes, however many
+    # queries ask for one centroid
     per_i = counts.sum(axis=1)
     blocks = np.maximum(1, -(-per_i // BLOCK))
-    lanes = np.maximum(1, -(-blocks // 8))
+    lanes = np.maximum(1, -(-blocks // LANE_BLOCKS))
     at = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("i") + 1)
     xs = coded.withColumn("block", F.pmod(F.xxhash64("id"), at(blocks))).groupBy("i", "block").agg(
         F.collect_list(F.struct("id", "j", "v")).alias("xs")
     ).withColumn("lane", F.pmod("block", at(lanes)))
     n_queries = queries.count()
     q_blocks = max(1, -(-n_queries // BLOCK))
+    q_lanes = -(-q_blocks // LANE_BLOCKS)
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
+    xs = xs.withColumn("q_lane", to_all(F.lit(q_lanes)))
     asked = _valid(queries).mapInArrow(probes, "i int, cells binary, query_id bigint, q array<double>")
     qs = settle(asked).groupBy("i", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block")).agg(
         F.collect_list(F.struct("query_id", "cells", "q")).alias("qs")
-    ).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), (at(lanes) - 1).cast("bigint"))))
+    ).withColumn("q_lane", F.pmod("q_block", F.lit(q_lanes)).cast("bigint")).withColumn("lane", to_all(at(lanes)))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_slices(batches, 1):
@@ -193,7 +200,7 @@ def nearest(
                 "score": pa.array(score[row, column]),
             })
 
-    pairs = settle(xs).join(settle(qs), ["i", "lane"]).select("xs", "qs")
+    pairs = settle(xs).join(settle(qs), ["i", "lane", "q_lane"]).select("xs", "qs")
     found = pairs.mapInArrow(compared, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(

@@ -41,12 +41,26 @@ def test_archive_of_awkward_pages(spark, tmp_path):
         (p, (h or "").encode()) for p, _, h in awkward_pages()
     )
     heads = {r["page_id"]: bytes(r["header"]) for r in whole}
-    assert b"WARC-Target-URI: http://a/%0AX: y" in heads[4] and b"Content-Length: 0" in heads[4]
+    assert b"WARC-Target-URI: http://a/%0D%0AX: y" in heads[4] and b"Content-Length: 0" in heads[4]
     assert heads[11].startswith(b"WARC/1.1\r\nWARC-Type: response")
     stored = archive._payloads(spark, f"file://{tmp_path}/a", True).collect()
     assert len(stored) == len({r.digest for r in stored}) == len(set(by_id.values()))
 
 
+def test_files_of_an_archive_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of 1 MB and of 5 MB beside small ones: few records to a file, and all are read back."""
+    sizes = {k: 1_000_000 + k for k in range(70)} | {100: 5_000_000, 101: 5_000_001} | {200 + k: 50 + k for k in range(30)}
+    pages = spark.createDataFrame([(k, n) for k, n in sizes.items()], "page_id bigint, n int").selectExpr(
+        "page_id", "'u' as url", "repeat(char(97 + page_id % 26), n) as html").coalesce(2)
+    archive.write(pages, f"file://{tmp_path}/a")
+    found = {r.page_id: r.payload_bytes for r in archive.catalogue(spark, f"file://{tmp_path}/a").collect()}
+    assert found == sizes
+    held = [[n for _, n in archive.parsed(f.read_bytes(), True)] for f in (tmp_path / "a" / "payloads").glob("part-*")]
+    each = [sum(map(len, bodies)) for bodies in held]
+    assert max(each) <= 32 * 1_000_069 and sum(map(len, held)) == len(sizes)
+    assert [len(b) for b in held if any(len(x) > 1 << 22 for x in b)] == [1, 1]
+
+
 def test_empty_archive(spark, tmp_path):
     archive.write(spark.createDataFrame([], PAGES), f"file://{tmp_path}/b")
     assert archive.catalogue(spark, f"file://{tmp_path}/b").collect() == []
@@ -86,6 +100,36 @@ def test_all_is_found_where_all_is_seen(spark):
         assert np.allclose([r["score"] for r in mine], [-s for s, _ in best], rtol=0, atol=1e-12)
 
 
+def test_queries_of_one_centroid_are_dealt_to_lanes(spark, monkeypatch):
+    """With small blocks: many groups meet, none has more than two lanes' rows, and all is found."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(vectors, "LANE_BLOCKS", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    sizes = []
+    settled = vectors.settle
+
+    def seen(df):
+        done = settled(df)
+        if "q_lane" in done.columns:
+            n = next(c for c in ("xs", "qs") if c in done.columns)
+            sizes.append({(r.i, r.lane, r.q_lane): r.n for r in done.selectExpr("i", "lane", "q_lane", f"size({n}) n").groupBy(
+                "i", "lane", "q_lane").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()})
+        return done
+
+    monkeypatch.setattr(vectors, "settle", seen)
+    found = cases.rows(vectors.nearest(table, table, k=5, centroids=2, share=1.0))
+    xs, qs = sizes
+    assert max(xs.values()) <= 40 and max(qs.values()) <= 40 and len(xs.keys() & qs.keys()) > 20
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    score = unit @ unit.T - 9 * np.eye(len(rows))
+    for r in found:
+        assert np.argsort(-score[r["query_id"]], kind="stable")[r["rank"] - 1] == r["vec_id"]
+    assert len(found) == 600
+
+
 def test_small_and_empty_tables(spark):
     schema = "vec_id bigint, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], schema)

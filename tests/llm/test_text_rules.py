@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import math
+import time
 import zlib
+
+import zstandard
 from collections import Counter
 
 import pytest
@@ -82,6 +86,50 @@ def test_held_out_accuracy_and_awkward_rows(spark):
     assert quality.scores(cases.documents(spark, []), scorer).collect() == []
 
 
+def test_scores_by_the_plain_library_and_a_plain_fit(spark):
+    """Sizes by zstandard itself under the scorer's dictionaries; the curve where its gradient is nought."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scorer = quality.fit(docs, labels, rows=60)
+    plain = [zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
+                                      dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+             for d in (scorer.good, scorer.bad)]
+
+    def difference(text):
+        good, bad = (len(c.compress(text.encode())) for c in plain)
+        return (bad - good) / (len(text.encode()) + quality.STEADY_BYTES)
+
+    logistic = lambda x: 1 / (1 + math.exp(-(scorer.offset + scorer.slope * x)))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.scores(docs, scorer).collect():
+        assert abs(r.score - logistic(difference(texts[r.doc_id]))) < 1e-9
+    # the sample once more, by hand
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    order = spark.createDataFrame([(i,) for i in known], "doc_id bigint").selectExpr("doc_id", "xxhash64(doc_id) h").collect()
+    ids = [r.doc_id for r in sorted(order, key=lambda r: (r.h, r.doc_id))]
+    used = {q: [i for i in ids if known[i] == q][:60] for q in (0, 1)}
+    kept = {q: [texts[i] for i in used[q] if i in texts and 0 < len(texts[i]) <= quality.SAMPLE_CHARS] for q in used}
+    longer = [i for q in used for i in used[q] if len(texts.get(i, "")) > quality.SAMPLE_CHARS]
+    assert all(t[:200].encode() in scorer.good for t in kept[1][::2][:20]) or longer
+    if not longer:
+        share = sum(known.values()) / len(known)
+        rest = [(q, difference(t)) for q in (0, 1) for t in kept[q][1::2]]
+        good = sum(q for q, _ in rest) / len(rest)
+        weight = {1: share / good, 0: (1 - share) / (1 - good)}
+        slope = [sum(weight[q] * (q - logistic(x)) * f for (q, x) in rest for f in [f(x)]) for f in (lambda x: 1, lambda x: x)]
+        assert max(map(abs, slope)) < 0.05
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """A table of long texts only: a piece of each is in the sample, so scores part the labels."""
+    r = random.Random(2)
+    kinds = {1: [f"clear{i}" for i in range(300)], 0: [f"noisy{i}" for i in range(300)]}
+    data = [(i, " ".join(r.choice(kinds[i % 2]) for _ in range(4000)), "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    scorer = quality.fit(cases.documents(spark, data), labels)
+    assert scorer.good and scorer.score(data[1][1]) > 0.7 > 0.3 > scorer.score(data[2][1])
+    assert len(scorer.good) <= quality.DICTIONARY_BYTES
+
+
 def test_labels_that_must_not_be_learned_from_are_not(spark):
     docs = cases.documents(spark, [(i, f"good {i} " * 9, "en", "s", 0) for i in range(40)])
     schema = "doc_id bigint, quality int, toxic int"
@@ -164,3 +212,11 @@ def test_labels_are_the_licences_named_at_any_length(text, labels):
 def test_whole_table(spark):
     data = [tuple(r) for r in spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text").collect()]
     check_base(cases.rows(QUERIES["op10_licence_scan"](spark, cases.SF)), data)
+
+
+def test_a_long_text_of_phrases_is_scanned_in_one_pass():
+    text = "mit license " * 300_000
+    start = time.perf_counter()
+    row = licences.scan(text)
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (600_000, 300_000, 0, 599_998)
+    assert time.perf_counter() - start < 20  # some seconds; by counting from the start it would be an hour

@@ -127,7 +127,8 @@ def test_files_are_in_order_and_give_all_ids_back(spark, tmp_path):
     packed.write(cases.documents(spark), f"file://{tmp_path}/a", PLAIN, 0)
     segments = spark.read.schema(packed.SEGMENT).parquet(f"file://{tmp_path}/a")
     at, expected = 0, []
-    for i, t, *_ in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())):
+    by = {r.text: r.h for r in cases.documents(spark).selectExpr("text", "xxhash64(text) h").collect()}
+    for i, t, *_ in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, by[x[1]])):
         ids = [*held.encode([t or ""])[0], 0]
         expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         at += len(ids)
@@ -142,3 +143,21 @@ def test_pieces_cover_a_text():
     for text in ("", " ", "a b", "a  b", "a\n b", " a", "a ", "a b c"):
         assert " ".join(tokens._pieces(text)) == text
         assert re.sub(r"\s", "", text) == re.sub(r"\s", "", "".join(tokens._pieces(text)))
+
+
+def test_rows_of_one_id_go_to_several_tasks(spark, tmp_path):
+    """Half of the rows have no id and one text, many others one id: no task has them all, order holds."""
+    data = [(None, "the same text", "en", "s", 0)] * 400 + [(7, f"text {i}", "en", "s", 0) for i in range(200)]
+    data += [(i, "x", "en", "s", 0) for i in range(20, 120)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed.write(cases.documents(spark, data).repartition(4), f"file://{tmp_path}/a", PLAIN, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    segments = spark.read.schema(packed.SEGMENT).parquet(f"file://{tmp_path}/a")
+    ids = {r.shard: list(r.doc_ids) for r in segments.collect()}
+    assert sum(None in x for x in ids.values()) > 1 and max(x.count(None) for x in ids.values()) < 400
+    found = sorted(map(tuple, packed.index(segments).collect()), key=lambda x: x[1])
+    assert [x[0] for x in found] == sorted((d[0] for d in data), key=lambda i: (i is not None, i))
+    ends = [x[1] + x[2] for x in found]
+    assert [x[1] for x in found] == [0, *ends[:-1]]
