@@ -16,7 +16,7 @@ from postmill.functions import urls
 from postmill.functions.dom import Outline, plain_text
 from postmill.functions.text import has_any, let, non_empty, squash, strip, text
 from postmill.operators.dedup import dedup_first
-from postmill.operators.links import alert_links, anchor_lists, anchors, resolve_links
+from postmill.operators.links import alert_links, anchor_lists, anchors, block_text, resolve_links
 from postmill.sources.files import message_headers
 
 
@@ -522,27 +522,31 @@ def page_apply_links(
     none of its own."""
     lists = anchor_lists(pages, keys, context=True)
     full = urls.resolve_sql("url", "a.href")
-    linked = lists.select(*keys, F.expr(f"""filter(transform(anchors, a -> named_struct(
-        'href', a.href, 'words', lower(a.text), 'about', coalesce(a.context, ''), 'full', {full})),
+    linked = lists.select(*keys, "spaced", F.expr(f"""filter(transform(anchors, a -> named_struct(
+        'href', a.href, 'says', a.says, 'block', a.block, 'full', {full})),
         a -> a.href <> '' and a.full is not null)""").alias("links"))
     usable = lambda a: ~a["href"].startswith("#") & ~a["href"].contains("javascript:")
 
     def hosted(a: Column) -> Column:
         url = F.regexp_extract(a["full"], "(?i)" + fixed.HOSTED_LINK_PATTERN, 0)
-        about = shortened(a["about"], chars)
-        kept = F.when(F.length(about) > shortest, about).otherwise(F.lit(""))
-        return F.struct(F.when(usable(a), url).otherwise(F.lit("")).alias("job_url"), kept.alias("job_description"))
+        size = a["block"]["chars"] if chars is None else F.least(a["block"]["chars"], F.lit(chars))
+        return F.struct(
+            F.when(usable(a), url).otherwise(F.lit("")).alias("job_url"),
+            F.when(size > shortest, a["block"]).alias("block"),
+        )
 
     of_hosts = F.filter(F.transform("links", hosted), lambda p: p["job_url"] != "")
     speaking = F.transform(
-        F.filter("links", lambda a: ~a["href"].contains(fixed.AGGREGATOR_HOST) & has_any(a["words"], fixed.APPLY_PHRASES)),
-        lambda a: F.struct(a["full"].alias("job_url"), shortened(a["about"], chars).alias("job_description")),
+        F.filter("links", lambda a: ~a["href"].contains(fixed.AGGREGATOR_HOST) & F.array_contains(a["says"], "apply")),
+        lambda a: F.struct(a["full"].alias("job_url"), a["block"].alias("block")),
     )
-    both = linked.select(*keys, F.explode(F.array(F.struct(of_hosts.alias("h"), speaking.alias("s")))).alias("c"))
-    chosen = both.select(*keys, F.when(F.size("c.h") > 0, F.col("c.h")).otherwise(F.col("c.s")).alias("c"))
-    chosen = chosen.select(*keys, "c", F.transform("c", lambda p: p["job_url"]).alias("all"))
+    both = linked.select(*keys, "spaced", F.explode(F.array(F.struct(of_hosts.alias("h"), speaking.alias("s")))).alias("c"))
+    chosen = both.select(*keys, "spaced", F.when(F.size("c.h") > 0, F.col("c.h")).otherwise(F.col("c.s")).alias("c"))
+    chosen = chosen.select(*keys, "spaced", "c", F.transform("c", lambda p: p["job_url"]).alias("all"))
     firsts = F.filter("c", lambda p, i: F.array_position("all", p["job_url"]) == i + 1)
-    return chosen.select(*keys, F.posexplode(firsts).alias("pos", "p")).select(*keys, "pos", "p.*")
+    rows = chosen.select(*keys, "spaced", F.posexplode(firsts).alias("pos", "p"))
+    about = shortened(text(block_text(F.col("p.block"))), chars)
+    return rows.select(*keys, "pos", "p.job_url", about.alias("job_description"))
 
 
 def apply_buttons(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import html as _html
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +15,8 @@ from pyspark.sql import types as T
 
 from postmill import fixed
 from postmill.functions import urls
-from postmill.functions.dom import Outline
-from postmill.functions.text import has_any, matches_any, strip, text
+from postmill.functions.dom import Element, Outline
+from postmill.functions.text import matches_any, strip, text
 
 # comments and scripts may hold markup that is not a link
 _NOT_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
@@ -56,65 +59,134 @@ def hrefs(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-ANCHOR = "STRUCT<pos: INT, href: STRING, text: STRING, context: STRING>"
+#: What the text of an anchor may speak of: phrases in it, or all of it (in lower case).
+SPEAKS_OF = {
+    "roles": (fixed.OPEN_ROLES_PHRASES, []),
+    "careers": (fixed.CAREERS_PHRASES, fixed.CAREERS_EXACT_TEXTS),
+    "apply": (fixed.APPLY_PHRASES, []),
+}
+ANCHOR = ("STRUCT<pos: INT, href: STRING, first: INT, size: INT, says: ARRAY<STRING>, "
+          "block: STRUCT<first: INT, size: INT, chars: INT>>")
+
+
+class _Shown:
+    """The shown text of a page once, and where each of its pieces is in it."""
+
+    def __init__(self, outline: Outline):
+        texts = ["" if hidden else t.strip() for t, hidden in outline.pieces]
+        raw = [t.encode() for t in texts]
+        self.glued, self.spaced = b"".join(raw), b" ".join(r for r in raw if r)
+        lowered = [t.lower() for t in texts]
+        self.lowered = "".join(lowered)
+        # bytes, characters and lower-case characters before each piece; bytes and characters with spaces
+        self.bytes, self.low = self._before(map(len, raw)), self._before(map(len, lowered))
+        self.bytes_spaced = self._before(len(r) + 1 if r else 0 for r in raw)
+        self.chars_spaced = self._before(len(t) + 1 if t else 0 for t in texts)
+        self.hits = {name: self._hits(phrases) for name, (phrases, _) in SPEAKS_OF.items()}
+
+    @staticmethod
+    def _before(sizes) -> list[int]:
+        return [0, *accumulate(sizes)]
+
+    def _hits(self, phrases: list[str]) -> tuple[list[int], list[int]]:
+        """Starts of phrases in order, and for each the least end of those that start there or later."""
+        found = sorted((m.start(), m.start() + len(p)) for p in phrases for m in re.finditer(f"(?={re.escape(p)})", self.lowered))
+        ends = list(accumulate((e for _, e in reversed(found)), min))
+        return [b for b, _ in found], ends[::-1]
+
+    def says(self, first: int, last: int) -> list[str]:
+        low, high = self.low[first], self.low[last]
+        out = []
+        for name, (starts, ends) in self.hits.items():
+            at = bisect_left(starts, low)
+            exact = SPEAKS_OF[name][1]
+            if (at < len(ends) and ends[at] <= high) or (
+                exact and high - low <= max(map(len, exact)) and self.lowered[low:high] in exact
+            ):
+                out.append(name)
+        return out
+
+    def anchor(self, element: Element) -> dict:
+        first, last = element.first, len(self.bytes) - 1 if element.last is None else element.last
+        begin = self.bytes[first]
+        return {"first": begin, "size": self.bytes[last] - begin, "says": self.says(first, last)}
+
+    def block(self, element: Element) -> dict:
+        first, last = element.first, len(self.bytes) - 1 if element.last is None else element.last
+        begin, size = self.bytes_spaced[first], self.bytes_spaced[last] - self.bytes_spaced[first]
+        chars = self.chars_spaced[last] - self.chars_spaced[first]
+        return {"first": begin, "size": max(0, size - 1), "chars": max(0, chars - 1)}
 
 
 def anchor_lists(pages: DataFrame, keys: list[str], context: bool = False) -> DataFrame:
-    """One row per page: keys and `anchors`, every `<a href>` in document order.
-
-    With `context`, an anchor also has the text of its nearest enclosing block. A page that
-    cannot be parsed has no anchors and the kind of its error in `error`, else null. Filter
-    pages first: nothing is pushed through this job. It keeps a page's links in its row, so that per-page work after it
-    is array functions and needs no shuffle."""
+    """One row per page: keys, `anchors`, every `<a href>` in document order, and the page's shown text.
+
+    An anchor has no text of its own but its place in `glued` (see `anchor_text`), and what SPEAKS_OF
+    that is in it; with `context`, also the place of its nearest enclosing block in `spaced` (see
+    `block_text`). So a row grows with the page, however deep unclosed anchors nest and however many
+    links share a block. A page that cannot be parsed has no anchors and the kind of its error in
+    `error`, else null. Filter pages first: nothing is pushed through this job. It keeps a page's links
+    in its row, so that per-page work after it is array functions and needs no shuffle."""
     names = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
     blocks = frozenset(fixed.CONTEXT_TAGS)
 
-    def page_anchors(html: str | None) -> tuple[list[dict], str | None]:
+    def page_anchors(html: str | None) -> tuple:
         try:
-            return read(html), None
+            return *read(html), None
         except Exception as broken:  # one bad page must not end the job
-            return [], type(broken).__name__
-
-    def read(html: str | None) -> list[dict]:
-        outline, texts = Outline(html or ""), {}
-
-        def around(a):
-            block = a.parent
-            while block is not None and block.tag not in blocks:
-                block = block.parent
-            if block is None:
-                return None
-            if id(block) not in texts:
-                texts[id(block)] = outline.text(block)
-            return texts[id(block)]
-
-        links = (e for e in outline.elements if e.tag == "a" and "href" in e.attrs)
-        return [
-            {
-                "pos": pos,
-                "href": a.attrs["href"].strip(),
-                "text": outline.text(a, ""),
-                "context": around(a) if context else None,
-            }
+            return [], b"", b"", type(broken).__name__
+
+    def read(html: str | None) -> tuple[list[dict], bytes, bytes]:
+        outline = Outline(html or "")
+        links = [e for e in outline.elements if e.tag == "a" and "href" in e.attrs]
+        shown, around = _Shown(outline), {}
+        if context:  # elements come parents first
+            for e in outline.elements:
+                above = None if e.parent is None else around[id(e.parent)]
+                around[id(e)] = e if e.tag in blocks else above
+
+        def block(a: Element) -> dict | None:
+            found = None if not context or a.parent is None else around[id(a.parent)]
+            return None if found is None else shown.block(found)
+
+        made = [
+            {"pos": pos, "href": a.attrs["href"].strip(), **shown.anchor(a), "block": block(a)}
             for pos, a in enumerate(links)
         ]
+        return made, shown.glued, shown.spaced if context else b""
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 64):  # bounded output per Arrow batch
                 part = batch.iloc[start : start + 64]
-                both = [page_anchors(h) for h in part["html"]]
-                yield part[keys].assign(anchors=[a for a, _ in both], error=[e for _, e in both])
+                made = zip(*map(page_anchors, part["html"]), strict=True)
+                yield part[keys].assign(**dict(zip(("anchors", "glued", "spaced", "error"), map(list, made), strict=True)))
 
     return pages.select(*keys, "html").mapInPandas(
-        job, f"{names}, anchors ARRAY<{ANCHOR}>, error STRING"
+        job, f"{names}, anchors ARRAY<{ANCHOR}>, glued BINARY, spaced BINARY, error STRING"
     )
 
 
+def _slice(text: Column | str, first: Column, size: Column) -> Column:
+    return F.substring(text, first + 1, size).cast("string")
+
+
+def anchor_text(anchor: Column, glued: Column | str = "glued") -> Column:
+    """The text of an anchor: a slice of its page's text."""
+    return _slice(glued, anchor["first"], anchor["size"])
+
+
+def block_text(block: Column, spaced: Column | str = "spaced") -> Column:
+    """The text of the block around an anchor (null without one): a slice of its page's text."""
+    return _slice(spaced, block["first"], block["size"])
+
+
 def anchors(pages: DataFrame, keys: list[str], context: bool = False) -> DataFrame:
-    """One row per `<a href>`: keys, pos, href, text (and context)."""
-    rows = anchor_lists(pages, keys, context).select(*keys, F.inline("anchors"))
-    return rows if context else rows.drop("context")
+    """One row per `<a href>`: keys, pos, href, text (and context). Texts are cut out row by row."""
+    a = F.col("a")
+    rows = anchor_lists(pages, keys, context).select(*keys, "glued", "spaced", F.explode("anchors").alias("a"))
+    about = [block_text(a["block"]).alias("context")] if context else []
+    return rows.select(*keys, "a.pos", "a.href", anchor_text(a).alias("text"), *about)
 
 
 def is_followable(href: Column | str) -> Column:
@@ -229,7 +301,7 @@ def resolve_lists(lists: DataFrame, base: str = "url") -> DataFrame:
     return lists.withColumn(
         "anchors",
         F.expr(f"""transform(anchors, a -> named_struct(
-            'pos', a.pos, 'href', a.href, 'words', lower(a.text), 'full', {full}))"""),
+            'pos', a.pos, 'href', a.href, 'says', a.says, 'full', {full}))"""),
     )
 
 
@@ -246,7 +318,7 @@ def open_roles_anchor(anchor_list: Column | str) -> Column:
     """The first http(s) anchor whose text speaks of open roles; null if none."""
     fits = lambda a: (
         is_followable(a["href"])
-        & has_any(a["words"], fixed.OPEN_ROLES_PHRASES)
+        & F.array_contains(a["says"], "roles")
         & urls.is_web(a["full"])
     )
     return F.get(F.filter(anchor_list, fits), F.lit(0))
@@ -260,8 +332,7 @@ def careers_anchor(anchor_list: Column | str) -> Column:
         & urls.is_web(a["full"])
         & (
             matches_any(F.lower(urls.path(a["full"])), fixed.CAREERS_PATH_PATTERNS)
-            | a["words"].isin(fixed.CAREERS_EXACT_TEXTS)
-            | has_any(a["words"], fixed.CAREERS_PHRASES)
+            | F.array_contains(a["says"], "careers")
         )
     )
     return F.get(F.filter(anchor_list, fits), F.lit(0))

@@ -95,6 +95,34 @@ def test_anchors_and_hrefs(spark):
     assert [r.href for r in quick] == [r.href for r in exact]
 
 
+def test_anchor_lists_grow_with_the_page(spark):
+    """Unclosed anchors, and very many links in one block: a row holds the page's text once."""
+    def size(html, context=False):
+        page = spark.createDataFrame([(1, html)], "id int, html string")
+        row = L.anchor_lists(page, ["id"], context).collect()[0]
+        return len(str(row.anchors)) + len(row.glued) + len(row.spaced)
+
+    unclosed = lambda n: "".join(f'<a href="/{i}">some words here {i} ' for i in range(n))
+    block = lambda n: "<div>" + "".join(f'<a href="/{i}">some words here {i}</a> ' for i in range(n)) + "</div>"
+    for make, context in ((unclosed, False), (unclosed, True), (block, True)):
+        assert size(make(8000), context) < 9 * size(make(1000), context)
+    page = spark.createDataFrame([(1, unclosed(300)), (2, block(50)), (3, "<div>é <a href=x>日本 <b>ü</b></a> ä</div>")], "id int, html string")
+    got = {(r.id, r.pos): (r.text, r.context) for r in L.anchors(page, ["id"], context=True).collect()}
+    words = [f"some words here {i}" for i in range(300)]
+    assert all(got[1, i] == ("".join(words[i:]), None) for i in (0, 7, 299))
+    assert all(got[2, i] == (words[i], " ".join(words[:50])) for i in (0, 49))
+    assert got[3, 0] == ("日本ü", "é 日本 ü ä")
+
+
+def test_what_anchors_speak_of(spark):
+    texts = ["Open Roles", "open <b>roles</b>", "Apply", "re-apply", "CAREERS", "career", "Job", "x jobs x", "", "ap", "ply"]
+    html = "<p>apply</p>" + "".join(f'<a href="/{i}">{t}</a>' for i, t in enumerate(texts)) + "<p>careers</p>"
+    (row,) = L.anchor_lists(spark.createDataFrame([(1, html)], "id int, html string"), ["id"]).collect()
+    for a, shown in zip(row.anchors, texts, strict=True):
+        plain = shown.replace(" <b>", "").replace("</b>", "").lower()
+        assert set(a.says) == {k for k, (part, whole) in L.SPEAKS_OF.items() if any(p in plain for p in part) or plain in whole}
+
+
 def test_listing_links(spark):
     pages = spark.createDataFrame(
         [(1, "https://h.io/d/", PAGE), (2, "https://h.io", "<p>none</p>")],
