@@ -161,13 +161,15 @@ def pruned_rows(spark, sf):
 @query(f"""WITH {EVENT_TABLE}, i AS (SELECT *, trim(agent_bucket) <> '' AS scored FROM ev)
 SELECT 'state_undefined' AS rule, true AS must_be_zero, count(*) AS n FROM i WHERE fetch_status = ''
 UNION ALL SELECT 'attempts_out_of_range', true, count(*) FROM i WHERE fetch_attempts = '4'
-UNION ALL SELECT 'duplicate_key', true, count(*) - count(DISTINCT company) FROM i
+UNION ALL SELECT 'duplicate_key', true, count(*) - count(DISTINCT company || CASE source WHEN 'signup' THEN '/' ELSE '' END) FROM i
+UNION ALL SELECT 'duplicate_form', true, count(DISTINCT company || CASE source WHEN 'signup' THEN '/' ELSE '' END) - count(DISTINCT company) FROM i
 UNION ALL SELECT 'fetched_unscored', false, count(*) FROM i WHERE fetch_status = 'fetched' AND NOT scored
 UNION ALL SELECT 'scored_not_fetched', false, count(*) FROM i WHERE fetch_status <> 'fetched' AND scored
 UNION ALL SELECT 'fetched_empty', false, count(*) FROM i WHERE fetch_status = 'fetched' AND role_title = ''""")
 def invariants(spark, sf):
-    """Keyed by company here, so that there are repeated keys to count."""
-    return LC.check_invariants(event_table(spark, sf).withColumn("job_url", F.col("company")))
+    """Keyed by company here, with and without a slash, so that there are repeated keys and forms to count."""
+    slash = F.when(F.col("source") == "signup", "/").otherwise("")
+    return LC.check_invariants(event_table(spark, sf).withColumn("job_url", F.concat("company", slash)))
 
 
 _PHRASES = ["the the", "edea", "einer d"]

@@ -192,3 +192,17 @@ def union_sources(spark, sf):
         pick("supplier", "s_suppkey", F.col("s_name").alias("company")),
         pick("part", "p_partkey"),
     )
+
+
+@query(f"""WITH f AS (SELECT 'https://www.linkedin.com' || CASE WHEN event_type = 'signup' THEN '/comm' ELSE '' END
+    || '/jobs/view/' || user_id || CASE WHEN event_type = 'click' THEN '/' ELSE '' END AS url, event_id, user_id FROM events)
+SELECT arg_min(url, event_id) AS job_url, min(event_id) AS seq, 'pending' AS fetch_status FROM f GROUP BY user_id""")
+def insert_forms(spark, sf):
+    """Arrivals under several forms of one address: one row each, under the form that came first."""
+    url = F.concat(
+        F.lit("https://www.linkedin.com"), by_type(signup="/comm"), F.lit("/jobs/view/"),
+        F.col("user_id").cast("string"), by_type(click="/"),
+    )
+    rows = load(spark, sf, "events").select(F.col("event_id").alias("seq"), url.alias("url"), F.lit("c").alias("company"))
+    table = filled(event_table(spark, sf).limit(0), fixed.BOARD_COLUMNS)
+    return U.insert_new(table, rows, "companies", NOW).select("job_url", "seq", "fetch_status")

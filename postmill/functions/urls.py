@@ -97,6 +97,11 @@ def slash_twin(url: Column | str) -> Column:
     )
 
 
+def key_form(url: Column | str) -> Column:
+    """One form for all under which a posting may be stored: no tracking path, no trailing slashes."""
+    return drop_trailing_slashes(drop_tracking(strip(text(url))))
+
+
 def match_list(url: Column | str) -> Column:
     """Array of the forms a stored key may have, best first, no repeats."""
     u = strip(text(url))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.functions.text import strip, text
-from postmill.functions.urls import slash_twin
+from postmill.functions.urls import key_form, slash_twin
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,6 +26,12 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+def one_form(rows: DataFrame, order: list[str], key: str = "url") -> DataFrame:
+    """The earliest row of all whose keys are forms of one address (slashes, tracking path)."""
+    formed = rows.withColumn("__form", key_form(key))
+    return dedup_first(formed, ["__form"], [*order, key]).drop("__form")
+
+
 def known_keys(table: DataFrame, key: str = "job_url", also: list[str] | None = None) -> DataFrame:
     """Every form (trimmed key and slash twin) under which a row can be found: key, row_seq, and the
     columns `also`."""

@@ -229,7 +229,9 @@ def prune(table: DataFrame) -> DataFrame:
 
 
 def check_invariants(table: DataFrame) -> DataFrame:
-    """rule, must_be_zero, n. The last three rules are for information only."""
+    """rule, must_be_zero, n. duplicate_key counts rows beyond the first of an address, duplicate_form
+    addresses beyond the first that are forms of one posting (`a`, `a/`). Rules on fetched and scored rows
+    are for information only."""
     attempts = strip(text("fetch_attempts")).try_cast("bigint")
     status, bucket = text("fetch_status"), strip(text("agent_bucket"))
     rules = {
@@ -245,11 +247,13 @@ def check_invariants(table: DataFrame) -> DataFrame:
     counts = table.agg(*[F.count_if(r).alias(name) for name, r in rules.items()])
     names = ", ".join(f"'{n}', {n}" for n in rules)
     row_rules = counts.selectExpr(f"stack({len(rules)}, {names}) as (rule, n)")
-    keys = table.select(strip(text("job_url")).alias("k")).groupBy("k").count()
-    repeats = keys.agg(
-        F.coalesce(F.sum(F.when(F.col("k") != "", F.col("count") - 1)), F.lit(0)).alias("n")
-    ).select(F.lit("duplicate_key").alias("rule"), "n")
-    strict = ["state_undefined", "attempts_out_of_range", "duplicate_key"]
+    keys = table.select(strip(text("job_url")).alias("k")).filter("k <> ''").groupBy("k").count()
+    forms = keys.groupBy(urls.key_form("k")).agg(F.sum(F.col("count") - 1).alias("same"), (F.count(F.lit(1)) - 1).alias("alike"))
+    none = F.lit(0).cast("bigint")
+    repeats = forms.agg(F.coalesce(F.sum("same"), none).alias("same"), F.coalesce(F.sum("alike"), none).alias("alike")).selectExpr(
+        "stack(2, 'duplicate_key', same, 'duplicate_form', alike) as (rule, n)"
+    )
+    strict = ["state_undefined", "attempts_out_of_range", "duplicate_key", "duplicate_form"]
     return row_rules.unionByName(repeats).select(
         "rule", F.col("rule").isin(strict).alias("must_be_zero"), "n"
     )

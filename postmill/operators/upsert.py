@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from postmill import fixed
 from postmill.functions.text import strip, text
-from postmill.operators.dedup import dedup_first, key_index, known_keys
+from postmill.functions.urls import key_form
+from postmill.operators.dedup import dedup_first, key_index, known_keys, one_form
 from postmill.operators.links import match_variants
 from postmill.sources.tables import append, text_columns
 
@@ -58,12 +59,13 @@ def _presets(now: Column) -> dict[str, dict[str, Column]]:
 
 
 def new_rows(table: DataFrame, rows: DataFrame, preset: str, now: str) -> DataFrame:
-    """Arrivals (url, seq, preset fields) the table does not know, as table rows."""
+    """Arrivals (url, seq, preset fields) the table does not know, as table rows; of those that are forms
+    of one address the first."""
     arrivals = dedup_first(
         rows.withColumn("url", strip(text("url"))).filter("url <> ''"), ["url"], ["seq"]
     )
     keys = known_keys(table).select(F.col("key").alias("url"))
-    fresh = arrivals.join(keys, "url", "left_anti")
+    fresh = one_form(arrivals.join(keys, "url", "left_anti"), ["seq"])
     values = _presets(F.lit(now))[preset] | {"job_url": F.col("url")}
     return fresh.select("seq", *[text(v).alias(c) for c, v in values.items()])
 
@@ -83,7 +85,7 @@ def matched(table: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 
 def upsert_touch(table: DataFrame, arrivals: DataFrame, source: str, now: str) -> DataFrame:
-    """Known url -> only `last_seen_at` moves; unknown -> a full pending row."""
+    """Known url -> only `last_seen_at` moves; unknown -> a full pending row, one for all its forms."""
     return touch(table, matched(table, arrivals), source, now)
 
 
@@ -106,15 +108,19 @@ def touch(table: DataFrame, found: DataFrame, source: str, now: str) -> DataFram
         "last_seen_at",
         F.when(F.col("row_seq").isNotNull(), F.lit(now)).otherwise(F.col("last_seen_at")),
     )
-    fresh = found.filter("row_seq is null").select("seq", *pending_row(source, now))
+    fresh = one_form(found.filter("row_seq is null"), ["seq"]).select("seq", *pending_row(source, now))
     return append(seen.select(*table.columns), fresh)
 
 
 def upsert_report(table: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """One row: existing, new, rows_before, rows_after for the arrivals."""
-    sides = matched(table, arrivals).select(
-        F.col("row_seq").isNotNull().cast("bigint").alias("existing"),
-        F.col("row_seq").isNull().cast("bigint").alias("new"),
+    """One row: existing (addresses), new, rows_before, rows_after for the arrivals."""
+    # a known address counts by itself, all forms of a new one together
+    found = matched(table, arrivals)
+    known = F.col("row_seq").isNotNull()
+    named = F.when(known, F.col("url")).otherwise(key_form("url"))
+    sides = found.groupBy(known.alias("known"), named.alias("named")).agg(F.count(F.lit(1))).select(
+        F.col("known").cast("bigint").alias("existing"),
+        (~F.col("known")).cast("bigint").alias("new"),
         F.lit(0).cast("bigint").alias("rows_before"),
     ).unionByName(
         table.select(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.operators.dedup import dedup_first, known_keys
+from postmill.functions.text import strip, text
+from postmill.operators.dedup import dedup_first, known_keys, one_form
 from postmill.operators.sequence import dense_index
 from postmill.operators.upsert import new_rows, pending_row
-from postmill.functions.text import strip, text
 from postmill.session import settle
 from postmill.sources.changes import heads, rows_at
 from postmill.sources.tables import align
@@ -41,7 +41,7 @@ def touches(rows: DataFrame, arrivals: DataFrame, columns: list[str], source: st
     touched = rows_at(rows, settle(hit)).withColumn("last_seen_at", F.lit(now)).select(
         "seq", *columns, (F.col("version") + 1).alias("version"), F.lit(False).alias("gone")
     )
-    fresh = matched.filter("known is null").select("seq", *pending_row(source, now))
+    fresh = one_form(matched.filter("known is null"), ["seq"]).select("seq", *pending_row(source, now))
     return touched.unionByName(_numbered(fresh, rows, columns))
 
 

@@ -109,16 +109,16 @@ def test_reset_repair_prune_invariants(spark):
         {"job_url": "https://l/comm/jobs/view/1", "fetch_status": "failed", "fetch_attempts": "3",
          "company": "c", "agent_bucket": "monitor", "source": "s"},
         {"job_url": "u", "fetch_status": "fetched", "fetch_attempts": "2", "agent_bucket": " REJECT "},
-        {"job_url": "u ", "fetch_status": "bad", "fetch_attempts": "9"})
+        {"job_url": "u ", "fetch_status": "bad", "fetch_attempts": "9"}, {"job_url": "u/", "fetch_status": "pending"})
     repaired = LC.repair_urls(t).orderBy("seq").collect()[0]
     assert (repaired.job_url, repaired.fetch_status, repaired.fetch_attempts, repaired.company,
             repaired.agent_bucket, repaired.source) == ("https://l/jobs/view/1", "pending", "0", "", "", "s")
     reset = LC.reset_fetched(t).orderBy("seq").collect()[1]
     assert (reset.fetch_status, reset.fetch_attempts, reset.agent_bucket) == ("pending", "0", " REJECT ")
-    assert [r.seq for r in LC.prune(t).orderBy("seq").collect()] == [0, 2]
-    assert LC.prune(t.drop("agent_bucket")).count() == 3
+    assert [r.seq for r in LC.prune(t).orderBy("seq").collect()] == [0, 2, 3]
+    assert LC.prune(t.drop("agent_bucket")).count() == 4
     counts = {r.rule: r.n for r in LC.check_invariants(t).collect()}
-    assert counts == {"state_undefined": 1, "attempts_out_of_range": 1, "duplicate_key": 1,
+    assert counts == {"state_undefined": 1, "attempts_out_of_range": 2, "duplicate_key": 1, "duplicate_form": 1,
                       "fetched_unscored": 0, "scored_not_fetched": 1, "fetched_empty": 1}
 
 

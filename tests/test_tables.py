@@ -11,6 +11,7 @@ from postmill.operators import upsert as U
 from postmill.operators.dedup import dedup_first, key_index
 from postmill.operators.sequence import contiguous_ranges, dense_index
 from postmill.sources import files, tables as T
+from postmill.operators.lifecycle import check_invariants
 from postmill.sources import changes
 
 NOW = "now"
@@ -95,7 +96,7 @@ def test_insert_if_absent(spark):
     t = table(spark, fixed.BOARD_COLUMNS, {"job_url": "a/"}, {"job_url": "b//"})
     rows = board_rows(spark, "a", "b/", "b", "c", " c ", "", "c/", None)
     out = U.insert_new(t, rows, "board", NOW)
-    assert [r.job_url for r in out.orderBy("seq").collect()] == ["a/", "b//", "b/", "c", "c/"]
+    assert [r.job_url for r in out.orderBy("seq").collect()] == ["a/", "b//", "b/", "c"]
     again = U.insert_new(out, rows, "board", NOW)
     assert sorted(again.collect()) == sorted(out.collect())
     new = out.filter("job_url = 'c'").collect()[0]
@@ -123,6 +124,21 @@ def test_touch(spark):
     assert tuple(U.upsert_report(t, arrivals).collect()[0]) == (1, 1, 2, 3)
 
 
+def test_one_row_for_all_forms_of_an_address(spark):
+    at = "https://www.linkedin.com{}/jobs/view/7{}"
+    forms = [at.format("/comm", "/"), at.format("", ""), at.format("", "/"), at.format("/comm", "")]
+    urls_ = ["n/", "n", "n//", *forms, "m"]
+    t = mail(spark, {"job_url": "a/"})
+    arrivals = spark.createDataFrame([(u, i) for i, u in enumerate(urls_)], "url string, seq bigint")
+    for out in (U.upsert_touch(t, arrivals, "gmail", NOW), U.insert_new(t, arrivals.withColumn("company", F.lit("c")), "companies", NOW)):
+        assert [r.job_url for r in out.orderBy("seq").collect()] == ["a/", "n/", forms[0], "m"]
+        counts = {r.rule: r.n for r in check_invariants(out).collect()}
+        assert counts["duplicate_form"] == counts["duplicate_key"] == 0
+    assert tuple(U.upsert_report(t, arrivals).collect()[0]) == (0, 3, 1, 4)
+    known = spark.createDataFrame([("a", 0), ("a/", 1), ("b", 2), ("b/", 3)], "url string, seq bigint")
+    assert tuple(U.upsert_report(t, known).collect()[0]) == (2, 1, 1, 2)
+
+
 def test_snapshot_counts_the_previous_run_only(spark):
     runs = [("2024-01-01", "u"), ("2024-01-02", "v")]
     history = spark.createDataFrame(runs, "d string, url string").select(
