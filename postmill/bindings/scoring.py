@@ -234,6 +234,24 @@ def rule_buckets(spark, sf):
     return ruled.select("seq", "bucket", render_reasons("why").alias("reasons"))
 
 
+@query("""WITH p AS (SELECT item_id, substr(text, 11, 16) AS shown, lower(substr(text, 11, 16)) AS p FROM benchmark
+  WHERE regexp_matches(substr(text, 11, 16), '[^ ]')),
+d AS (SELECT doc_id, lower(CASE WHEN lang = 'en' THEN 'Doc ' || doc_id ELSE '' END || ' ' || text || ' ' || lang) AS w FROM documents),
+h AS (SELECT doc_id, arg_min(shown, item_id) AS shown FROM d JOIN p ON contains(w, p) GROUP BY doc_id),
+v AS (SELECT doc_id, CASE
+  WHEN contains(w, 'no longer accepting applications') OR contains(w, 'applications are closed')
+    OR contains(w, 'role is closed') THEN ['reject', 'Role is closed: no longer accepting applications']
+  WHEN shown IS NOT NULL THEN ['reject', 'pattern: ' || shown] ELSE ['monitor', 'no rule fired'] END AS x
+  FROM d LEFT JOIN h USING (doc_id))
+SELECT doc_id AS seq, x[1] AS bucket, '• ' || x[2] AS reasons FROM v""")
+def pattern_table_buckets(spark, sf):
+    """Learned patterns as a table: some characters out of each benchmark text, the first found counts."""
+    patterns = load(spark, sf, "benchmark").select(
+        F.col("item_id").alias("seq"), F.substring("text", 11, 16).alias("pattern"))
+    ruled = S.bucket_by_rules(postings(spark, sf), [], None, patterns)
+    return ruled.select("seq", "bucket", render_reasons("why").alias("reasons"))
+
+
 def labelled(spark, sf):
     """Every document with the bucket its label gives it; most have none and are monitored."""
     labels = load(spark, sf, "labels")

@@ -257,13 +257,60 @@ class Rule:
 
 
 DEFAULT_BUCKET = "monitor"
+_BLANKS = "[ \\t\\n\\r\\f\\x0B]+"
+#: Characters of the piece of a word through which a pattern is looked for.
+_GRAM = 3
+
+
+def _parts(c: Column | str) -> Column:
+    return F.array_distinct(F.filter(F.split(c, _BLANKS), lambda w: w != ""))
+
+
+def _grams(word: Column, size: int = _GRAM) -> Column:
+    """The word's pieces of `size` characters; a shorter word is one."""
+    last = F.greatest(F.length(word) - size + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(size))))
+
+
+def first_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """seq, pattern: for each of rows (seq, words in lower case) that holds some of patterns (seq, pattern)
+    anywhere in its words, in any case, the first of these.
+
+    Patterns are a table of any size: no expression is made for one. A pattern's words, but for the ends
+    of its first and last, are words of the text, so each piece of them is in a word of the text. A
+    pattern is looked for through its rarest piece, as words of all rows count: by it, it meets the words
+    that hold the piece and its own word, by these the rows, and only there the whole is compared. Words
+    shorter than a piece are met whole or by what they begin. Blank patterns are none."""
+    listed = patterns.select(F.col("seq").alias("ord"), F.col("pattern").alias("shown"), F.lower(text("pattern")).alias("p"))
+    listed = listed.groupBy("p").agg(F.min(F.struct("ord", "shown")).alias("first")).select("p", "first.*")
+    tokens = rows.select("seq", F.explode(_parts("words")).alias("token"))
+    vocabulary = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    wanted = settle(listed.select("p", "ord", "shown", F.explode(_parts("p")).alias("part")))
+    short = F.length("part") < _GRAM
+    pieces = wanted.select("p", "ord", "shown", "part", short.alias("short"), F.explode(_grams(F.col("part"))).alias("gram"))
+    held = vocabulary.select("token", "n", F.explode(_grams(F.col("token"))).alias("gram"))
+    # a short part may begin or end anywhere in a word: of words all its places count
+    brief = vocabulary.select("token", "n", F.explode(F.array_distinct(F.concat(
+        *[_grams(F.col("token"), k) for k in range(1, _GRAM)]
+    ))).alias("gram"))
+    some = wanted.filter(short).select(F.col("part").alias("gram")).distinct()
+    met = settle(held.unionByName(brief.join(some, "gram", "left_semi")).distinct().join(
+        pieces.select("gram").distinct(), "gram", "left_semi"))
+    counts = met.groupBy("gram").agg(F.sum("n").alias("n"))
+    rated = pieces.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = rated.groupBy("p").agg(F.min(F.struct("n", "short", "gram", "part")).alias("b"), F.first("ord").alias("ord"), F.first("shown").alias("shown"))
+    holds = best.select("p", "ord", "shown", "b.gram", "b.part").join(met.select("gram", "token"), "gram")
+    holds = settle(holds.filter(F.col("token").contains(F.col("part"))).select("token", "p", "ord", "shown").distinct())
+    found = tokens.join(holds, "token").select("seq", "p", "ord", "shown").distinct()
+    checked = rows.join(found, "seq").filter(F.col("words").contains(F.col("p")))
+    return checked.groupBy("seq").agg(F.min(F.struct("ord", "shown")).alias("m")).select("seq", F.col("m.shown").alias("pattern"))
 
 
 def bucket_by_rules(
     df: DataFrame,
     rules: list[Rule],
     prefs: DataFrame | None = None,
-    patterns: list[str] | None = None,
+    patterns: list[str] | DataFrame | None = None,
     phrases: list[str] = fixed.CLOSED_PHRASES,
     default: str = DEFAULT_BUCKET,
 ) -> DataFrame:
@@ -272,13 +319,24 @@ def bucket_by_rules(
     Precedence: closed, learned pattern, entity reject, category reject (unless the
     entity is an exception and the rule can be overridden), positive rule, default.
     The rules are few and become one expression; preferences (kind, value) are joined
-    on the canonical entity, one row per entity."""
+    on the canonical entity, one row per entity. Patterns are a short list, tested in turn, or a
+    table (seq, pattern) of any size, see `first_patterns`."""
     # bound once, so the text is lower-cased a single time per row
     df = df.withColumn(
         "__words",
         F.lower(F.concat_ws(" ", text("title"), text("job_description"), text("location_text"))),
     )
     words = F.col("__words")
+    if isinstance(patterns, DataFrame):
+        hits = first_patterns(df.select("seq", F.col("__words").alias("words")), patterns)
+        df = df.join(settle(hits).withColumnRenamed("pattern", "__pattern"), "seq", "left")
+    else:
+        tested = None
+        for p in patterns or []:
+            hit = words.contains(p.lower())
+            tested = F.when(hit, F.lit(p)) if tested is None else tested.when(hit, F.lit(p))
+        df = df.withColumn("__pattern", F.lit(None).cast("string") if tested is None else tested)
+    learned = F.col("__pattern")
     if prefs is None:
         df = df.withColumn("__kind", F.lit(None).cast("string"))
     else:
@@ -290,17 +348,17 @@ def bucket_by_rules(
         ).drop("__entity")
     kind = F.col("__kind")
     excepted = F.coalesce(kind == "exception", F.lit(False))
-    steps: list[tuple[Column, str, str]] = [
-        (is_closed(phrases), "reject", fixed.CLOSED_REASON)
+    steps: list[tuple[Column, str, Column | str]] = [
+        (is_closed(phrases), "reject", fixed.CLOSED_REASON),
+        (learned.isNotNull(), "reject", F.concat(F.lit("pattern: "), learned)),
     ]
-    steps += [(words.contains(p.lower()), "reject", f"pattern: {p}") for p in patterns or []]
     steps.append((F.coalesce(kind == "reject", F.lit(False)), "reject", "entity: reject"))
     for r in sorted(rules, key=lambda r: r.bucket != "reject"):
         lifted = excepted if r.overridable and r.bucket == "reject" else F.lit(False)
         steps.append((r.fires(words) & ~lifted, r.bucket, f"rule: {r.name}"))
     verdict = None
     for test, bucket, why in steps:
-        value = F.struct(F.lit(bucket).alias("bucket"), F.array(F.lit(why)).alias("why"))
+        value = F.struct(F.lit(bucket).alias("bucket"), F.array(why if isinstance(why, Column) else F.lit(why)).alias("why"))
         verdict = F.when(test, value) if verdict is None else verdict.when(test, value)
     verdict = verdict.otherwise(
         F.struct(F.lit(default).alias("bucket"), F.array(F.lit("no rule fired")).alias("why"))
@@ -308,5 +366,5 @@ def bucket_by_rules(
     return (
         df.withColumn("__v", verdict)
         .withColumns({"bucket": F.col("__v.bucket"), "why": F.col("__v.why")})
-        .drop("__v", "__words", "__kind")
+        .drop("__v", "__words", "__kind", "__pattern")
     )

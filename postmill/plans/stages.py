@@ -31,7 +31,7 @@ class Scorer:
     fn: ScoreFn | None = None
     rules: list[Rule] | None = None
     prefs: DataFrame | None = None
-    patterns: list[str] | None = None
+    patterns: list[str] | DataFrame | None = None
     owner: str = "me"
 
     def preferences(self) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -114,6 +115,47 @@ def test_rules_precedence(spark):
         ("monitor", "no rule fired")]
 
 
+def test_patterns_as_a_table(spark):
+    """Against plain containment: parts of words, short ones, several blanks, other cases, blank ones, repeats."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdé+") for _ in range(r.choice([1, 2, 3, 5, 9]))) for _ in range(60)]
+    texts = [r.choice([" ", "  ", "\n"]).join(r.choices(words, k=r.randrange(0, 30))) for _ in range(150)]
+    texts += ["", None, "the hot text " * 5, "Senior Staff\tEngineer (m/f)"] + ["same words here"] * 40
+    cut = lambda t: t[(a := r.randrange(len(t))) : a + r.randrange(1, 25)]
+    patterns = [cut(r.choice([t for t in texts if t])).upper() for _ in range(120)] + ["", "  ", "a", "É", "zz", "hot text THE", "f) ", None]
+    patterns += patterns[:5]
+    r.shuffle(patterns)
+    rows = spark.createDataFrame([(i, (t or "").lower()) for i, t in enumerate(texts)], "seq bigint, words string")
+    table = spark.createDataFrame(list(enumerate(patterns)), "seq bigint, pattern string")
+    first = lambda t: next((p for p in patterns if p and p.strip() and p.lower() in (t or "").lower()), None)
+    got = {x.seq: x.pattern for x in S.first_patterns(rows, table).collect()}
+    assert got == {i: first(t) for i, t in enumerate(texts) if first(t) is not None} and len(got) > 100
+    df = rows.select("seq", F.lit("t").alias("title"), F.lit("c").alias("company"), F.lit("").alias("location_text"), F.col("words").alias("job_description"))
+    kept = [p for p in patterns if p and p.strip() and not p.startswith((" ", "\n"))]
+    one = S.bucket_by_rules(df, [], None, spark.createDataFrame(list(enumerate(kept)), "seq bigint, pattern string"))
+    assert sorted(one.select("seq", "bucket", "why").collect()) == sorted(S.bucket_by_rules(df, [], None, kept).select("seq", "bucket", "why").collect())
+
+
+def test_many_patterns_make_no_longer_plan(spark):
+    words = [f"word{i}" for i in range(5000)]
+    r = random.Random(2)
+    many = [f"{r.choice(words)} {r.choice(words)} engineer" for _ in range(100_000)]
+    texts = [" ".join(r.choices(words, k=40)) + f" {r.choice(many)} more" for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq bigint, words string")
+    plans = []
+    for some in (many[:10], many):
+        table = spark.createDataFrame(pd.DataFrame({"seq": range(len(some)), "pattern": some}))
+        found = S.first_patterns(rows, table)
+        plans.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert plans[1] < 1.1 * plans[0]
+    got = {x.seq: x.pattern for x in found.collect()}
+    place = {p: i for i, p in reversed(list(enumerate(many)))}
+    ends = {t.rsplit(" ", 4)[1:4] and " ".join(t.split()[-4:-1]) for t in texts}
+    for i, t in enumerate(texts):  # the planted one, or an earlier one that is there too
+        planted = " ".join(t.split()[-4:-1])
+        assert got[i] in t and place[got[i]] <= place[planted] and planted in ends
+
+
 def test_digest_lists(spark):
     scored = spark.createDataFrame(
         [(i, f"u{i}", "reject" if i % 3 else "monitor", ["w"]) for i in range(9)],
