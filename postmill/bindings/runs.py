@@ -132,6 +132,24 @@ SELECT 'https://www.linkedin.com/jobs/view/' || word AS job_url, '1' AS fetch_at
   CASE WHEN late THEN '' ELSE word END AS role_title, CASE WHEN late THEN '' ELSE 'Acme' END AS company,
   CASE WHEN late THEN '' WHEN contains(word, 'th') THEN 'reject' ELSE 'monitor' END AS agent_bucket FROM u""")
 def mail_intake(spark, sf):
+    return _mail(spark, sf, None)
+
+
+_MESSAGES = 5
+
+
+@query(f"""WITH {PAGE_WORDS}, u AS (SELECT DISTINCT word, regexp_matches(word, '^[A-Z]') AS late FROM w
+  WHERE page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT {_MESSAGES}))
+SELECT 'https://www.linkedin.com/jobs/view/' || word AS job_url, '1' AS fetch_attempts,
+  CASE WHEN late THEN 'timeout' ELSE 'fetched' END AS fetch_status,
+  CASE WHEN late THEN '' ELSE word END AS role_title, CASE WHEN late THEN '' ELSE 'Acme' END AS company,
+  CASE WHEN late THEN '' WHEN contains(word, 'th') THEN 'reject' ELSE 'monitor' END AS agent_bucket FROM u""")
+def mail_capped(spark, sf):
+    """A run that takes the first messages of the list only: the source's own cap."""
+    return _mail(spark, sf, _MESSAGES)
+
+
+def _mail(spark, sf, most):
     words = hrefs(load(spark, sf, "pages"), ["page_id"]).select(
         F.ltrim("href", F.lit("/")).alias("word")
     ).distinct()
@@ -147,7 +165,7 @@ def mail_intake(spark, sf):
     mail = messages(spark, sf).withColumnRenamed("page_id", "seq")
     run = R.mail_run(
         empty(spark, fixed.MAIL_COLUMNS), mail, attempts, NOW,
-        Scorer(rules=[Rule("th", "reject", any_of=["th"])]), cap=None, max_messages=None,
+        Scorer(rules=[Rule("th", "reject", any_of=["th"])]), cap=None, max_messages=most,
     )
     return run.table.select(
         "job_url", "fetch_attempts", "fetch_status", "role_title", "company", "agent_bucket"

@@ -102,12 +102,14 @@ def board_run(
     scorer: Scorer,
     cap: int | None = None,
     run: int | None = None,
+    before: str | None = None,
 ) -> Run:
-    """Described postings go in before board links, so they win a shared address. The
-    snapshot moves after the insert: a crash repeats the delta, and the insert is idempotent."""
+    """Described postings go in before board links, so they win a shared address. Links are new
+    that the set saved last does not have, be it of the same day, or the last set before the date
+    `before`. The snapshot moves after the insert: a crash repeats the delta, and the insert is idempotent."""
     found = settle(board_links(pages))
     table = insert_stage(table, described_postings(bodies, rendered), "described", now)
-    fresh = snapshot_delta(found, latest_snapshot(snapshots, before=run_date))
+    fresh = snapshot_delta(found, latest_snapshot(snapshots, before))
     table = insert_stage(table, fresh, "board", now)
     snapshots = advance_snapshot(snapshots, found, run_date)
     table = fetch_stage(table, attempts, now, cap, run)

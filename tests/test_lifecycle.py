@@ -244,6 +244,26 @@ def test_company_run_is_idempotent(spark):
     assert sorted(r.job_url[-1] for r in again.table.collect()) == list("123456")
 
 
+def test_a_second_run_of_a_day_sees_only_what_is_new_since_the_first(spark):
+    link = lambda *n: "".join(f'<a href="https://boards.greenhouse.io/acme/jobs/{i}">x</a>' for i in n)
+    pages = lambda *n: spark.createDataFrame([(0, "https://h.io", link(*n))], "seq bigint, url string, html string")
+    bodies = spark.createDataFrame([], "seq bigint, page string, url string, body string, doc string").withColumn(
+        "doc", F.try_parse_json("doc"))
+    rendered = spark.createDataFrame([], "seq bigint, url string, html string")
+    history = spark.createDataFrame([("2026-02-01", "https://boards.greenhouse.io/acme/jobs/1")], "d string, url string").select(
+        F.col("d").cast("date").alias("run_date"), "url")
+    empty, log, day = table(spark, fixed.BOARD_COLUMNS), spark.createDataFrame([], ATTEMPT), "2026-02-05"
+    run = lambda h, *n, **k: R.board_run(empty, pages(*n), bodies, rendered, h, log, NOW, day, Scorer(rules=[]), **k)
+    numbers = lambda r: sorted(int(x.job_url.rsplit("/", 1)[1]) for x in r.table.collect())
+    first = run(history, 1, 2)
+    assert numbers(first) == [2]
+    saved = settle(first.snapshots)
+    second = run(saved, 1, 2, 3)
+    assert numbers(second) == [3]
+    assert numbers(run(saved, 1, 2, 3, before=day)) == [2, 3]  # as of the day's beginning
+    assert second.snapshots.filter(F.col("run_date") == day).count() == 3
+
+
 def test_repeated_runs_do_not_use_numbers_up(spark):
     from postmill.plans.stages import insert_stage
 
