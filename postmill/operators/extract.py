@@ -422,13 +422,20 @@ def _objects(body: str) -> Iterator[dict]:
             open_.append(iter(node))
 
 
+def _brief(value: object) -> object:
+    """What counts of a field's value: of an object its name or title, or that it has something else."""
+    if not isinstance(value, dict):
+        return value
+    return {k: value[k] for k in ("name", "title") if k in value} or ({"_": 0} if value else {})
+
+
 def _addressed(body: str | None) -> tuple[list[str] | None, str | None]:
     """(objects that may have an address, as JSON with the fields that count; what went wrong)."""
     if body is None:
         return None, None
     try:
         return [
-            json.dumps({k: o[k] for k in o.keys() & _WALKED})
+            json.dumps({k: _brief(o[k]) for k in o.keys() & _WALKED})
             for o in _objects(body) if not o.keys().isdisjoint(fixed.WALK_URL_KEYS)
         ], None
     except (ValueError, RecursionError) as broken:
