@@ -8,9 +8,11 @@ from postmill.bindings.base import (
     site_of,
 )
 from postmill.functions import urls
+from postmill.operators import history as H
 from postmill.operators import upsert as U
 from postmill.operators.dedup import key_index as build_index
 from postmill.operators.links import arrival, hrefs, resolve_links
+from postmill.session import settle
 
 
 @query("""WITH k AS (SELECT 'https://h.example.com/' || user_id || CASE WHEN event_type = 'click' THEN '/'
@@ -206,3 +208,33 @@ def insert_forms(spark, sf):
     rows = load(spark, sf, "events").select(F.col("event_id").alias("seq"), url.alias("url"), F.lit("c").alias("company"))
     table = filled(event_table(spark, sf).limit(0), fixed.BOARD_COLUMNS)
     return U.insert_new(table, rows, "companies", NOW).select("job_url", "seq", "fetch_status")
+
+
+_SEEN = """h AS (SELECT DISTINCT CAST(ts AS DATE) AS run_date, 'u/' || user_id AS url FROM events),
+r AS (SELECT *, dense_rank() OVER (ORDER BY run_date) AS n FROM h)"""
+
+
+def _history(spark, sf):
+    return load(spark, sf, "events").select(
+        F.to_date("ts").alias("run_date"), F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("url")
+    ).distinct()
+
+
+@query(f"""WITH {_SEEN}, i AS (SELECT *, n - row_number() OVER (PARTITION BY url ORDER BY n) AS island FROM r)
+SELECT url, min(run_date) AS first_run, max(run_date) AS last_run FROM i GROUP BY url, island""")
+def history_ranges(spark, sf):
+    """What was seen in which run, as ranges of runs."""
+    return H.as_ranges(_history(spark, sf)).select("url", "first_run", "last_run")
+
+
+@query(f"""WITH {_SEEN}, m AS (SELECT max(n) AS n FROM r)
+SELECT url FROM r WHERE n = (SELECT n FROM m) AND url NOT IN (SELECT url FROM r WHERE n = (SELECT n FROM m) - 1)""")
+def range_delta(spark, sf):
+    """The last run's urls that the run before did not have: the history in ranges, run after run."""
+    history = _history(spark, sf)
+    last = history.agg(F.max("run_date").cast("string")).first()[0] or "2024-01-01"
+    current = history.filter(F.col("run_date") == F.lit(last).cast("date"))
+    before = H.as_ranges(history.filter(F.col("run_date") < F.lit(last).cast("date")))
+    after = settle(H.advance_ranges(before, current, last))
+    # done again after it was saved, the delta is the same
+    return U.snapshot_delta(H.at_run(after, last), H.last_set(after, before=last))
