@@ -7,6 +7,7 @@ from postmill.bindings.base import (
     EVENT_TABLE, HOST, PAGE_WORDS, SITE, TITLE, by_type, event_table, load, query, site_of,
 )
 from postmill.functions import urls
+from postmill.functions.text import eastern_text
 from postmill.operators.dedup import dedup_first
 from postmill.operators.sequence import contiguous_ranges
 from postmill.sources import files, tables as T
@@ -197,3 +198,9 @@ def first_events(spark, sf):
     """First-wins with payload."""
     events = load(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value")
     return dedup_first(events, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') || ' EST' AS seen_at FROM events""")
+def event_times(spark, sf):
+    """When events were seen, as tables store it; all are in winter."""
+    return load(spark, sf, "events").select("event_id", eastern_text("ts").alias("seen_at"))

@@ -162,6 +162,16 @@ def upsert_report(spark, sf):
     return U.upsert_report(page_table(spark, sf, fixed.MAIL_COLUMNS), arrivals(spark, sf))
 
 
+@query(f"""WITH {_ARRIVALS}
+SELECT (SELECT count(DISTINCT job_url) FROM t) AS existing, (SELECT count(*) FROM n) AS "new",
+  (SELECT count(*) FROM t) AS rows_before, (SELECT count(*) FROM t) + (SELECT count(*) FROM n) AS rows_after""")
+def observed_upsert(spark, sf):
+    """The same report, counted while the table is written."""
+    done = U.touch_observed(page_table(spark, sf, fixed.MAIL_COLUMNS), arrivals(spark, sf), fixed.SOURCE_MAIL, NOW)
+    settle(done.table)
+    return spark.createDataFrame([done.report()], "existing bigint, new bigint, rows_before bigint, rows_after bigint")
+
+
 @query(f"""WITH {EVENT_TABLE},
 s AS (SELECT user_id AS target, event_id, event_type AS bucket FROM events),
 last AS (SELECT target, max(event_id) AS event_id, arg_max(bucket, event_id) AS bucket FROM s GROUP BY 1)

@@ -5,9 +5,10 @@ reduced to one row per key before they are joined, so a hot key never reaches a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -15,6 +16,7 @@ from postmill.functions.text import strip, text
 from postmill.functions.urls import key_form
 from postmill.operators.dedup import dedup_first, key_index, known_keys, one_form
 from postmill.operators.links import match_variants
+from postmill.session import settle
 from postmill.sources.tables import append, text_columns
 
 
@@ -135,6 +137,32 @@ def upsert_report(table: DataFrame, arrivals: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Touched:
+    """A table after an upsert, and what became of the arrivals once it has been written."""
+
+    table: DataFrame
+    found: DataFrame
+    seen: Observation
+
+    def report(self) -> dict[str, int]:
+        """existing, new, rows_before, rows_after: rows are counted as the table is written, so it is not
+        read once more; blocks until then. Arrivals are counted on their own narrow table."""
+        known = F.col("row_seq").isNotNull()
+        counts = self.found.groupBy(known.alias("k"), F.when(known, F.col("url")).otherwise(key_form("url"))).agg(
+            F.count(F.lit(1))).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
+        by = {r.k: r.n for r in counts}
+        after, new = self.seen.get["rows_after"], by.get(False, 0)
+        return {"existing": by.get(True, 0), "new": new, "rows_before": after - new, "rows_after": after}
+
+
+def touch_observed(table: DataFrame, arrivals: DataFrame, source: str, now: str) -> Touched:
+    """`upsert_touch` with the report of `upsert_report`, counted in passing."""
+    found, seen = settle(matched(table, arrivals)), Observation()
+    after = touch(table, found, source, now).observe(seen, F.count(F.lit(1)).alias("rows_after"))
+    return Touched(after, found, seen)
+
+
 def render_reasons(why: Column | str) -> Column:
     return F.array_join(
         F.transform(why, lambda r: F.concat(F.lit(fixed.REASON_BULLET), r)), "\n"

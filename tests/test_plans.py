@@ -45,9 +45,26 @@ def test_no_cross_join_and_no_single_partition_of_rows(spark, name):
 
 
 def test_html_is_never_shuffled(spark):
-    for name in ("page_fields", "page_links", "listing_links", "mail_postings", "alert_links"):
-        for line in lines(plan(QUERIES[name](spark, SF)), "Exchange"):
-            assert "html" not in line
+    for name in ("page_fields", "page_links", "listing_links", "mail_postings", "alert_links", "hosted_page_links"):
+        for names in shuffled_columns(QUERIES[name](spark, SF)):
+            assert not {"html", "glued", "spaced"} & set(names), name
+
+
+def test_company_pages_are_joined_once_a_round(spark, monkeypatch):
+    """Three rounds, each with one join of all wanted pages; none for the levels in turn."""
+    from postmill.bindings.runs import companies, company_pages
+    from postmill.operators import companies as C
+
+    joins = []
+    settled = C.settle
+
+    def seen(df):
+        joins.append(plan(df).count("Join ") - plan(df).count("BroadcastNestedLoopJoin "))
+        return settled(df)
+
+    monkeypatch.setattr(C, "settle", seen)
+    C.discover_companies(companies(spark, SF), company_pages(spark, SF))
+    assert joins[0] == 0 and len(joins) <= 5 and max(joins) == 1
 
 
 def test_scans_read_only_what_is_used(spark):
