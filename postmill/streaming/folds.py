@@ -39,7 +39,8 @@ def _first_rows(df: DataFrame, keys: list[str], order: list[str], n: int, last:
             groups = ordered.groupby(keys, sort=False, dropna=False)
             some = groups.cumcount() < n
             if last is not None and len(ordered):
-                some |= ordered.index.isin(groups[last].idxmax().dropna())
+                known = ordered[last].fillna(-1)  # rows without a time come before all others
+                some |= ordered.index.isin(known.groupby([ordered[k] for k in keys], sort=False, dropna=False).idxmax())
             yield ordered[some]
 
     return df.mapInPandas(job, df.schema)

@@ -178,16 +178,17 @@ def test_attempts_go_on_from_a_batch_fold(spark, tmp_path):
 def test_finished_keys_are_forgotten(spark, tmp_path):
     at = lambda h: f"2024-01-0{1 + h // 24} {h % 24:02d}:00:00"
     rows = [(f"u{i}", i, "ok", "", at(0)) for i in range(8)] + [
-        ("open", 8, "timeout", "", at(1)), ("hot", 9, "ok", "", at(12)), ("x", 10, "ok", "", at(40)), ("y", 11, "timeout", "", at(60))]
+        ("open", 8, "timeout", "", at(1)), ("hot", 9, "ok", "", at(12)), ("x", 10, "ok", "", at(40)), ("y", 11, "timeout", "", at(60)),
+        ("untimed", 12, "ok", "", None)]
     schema = ATTEMPTS + ", at string"
     stream = batches(spark, tmp_path, rows, schema, n=6).withColumn("ts", F.col("at").cast("timestamp"))
     out = str(tmp_path / "out")
     query = sinks.append_into(folds.attempt_states(stream, keep="6 hours", lateness="1 hour"), out, str(tmp_path / "c"), "update")
     query.awaitTermination()
     held = state_rows(query)
-    # watermark 59:00: all finished urls are gone; the two open ones stay, whatever their age
-    assert max(held) >= 8 and held[-1] == 2
-    assert spark.read.parquet(out).count() == 12
+    # watermark 59:00: all finished urls are gone; the two open ones stay, whatever their age, and the one without a time
+    assert max(held) >= 8 and held[-1] == 3
+    assert spark.read.parquet(out).count() == 13
 
 
 def test_preferences_go_on_and_are_forgotten(spark, tmp_path):
