@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from postmill.sources.tables import text_columns
 
-#: Files that the rows of one batch are dealt to, at most.
+#: Folders that the rows of one batch are dealt to, by a hash of seq.
 PARTS = 32
 _META = "version BIGINT, gone BOOLEAN"
 _PLACE = ["version", "q", "b"]
@@ -71,8 +71,11 @@ def current(
 
 
 def put(changed: DataFrame, path: str, writer: str, batch: int, parts: int = PARTS) -> None:
-    """Write changed rows (with version and gone) as the folder of this writer and batch."""
-    dealt = changed.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts)).cast("int")).repartition("part")
+    """Write changed rows (with version and gone) as the folder of this writer and batch.
+
+    Adaptive execution makes tasks of a fitting size: several for a part of a large base, and one for
+    many parts of a small batch."""
+    dealt = changed.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts)).cast("int")).hint("rebalance", "part")
     dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/q={writer}/b={batch}")
 
 
