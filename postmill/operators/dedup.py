@@ -26,6 +26,26 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+#: Bits of a map of keys, and of one of its pieces (as Spark's bitmap functions have them).
+_MAP_BITS, _PIECE_BITS = 1 << 27, 1 << 15
+
+
+def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among those of `wanted`: all that are, and by chance a few others.
+
+    Rows stay where they are, however wide. What is broadcast is a bit for the hash of each wanted
+    key, 16 MB at most however many there are; beyond some tens of millions more rows pass in vain.
+    Join what is left by the keys."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(_MAP_BITS))
+    piece, bit = F.floor(place / _PIECE_BITS).cast("int"), (place % _PIECE_BITS).cast("int")
+    marks = wanted.select(piece.alias("__piece"), bit.cast("bigint").alias("__bit")).groupBy("__piece").agg(
+        F.bitmap_construct_agg("__bit").alias("__bits")
+    )
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, bit % 8) == 1
+    return rows.join(F.broadcast(marks), (piece == F.col("__piece")) & marked, "left_semi")
+
+
 def one_form(rows: DataFrame, order: list[str], key: str = "url") -> DataFrame:
     """The earliest row of all whose keys are forms of one address (slashes, tracking path)."""
     formed = rows.withColumn("__form", key_form(key))

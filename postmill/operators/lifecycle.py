@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from postmill import fixed
 from postmill.functions import urls
 from postmill.functions.text import lenient_int, strip, text
-from postmill.operators.dedup import dedup_first
+from postmill.operators.dedup import dedup_first, maybe_among
 from postmill.operators.extract import parse_pages
+from postmill.session import settle
 from postmill.sources.tables import text_columns
 
 
@@ -61,7 +62,8 @@ def fetch_outcomes(
     With `run`, that run's outcomes are taken. Without, the log may hold many runs: a row that has
     used n attempts takes the (n + 1)th run of its url, so the whole log can be given each time.
 
-    Pages are parsed where they lie, and only the fields are moved: html is never shuffled."""
+    Pages are parsed where they lie, and only the fields are moved: html is never shuffled. Which
+    outcomes are taken is settled first, and only pages that may be theirs are parsed."""
     targets = rows.select(
         "seq", urls.drop_tracking(strip(text("job_url"))).alias("url"),
         (lenient_int("fetch_attempts") + 1).alias("turn"),
@@ -70,16 +72,17 @@ def fetch_outcomes(
     if run is not None:
         log = log.filter(F.col("run") == run)
     order = [*(["ts"] if "ts" in log.columns else []), "outcome", "error_type"]
-    first = dedup_first(log.select("url", "run", *order), ["url", "run"], order)
-    if run is None:
-        turn = F.row_number().over(W.partitionBy("url").orderBy("run"))
-        first = first.withColumn("turn", turn).filter(F.col("turn") <= max_attempts)
-        tried = targets.join(first, ["url", "turn"])
-    else:
-        tried = targets.join(first, "url")
+    narrow = log.select("url", "run", *order)
+    if run is None:  # only the first runs of a url can be taken: map tasks send on no more
+        narrow = narrow.withColumn("turn", F.dense_rank().over(W.partitionBy("url").orderBy("run")))
+        narrow = narrow.filter(F.col("turn") <= max_attempts)
+    first = dedup_first(narrow, ["url", "run"], order)
+    tried = targets.join(first, ["url", "turn"] if run is None else "url")
     if cap is not None:
         tried = tried.orderBy("seq").limit(cap)
-    read = parse_pages(log.filter("outcome = 'ok'").select("url", "run", "html"), ["url", "run"], chars=chars)
+    tried = settle(tried.select("seq", "url", "run", "outcome", "error_type"))
+    pages = maybe_among(log.filter("outcome = 'ok'").select("url", "run", "html"), tried, ["url", "run"])
+    read = parse_pages(pages, ["url", "run"], chars=chars)
     parsed = dedup_first(read, ["url", "run"], ["role_title", "description"])
     both = tried.join(parsed, ["url", "run"], "left")
     o = F.col("outcome")

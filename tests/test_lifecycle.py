@@ -77,6 +77,23 @@ def test_fold_equals_repeated_runs(spark):
     assert stepped["a"] == (3, "fetched", "") and stepped["b"] == (3, "failed", "http_error:E")
 
 
+def test_only_pages_of_the_outcomes_taken_are_parsed(spark, monkeypatch):
+    """Of a long log a run parses one page a row at most, and none of rows that are done."""
+    page = "<title>T</title>"
+    log = spark.createDataFrame([(f"u{i % 20}", i // 20, "ok", "", page) for i in range(2000)], ATTEMPT)
+    t = mail(spark, *[{"job_url": f"u{i}", "fetch_status": "pending" if i < 15 else "fetched", "fetch_attempts": "1"} for i in range(20)])
+    read = []
+
+    def counted(pages, *args, parse=LC.parse_pages, **named):
+        read.append(sorted((r.url, r.run) for r in pages.collect()))
+        return parse(pages, *args, **named)
+
+    monkeypatch.setattr(LC, "parse_pages", counted)
+    done = LC.apply_outcomes(t, log, NOW)
+    assert read == [sorted((f"u{i}", 1) for i in range(15))]
+    assert done.filter("role_title = 'T'").count() == 15
+
+
 def test_every_outcome_is_applied_unless_a_cap_is_asked_for(spark):
     t = mail(spark, *[{"job_url": f"u{i}", "fetch_status": "pending", "fetch_attempts": "0"} for i in range(60)])
     log = spark.createDataFrame([(f"u{i}", 1, "timeout", "", None) for i in range(30, 60)], ATTEMPT)
