@@ -19,7 +19,7 @@ from postmill.operators.scoring import Rule
 from postmill.plans import runs as R
 from postmill.plans.stages import Scorer
 from postmill.operators.extract import mail_html
-from postmill.session import shared_dir
+from postmill.session import settle, shared_dir
 from postmill.sources.files import (
     PREFERENCE_SCHEMA, message_headers, read_feedback, read_messages, read_preferences,
     read_snapshots, write_snapshot,
@@ -190,7 +190,7 @@ def board_intake(spark, sf):
         F.col("page_id").alias("seq"), "url",
         F.regexp_replace(F.col("html"), F.lit('<a href="/([^"]*)"'), to).alias("html"),
     )
-    known = R.board_links(seeds).filter(F.col("company_slug").contains("th"))
+    known = settle(R.board_links(seeds).filter(F.col("company_slug").contains("th")))
     snapshots = known.select(F.lit("2026-02-01").cast("date").alias("run_date"), "url")
     attempts = attempt_log(spark, sf).select(
         "url", F.col("seq").alias("run"), "outcome", "error_type", F.lit("").alias("html"))

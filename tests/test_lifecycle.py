@@ -14,6 +14,7 @@ from postmill.operators.scoring import Rule
 from postmill.plans import runs as R
 from postmill.plans.stages import Scorer
 from postmill.session import settle
+from postmill.sources.files import api_bodies
 from tests.test_tables import NOW, mail, table
 
 ATTEMPT = "url string, run int, outcome string, error_type string, html string"
@@ -94,6 +95,27 @@ def test_only_pages_of_the_outcomes_taken_are_parsed(spark, monkeypatch):
     assert done.filter("role_title = 'T'").count() == 15
 
 
+def test_a_board_run_parses_no_page_of_others(spark, monkeypatch):
+    """The log holds outcomes of other tables too: only those of this table's rows are parsed."""
+    link = "https://boards.greenhouse.io/a/jobs/1"
+    seeds = spark.createDataFrame([(1, "https://s.io", f'<a href="{link}">x</a>')], "seq bigint, url string, html string")
+    bodies = api_bodies(spark.createDataFrame([], "seq bigint, page string, url string, body string"))
+    none = spark.createDataFrame([], "run_date date, url string")
+    log = spark.createDataFrame(
+        [(f"https://o.io/{i}", 1, "ok", "", "<title>O</title>") for i in range(300)] + [(link, 1, "ok", "", "<title>R</title>")], ATTEMPT)
+    read = []
+
+    def counted(pages, *args, parse=LC.parse_pages, **named):
+        read.append([r.url for r in pages.collect()])
+        return parse(pages, *args, **named)
+
+    monkeypatch.setattr(LC, "parse_pages", counted)
+    t = spark.createDataFrame([], "seq BIGINT, " + ", ".join(f"{c} STRING" for c in fixed.BOARD_COLUMNS))
+    run = R.board_run(t, seeds, bodies, seeds.limit(0), none, log, NOW, "2026-02-05", Scorer(rules=[]))
+    assert [(r.job_url, r.fetch_status, r.role_title) for r in run.table.collect()] == [(link, "fetched", "R")]
+    assert read == [[link]]
+
+
 def test_every_outcome_is_applied_unless_a_cap_is_asked_for(spark):
     t = mail(spark, *[{"job_url": f"u{i}", "fetch_status": "pending", "fetch_attempts": "0"} for i in range(60)])
     log = spark.createDataFrame([(f"u{i}", 1, "timeout", "", None) for i in range(30, 60)], ATTEMPT)
