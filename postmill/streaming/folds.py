@@ -1,7 +1,8 @@
 """Per-key state over streams: fetch lifecycle, preferences, and what was seen first.
 
 Each is its batch twin (`fold_attempts`, `fold_preferences`, `dedup_first`) fed batch by batch, by
-`transformWithStateInPandas`. A query can start from a batch table: its rows are the initial state, so
+`transformWithState`: rows as rows, since most keys have few in a batch, and a frame for each key costs
+more than all else that is done for it. A query can start from a batch table: its rows are the initial state, so
 a new checkpoint goes on where a batch fold ended. State ends: with `keep`, a key that is finished is
 forgotten by a timer once the watermark is that much later than its last row, and rows that late are not
 let in again. Without `keep` a stream needs no time and remembers every key.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -78,7 +79,7 @@ class _Forgetting(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.keep)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
@@ -86,25 +87,26 @@ class _Forgetting(StatefulProcessor):
         pass
 
 
-def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(order, kind="stable")
+def _by(*names: str):
+    """Order of rows by columns, those without a value last."""
+    return lambda row: tuple((row[n] is None, row[n] or 0) for n in names)
 
 
-def _last(rows: pd.DataFrame) -> int | None:
-    return int(rows[_AT].max()) if _AT in rows and rows[_AT].notna().any() else None
+def _last(rows: list[Row]) -> int | None:
+    return max((r[_AT] for r in rows if _AT in r and r[_AT] is not None), default=None)
 
 
 class _Attempts(_Forgetting):
     schema = "used INT, status STRING, error STRING"
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = next(initialState.itertuples(index=False))
-        self.state.update((int(row.fetch_attempts), row.fetch_status, row.fetch_error))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        row = initialState
+        self.state.update((row.fetch_attempts, row.fetch_status, row.fetch_error))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        used, status, error = self.state.get() if self.state.exists() else (0, None, None)
-        before, batch = status, _rows(rows, ["seq"])
-        for a in batch.itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        used, status, error = self.state.get() or (0, None, None)
+        before, batch = status, sorted(rows, key=_by("seq"))
+        for a in batch:
             if status == "fetched" or used >= fixed.MAX_ATTEMPTS:
                 break
             used += 1
@@ -119,10 +121,7 @@ class _Attempts(_Forgetting):
         self.state.update((used, status, error))
         if status == "fetched" or used >= fixed.MAX_ATTEMPTS:
             self.forget_at(_last(batch))
-        yield pd.DataFrame([{
-            "url": key[0], "fetch_attempts": used, "fetch_status": status,
-            "fetch_error": error, "old_status": before,
-        }])
+        yield Row(url=key[0], fetch_attempts=used, fetch_status=status, fetch_error=error, old_status=before)
 
 
 def attempt_states(
@@ -141,7 +140,7 @@ def attempt_states(
         attempts.select(*columns, "ts"), "ts", lateness
     )
     cut = _first_rows(narrow, ["url"], ["seq"], fixed.MAX_ATTEMPTS, None if keep is None else _AT)
-    return cut.groupBy("url").transformWithStateInPandas(
+    return cut.groupBy("url").transformWithState(
         _Attempts(keep and _milliseconds(keep)),
         "url STRING, fetch_attempts INT, fetch_status STRING, fetch_error STRING, old_status STRING",
         "update", "none" if keep is None else "eventTime",
@@ -153,18 +152,18 @@ def attempt_states(
 class _Preferences(_Forgetting):
     schema = "kind STRING"
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.state.update((next(initialState.itertuples(index=False)).kind,))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update((initialState.kind,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = _rows(rows, ["seq"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = list(rows)
         known = self.state.exists()
         if not known:
-            first = next(batch.itertuples(index=False))
+            first = min(batch, key=_by("seq"))
             self.state.update((first.action,))
         self.forget_at(_last(batch))
         if not known:
-            yield pd.DataFrame([{"owner": key[0], "kind": first.action, "value": key[1], "seq": first.seq}])
+            yield Row(owner=key[0], kind=first.action, value=key[1], seq=first.seq)
 
 
 def preference_states(
@@ -179,7 +178,7 @@ def preference_states(
     columns = ["owner", "entity", "seq", "action"]
     narrow = events.select(*columns) if keep is None else _timed(events.select(*columns, "ts"), "ts", lateness)
     cut = _first_rows(narrow, ["owner", "entity"], ["seq"], 1, None if keep is None else _AT)
-    return cut.groupBy("owner", "entity").transformWithStateInPandas(
+    return cut.groupBy("owner", "entity").transformWithState(
         _Preferences(keep and _milliseconds(keep)), "owner STRING, kind STRING, value STRING, seq BIGINT",
         "append", "none" if keep is None else "eventTime",
         initialState=None if initial is None else initial.select(
@@ -192,19 +191,18 @@ class _Earliest(_Forgetting):
 
     schema = "at BIGINT, ord BIGINT, body STRING, sent BOOLEAN"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = next(_rows(rows, ["at_us", "ord"]).itertuples(index=False))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = min(rows, key=_by("at_us", "ord"))
         yield from ()  # rows are sent by the timer
-        at, ord_, body = int(first.at_us), int(first.ord), first.body
-        if self.state.exists():
-            held = self.state.get()
-            if held[3] or (held[0], held[1]) <= (at, ord_):
+        held = self.state.get()
+        if held is not None:
+            if held[3] or _by("at_us", "ord")({"at_us": held[0], "ord": held[1]}) <= _by("at_us", "ord")(first):
                 return
             self.handle.deleteTimer(held[0] // 1000)
-        self.state.update((at, ord_, body, False))
-        self.handle.registerTimer(at // 1000)
+        self.state.update((first.at_us, first.ord, first.body, False))
+        self.handle.registerTimer(first.at_us // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at, ord_, body, sent = self.state.get()
         if sent:
             self.state.clear()
@@ -212,7 +210,7 @@ class _Earliest(_Forgetting):
         self.state.update((at, ord_, None, True))
         if self.keep is not None:
             self.handle.registerTimer(at // 1000 + self.keep)
-        yield pd.DataFrame([{_ROW: body}])
+        yield Row(**{_ROW: body})
 
 
 def earliest(
@@ -234,7 +232,7 @@ def earliest(
     )
     names = [f"key{i}" for i in range(len(keys))]
     cut = _first_rows(packed, names, ["at_us", "ord"], 1)
-    sent = cut.groupBy(*names).transformWithStateInPandas(
+    sent = cut.groupBy(*names).transformWithState(
         _Earliest(keep and _milliseconds(keep)), f"`{_ROW}` STRING", "append", "eventTime"
     )
     return sent.select(F.from_json(_ROW, kinds, options).alias("r")).select("r.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from postmill import fixed
@@ -157,6 +158,57 @@ def test_first_seen(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4 and spark.read.parquet(out).columns == seen.columns
 
 
+def test_first_seen_by_numbers_some_of_which_are_null(spark, tmp_path):
+    """Beside a null a whole number stays one: as a float it was another key, and its row was lost."""
+    rows = [(None if i % 10 == 0 else i % 40, i, f"2024-01-{1 + i // 50:02d} 00:00:{i % 50:02d}") for i in range(200)]
+    rows.append((999, 999, "2024-02-01 00:00:00"))
+    stream = batches(spark, tmp_path, rows, "k bigint, n bigint, at string", n=1).withColumn("ts", F.col("at").cast("timestamp"))
+    seen = folds.earliest(stream, ["k"], "ts", "n", "1 hour")
+    sinks.append_into(seen, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    first = {}
+    for k, n, _ in rows[:-1]:
+        first.setdefault(k, n)
+    got = [(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(first) and dict(got) == first
+
+
+class _Held:
+    """Stands for the state and the timers of one key; counts what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_key_takes_and_gives_rows():
+    """No frame is made for a key, which was most of the time of a stream of many keys."""
+    row = lambda at, ord_: Row(key0="k", ts=None, at_us=at, ord=ord_, body=f"{at} {ord_}")
+    earliest = folds._Earliest(None)
+    earliest.state = earliest.handle = held = _Held()
+    assert list(earliest.handleInputRows(("k",), iter([row(9000, 1), row(7000, 5), row(7000, 3)]), None)) == []
+    assert held.value == (7000, 3, "7000 3", False) and held.timers == {7} and held.calls == 3
+    list(earliest.handleInputRows(("k",), iter([row(7000, 4), row(7000, None)]), None))
+    assert held.value[1] == 3 and held.calls == 4
+    list(earliest.handleInputRows(("k",), iter([row(5000, None)]), None))
+    assert held.value == (5000, None, "5000 None", False) and held.timers == {5}
+    assert list(earliest.handleExpiredTimer(("k",), None, None)) == [Row(body="5000 None")]
+    assert held.value == (5000, None, None, True)
+
+
 def state_rows(query):
     return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
 
