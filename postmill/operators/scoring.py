@@ -278,7 +278,7 @@ def first_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     Patterns are a table of any size: no expression is made for one. A pattern's words, but for the ends
     of its first and last, are words of the text, so each piece of them is in a word of the text. A
-    pattern is looked for through its rarest piece, as words of all rows count: by it, it meets the words
+    pattern is looked for through its rarest piece, by its places in words of all rows: by it, it meets the words
     that hold the piece and its own word, by these the rows, and only there the whole is compared. Words
     shorter than a piece are met whole or by what they begin. Blank patterns are none."""
     listed = patterns.select(F.col("seq").alias("ord"), F.col("pattern").alias("shown"), F.lower(text("pattern")).alias("p"))
@@ -288,19 +288,25 @@ def first_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     wanted = settle(listed.select("p", "ord", "shown", F.explode(_parts("p")).alias("part")))
     short = F.length("part") < _GRAM
     pieces = wanted.select("p", "ord", "shown", "part", short.alias("short"), F.explode(_grams(F.col("part"))).alias("gram"))
-    held = vocabulary.select("token", "n", F.explode(_grams(F.col("token"))).alias("gram"))
-    # a short part may begin or end anywhere in a word: of words all its places count
-    brief = vocabulary.select("token", "n", F.explode(F.array_distinct(F.concat(
-        *[_grams(F.col("token"), k) for k in range(1, _GRAM)]
-    ))).alias("gram"))
-    some = wanted.filter(short).select(F.col("part").alias("gram")).distinct()
-    met = settle(held.unionByName(brief.join(some, "gram", "left_semi")).distinct().join(
-        pieces.select("gram").distinct(), "gram", "left_semi"))
-    counts = met.groupBy("gram").agg(F.sum("n").alias("n"))
+
+    def holding(grams: DataFrame) -> DataFrame:
+        """Words that hold some of `grams`, once for each place: pieces are met as they are cut, none is moved or kept."""
+        at, size = F.col("at"), F.length("token")
+        placed = vocabulary.select("token", "n", F.explode(F.sequence(F.lit(1), F.greatest(size - _GRAM + 1, F.lit(1)))).alias("at"))
+        held = placed.select("token", "n", F.substring("token", at, F.lit(_GRAM)).alias("gram"))
+        # a short part may begin or end anywhere in a word: of words all its places count
+        placed = vocabulary.select("token", "n", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+        brief = placed.select("token", "n", F.explode(F.array(
+            *[F.substring("token", at, F.lit(k)) for k in range(1, _GRAM)]
+        )).alias("gram"))
+        return held.join(grams, "gram").unionByName(brief.join(grams.filter("short"), "gram"))
+
+    counts = holding(pieces.select("gram", "short").distinct()).groupBy("gram").agg(F.sum("n").alias("n"))
     rated = pieces.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = rated.groupBy("p").agg(F.min(F.struct("n", "short", "gram", "part")).alias("b"), F.first("ord").alias("ord"), F.first("shown").alias("shown"))
-    holds = best.select("p", "ord", "shown", "b.gram", "b.part").join(met.select("gram", "token"), "gram")
-    holds = settle(holds.filter(F.col("token").contains(F.col("part"))).select("token", "p", "ord", "shown").distinct())
+    best = settle(best.select("p", "ord", "shown", "b.gram", "b.part", "b.short"))
+    holds = holding(best).filter(F.col("token").contains(F.col("part")))
+    holds = settle(holds.select("token", "p", "ord", "shown").distinct())
     found = tokens.join(holds, "token").select("seq", "p", "ord", "shown").distinct()
     checked = rows.join(found, "seq").filter(F.col("words").contains(F.col("p")))
     return checked.groupBy("seq").agg(F.min(F.struct("ord", "shown")).alias("m")).select("seq", F.col("m.shown").alias("pattern"))

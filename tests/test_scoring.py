@@ -136,6 +136,22 @@ def test_patterns_as_a_table(spark):
     assert sorted(one.select("seq", "bucket", "why").collect()) == sorted(S.bucket_by_rules(df, [], None, kept).select("seq", "bucket", "why").collect())
 
 
+def test_pieces_of_words_are_met_as_they_are_cut(spark, monkeypatch):
+    """They are several times the words: none is written or kept, few patterns are met without a shuffle of them."""
+    rows = spark.createDataFrame([(i, f"word{i} some other ab text{i % 7} x") for i in range(300)], "seq bigint, words string")
+    table = spark.createDataFrame([(0, "d29 so"), (1, "xt3"), (2, " ab "), (3, "b"), (4, "absent")], "seq bigint, pattern string")
+    settled, seen = S.settle, []
+
+    def noted(df):
+        seen.append(df.columns)
+        return settled(df)
+
+    monkeypatch.setattr(S, "settle", noted)
+    got = {r.seq: r.pattern for r in S.first_patterns(rows, table).collect()}
+    assert not [names for names in seen if {"token", "gram"} <= set(names)]
+    assert got == {i: "d29 so" if i == 29 else "xt3" if i % 7 == 3 else " ab " for i in range(300)}
+
+
 def test_many_patterns_make_no_longer_plan(spark):
     words = [f"word{i}" for i in range(5000)]
     r = random.Random(2)
