@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,7 @@ from postmill.functions.dom import Outline, plain_text
 from postmill.functions.text import has_any, let, non_empty, squash, strip, text
 from postmill.operators.dedup import dedup_first
 from postmill.operators.links import alert_links, anchor_lists, anchors, block_text, resolve_links
+from postmill.slices import by_slice, each
 from postmill.sources.files import message_headers
 
 
@@ -137,9 +138,9 @@ def fix_generic_titles(df: DataFrame, role: str = "role_title", heading: str = "
     )
 
 
-@F.pandas_udf(T.StringType())
-def _plain(values: pd.Series) -> pd.Series:
-    return values.map(plain_text, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _plain(values: pa.Array) -> pa.Array:
+    return each(values, lambda v: None if v is None else plain_text(v), pa.string())
 
 
 def to_text(df: DataFrame, col: str) -> DataFrame:
@@ -204,14 +205,11 @@ def page_outlines(pages: DataFrame, keys: list[str]) -> DataFrame:
 
     names = [f.split()[0] for f in OUTLINE.split(", ")]
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 64):  # bounded output per Arrow batch
-                part = batch.iloc[start : start + 64]
-                found = [_opened(h, read) for h in part["html"]]
-                yield part[keys].assign(**{n: [f.get(n) for f in found] for n in names})
+    def job(piece: pa.RecordBatch) -> dict[str, object]:
+        found = [_opened(h, read) for h in piece.column("html").to_pylist()]
+        return {k: piece.column(k) for k in keys} | {n: [f.get(n) for f in found] for n in names}
 
-    return pages.select(*keys, "html").mapInPandas(job, f"{_key_schema(pages, keys)}, {OUTLINE}")
+    return by_slice(pages, [*keys, "html"], f"{_key_schema(pages, keys)}, {OUTLINE}", job, rows=64)
 
 
 def _main_text(shortest: int) -> Column:
@@ -246,7 +244,7 @@ def _only_text(x: Column) -> Column:
 
 def structured(pages: DataFrame, keys: list[str]) -> DataFrame:
     """`page_outlines` with `ld`: the first posting of its ld+json scripts that has a title or a
-    description (role_title, company, location, description), null without one.
+    description (role_title, company, location, description as given, see `to_text`), null without one.
 
     A title, company or place that is there but no text makes the page a parse error. A description
     that is no text is given as JSON."""
@@ -271,7 +269,6 @@ def structured(pages: DataFrame, keys: list[str]) -> DataFrame:
     read = read.withColumn(
         "__about", F.coalesce(_only_text(about), F.when(about.isNotNull(), F.to_json(about)), F.lit(""))
     )
-    read = to_text(read.withColumn("__about", F.when(F.col("__ld").isNotNull(), F.col("__about"))), "__about")
     ld = F.struct(
         strip(text(_only_text(parts["title"]))).alias("role_title"),
         strip(text(F.when(org.isNotNull(), _only_text(parts["company"])))).alias("company"),
@@ -289,7 +286,7 @@ def structured(pages: DataFrame, keys: list[str]) -> DataFrame:
 def jsonld_postings(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Pages that carry a structured posting: keys and its four fields."""
     marked = pages.filter(F.col("html").contains("ld+json"))
-    return structured(marked, keys).filter("ld is not null").select(*keys, "ld.*")
+    return to_text(structured(marked, keys).filter("ld is not null").select(*keys, "ld.*"), "description")
 
 
 def descriptions(
@@ -309,7 +306,7 @@ def parse_pages(
     read = structured(pages, keys)
     bare = F.col("ld").isNull() & F.col("parse_error").isNull()
     read = read.withColumns({
-        "description": F.when(bare, _main_text(shortest)),
+        "description": F.when(bare, _main_text(shortest)).otherwise(F.col("ld")["description"]),
         "title": F.when(bare, F.col("title")).otherwise(F.lit("")),
         "h1": F.when(bare, F.col("h1")).otherwise(F.lit("")),
     })
@@ -318,8 +315,8 @@ def parse_pages(
     def pick(name: str) -> Column:
         return F.when(F.col("ld").isNotNull(), F.col("ld")[name]).otherwise(F.col(name))
 
-    fields = {c: pick(c) for c in ("role_title", "company", "location", "description")}
-    fields["description"] = shortened(fields["description"], chars)
+    fields = {c: pick(c) for c in ("role_title", "company", "location")}
+    fields["description"] = shortened(F.col("description"), chars)
     return titled.select(*keys, *[v.alias(c) for c, v in fields.items()], "parse_error")
 
 
@@ -442,14 +439,15 @@ def _addressed(body: str | None) -> tuple[list[str] | None, str | None]:
         return None, type(broken).__name__
 
 
-_WALK = T.StructType([
-    T.StructField("objects", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()),
-])
+def _walked(bodies: DataFrame) -> DataFrame:
+    """seq, page, objects, error of bodies, see `_addressed`; slice by slice."""
 
+    def job(piece: pa.RecordBatch) -> dict[str, object]:
+        made = [_addressed(b) for b in piece.column("body").to_pylist()]
+        return {k: piece.column(k) for k in ("seq", "page")} | {"objects": [o for o, _ in made], "error": [e for _, e in made]}
 
-@F.pandas_udf(_WALK)
-def _walked(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_addressed(b) for b in bodies], columns=["objects", "error"])
+    schema = f"{_key_schema(bodies, ['seq', 'page'])}, objects ARRAY<STRING>, error STRING"
+    return by_slice(bodies, ["seq", "page", "body"], schema, job, rows=64)
 
 
 def _first_given(o: Column, names: list[str]) -> Column:
@@ -493,8 +491,8 @@ def api_postings(bodies: DataFrame) -> DataFrame:
     is_object = lambda o: _get(o, "$", "map<string,variant>").isNotNull()
     listed = bound.filter("b.l is not null").select("seq", "page", F.posexplode("b.l").alias("pos", "o"))
     listed = listed.filter(is_object(F.col("o"))).select("seq", "page", "pos", _listed(F.col("o")).alias("p"))
-    walked = bound.filter("b.l is null").select("seq", "page", _walked("body").alias("w")).select(
-        "seq", "page", F.posexplode("w.objects").alias("pos", "o")
+    walked = _walked(bound.filter("b.l is null")).select(
+        "seq", "page", F.posexplode("objects").alias("pos", "o")
     ).select("seq", "page", "pos", F.explode(F.array(F.try_parse_json("o"))).alias("o"))
     walked = walked.select("seq", "page", "pos", _walked_posting(F.col("o")).alias("p"))
     rows = listed.unionByName(walked).select(
@@ -509,9 +507,7 @@ def api_postings(bodies: DataFrame) -> DataFrame:
 def unread_bodies(bodies: DataFrame) -> DataFrame:
     """seq, page, error: bodies without a posting list whose text cannot be walked."""
     rest = bodies.filter(_posting_list("doc").isNull())
-    return rest.select("seq", "page", F.explode(F.array(_walked("body")["error"])).alias("error")).filter(
-        "error is not null"
-    )
+    return _walked(rest).select("seq", "page", "error").filter("error is not null")
 
 
 # --- rendered pages --------------------------------------------------------------------

@@ -5,10 +5,9 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,7 @@ from postmill import fixed
 from postmill.functions import urls
 from postmill.functions.dom import Element, Outline
 from postmill.functions.text import matches_any, strip, text
+from postmill.slices import by_slice, each
 
 # comments and scripts may hold markup that is not a link
 _NOT_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
@@ -155,16 +155,12 @@ def anchor_lists(pages: DataFrame, keys: list[str], context: bool = False) -> Da
         ]
         return made, shown.glued, shown.spaced if context else b""
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 64):  # bounded output per Arrow batch
-                part = batch.iloc[start : start + 64]
-                made = zip(*map(page_anchors, part["html"]), strict=True)
-                yield part[keys].assign(**dict(zip(("anchors", "glued", "spaced", "error"), map(list, made), strict=True)))
+    def job(piece: pa.RecordBatch) -> dict[str, object]:
+        made = zip(*map(page_anchors, piece.column("html").to_pylist()), strict=True)
+        return {k: piece.column(k) for k in keys} | dict(zip(("anchors", "glued", "spaced", "error"), map(list, made), strict=True))
 
-    return pages.select(*keys, "html").mapInPandas(
-        job, f"{names}, anchors ARRAY<{ANCHOR}>, glued BINARY, spaced BINARY, error STRING"
-    )
+    schema = f"{names}, anchors ARRAY<{ANCHOR}>, glued BINARY, spaced BINARY, error STRING"
+    return by_slice(pages, [*keys, "html"], schema, job, rows=64)
 
 
 def _slice(text: Column | str, first: Column, size: Column) -> Column:
@@ -257,11 +253,9 @@ def match_variants(df: DataFrame, col: str = "url") -> DataFrame:
 
 # --- alert links ---------------------------------------------------------------
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescape(lists: pd.Series) -> pd.Series:
-    return lists.map(
-        lambda hrefs: [_html.unescape(h) for h in hrefs], na_action="ignore"
-    )
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescape(lists: pa.Array) -> pa.Array:
+    return each(lists, lambda hrefs: hrefs and [_html.unescape(h) for h in hrefs], pa.list_(pa.string()), rows=512)
 
 
 def canonical_alert_urls(df: DataFrame, col: str = "href") -> DataFrame:
